@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mentionlab.llm import mixing
+from mentionlab.llm import mixing, quality
 
 
 def queries() -> dict:
-    return {"op10_mixing": mixing.op10_mixing}
+    return {"op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
