@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from mentionlab.llm import mixing, quality
+from mentionlab.llm import decontaminate, mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
+    return {"op4_simhash": simhash.op4_simhash, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op7_decontaminate": decontaminate.OP7_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -147,12 +147,15 @@ def rate(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str =
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that the rules keep, columns as they were. Counts of labelled documents are taken first, for the
-    cutoffs; then every document is counted and judged where it is read, without a join on its id."""
+    """The rows of docs that the rules keep, columns as they were.
+
+    Counts are taken once for the cutoffs and again where each document is judged: counting twice is cheaper than
+    shuffling the texts to join them with their verdicts.
+    """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps")
     only = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
-    known = only.join(_labels(labels), F.col("doc_id") == F.col("label_id"))
-    labelled = with_counts(known, "text", {n: n for n in names}).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
+    counts = with_counts(only, "text", {n: n for n in names}).drop("text")
+    labelled = counts.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
     own = dict(zip(names, fresh(docs, *names)))
     counted = with_counts(docs, text, own)
     (kept,) = fresh(counted, "kept")
