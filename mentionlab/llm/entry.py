@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mentionlab.llm import decontaminate, mixing, quality, simhash
+from mentionlab.llm import decontaminate, mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
+    return {"op1_secrets": secrets.op1_secrets, "op4_simhash": simhash.op4_simhash, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
