@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from mentionlab.llm import decontaminate, mixing, quality, secrets, simhash
+from mentionlab.llm import chat, decontaminate, mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op1_secrets": secrets.op1_secrets, "op4_simhash": simhash.op4_simhash, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
+    return {"op1_secrets": secrets.op1_secrets, "op3_chat": chat.op3_chat, "op4_simhash": simhash.op4_simhash, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontaminate.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op10_mixing": mixing.OP10_SQL}
