@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mentionlab.llm import chat, decontaminate, langid, mixing, ppm, quality, secrets, simhash, tokens
+from mentionlab.llm import chat, classifier, decontaminate, langid, mixing, ppm, quality, secrets, simhash, tokens
 
 
 def queries() -> dict:
-    return {"op1_secrets": secrets.op1_secrets, "op2_ppm": ppm.op2_ppm, "op3_chat": chat.op3_chat, "op4_simhash": simhash.op4_simhash, "op5_langid": langid.op5_langid, "op6_tokens": tokens.op6_tokens, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op10_mixing": mixing.op10_mixing}
+    return {"op1_secrets": secrets.op1_secrets, "op2_ppm": ppm.op2_ppm, "op3_chat": chat.op3_chat, "op4_simhash": simhash.op4_simhash, "op5_langid": langid.op5_langid, "op6_tokens": tokens.op6_tokens, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_quality": quality.op8_quality, "op9_classifier": classifier.op9_classifier, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
