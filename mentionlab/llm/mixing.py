@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     whole = Window.partitionBy()
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     found = weighed.withColumn("level", level).withColumn("stops", F.col("cap") < F.col("level") * F.col("weight"))
-    last = F.min(F.when(~F.col("stops"), F.col("level"))).over(whole)
+    last = F.max(F.when(~F.col("stops"), F.col("level"))).over(whole)  # beyond the first that is not stopped, levels only fall
     return found.select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.coalesce(last, F.lit(0.0))).alias("target"))
 
 
@@ -98,7 +98,7 @@ w AS (SELECT *, 3 * source_size AS cap, ((row_number() OVER (ORDER BY source IS
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS level
       FROM w WINDOW r AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, CASE WHEN cap < level * weight THEN cap::DOUBLE
-        ELSE weight * coalesce(min(CASE WHEN NOT cap < level * weight THEN level END) OVER (), 0) END AS target FROM l),
+        ELSE weight * coalesce(max(CASE WHEN NOT cap < level * weight THEN level END) OVER (), 0) END AS target FROM l),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS n FROM g),
 p AS (SELECT d.*, h.source_size, h.target, h.n, h.target - h.n * h.source_size AS rest,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

@@ -60,7 +60,10 @@ def with_counts(docs: DataFrame, text: str, out: dict[str, str]) -> DataFrame:
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "n_caps": F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long"),
     }
-    return df.select(*keep, *[made[k].alias(v) for k, v in out.items()])
+    # filters on the counts must not be pushed below this point, where they would repeat the work: a generator stops them
+    (all_,) = fresh(df, "counts")
+    df = df.select(*keep, F.explode(F.array(F.struct(*[made[k].alias(k) for k in out]))).alias(all_))
+    return df.select(*keep, *[F.col(all_)[k].alias(v) for k, v in out.items()])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -20,7 +20,7 @@ def fill(sizes, weights=(1, 2, 3), most=3):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{"a": 100, "b": 5, "c": 7, None: 3}, {"a": 1}, {"b": 0, "a": 10, "é": 4, "z": 1000}, {"a": 0}])
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 5, "c": 7, None: 3}, {"a": 1}, {"b": 0, "a": 10, "é": 4, "z": 1000}, {"a": 0}, {"a": 900, "b": 800, "c": 1}, {f"s{i:02}": (i * 37) % 23 * 10 for i in range(20)}, {f"s{i:02}": 2 ** (i % 9) for i in range(20)}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
