@@ -1,0 +1,13 @@
+"""Registered queries of the engine and the SQL that gives the same rows."""
+
+from mentionlab.plans import study
+
+_ALL = (study,)
+
+
+def queries() -> dict:
+    return {name: q for m in _ALL for name, (q, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _ALL for name, (_, sql) in m.QUERIES.items() if sql}
