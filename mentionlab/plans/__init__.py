@@ -1,8 +1,8 @@
 """Registered queries of the engine and the SQL that gives the same rows."""
 
-from mentionlab.plans import study
+from mentionlab.plans import study, text
 
-_ALL = (study,)
+_ALL = (study, text)
 
 
 def queries() -> dict:
