@@ -1,8 +1,8 @@
 """Registered queries of the engine and the SQL that gives the same rows."""
 
-from mentionlab.plans import study, text
+from mentionlab.plans import ops, study, text
 
-_ALL = (study, text)
+_ALL = (study, text, ops)
 
 
 def queries() -> dict:
