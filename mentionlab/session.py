@@ -33,12 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    if not (there := spark.conf.get("spark.checkpoint.dir", None)):
-        there = tempfile.mkdtemp(prefix="mentionlab-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    global _own
+    if there := spark.conf.get("spark.checkpoint.dir", None):
+        return there.rstrip("/")
+    _own = _own or tempfile.mkdtemp(prefix="mentionlab-")  # the setting is fixed once a session runs
+    return _own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
