@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: str | None = None
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers, once for a session, where they would not find it by their path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root:
+        return
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "mentionlab"), "zip", root, "mentionlab"))
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
