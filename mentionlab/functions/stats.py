@@ -95,3 +95,12 @@ def fisher_column(a: Column, b: Column, c: Column, d: Column, logs: Column) -> C
     at = lambda x: choose(r1, x) + choose(r2, c1 - x) - choose(r1 + r2, c1)
     xs = F.sequence(F.greatest(F.lit(0).cast("long"), c1 - r2), F.least(r1, c1))
     return F.least(F.lit(1.0), F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.when(at(x) <= at(a) + math.log1p(1e-9), F.exp(at(x))).otherwise(0.0)))
+
+
+def detectable_rate(p0: Column, n: Column, alpha: Column, power: Column, steps: int = 60) -> Column:
+    """Least rate above p0 that n observations an arm detect, by bisection on [p0, 1]; null if not even 1 is detected."""
+    start = F.struct(p0.cast("double").alias("low"), F.lit(0.999999).alias("high"))
+    mid = lambda a: (a["low"] + a["high"]) / 2
+    step = lambda a, _: F.when(n_per_arm(p0, mid(a), alpha, power) <= n, F.struct(a["low"].alias("low"), mid(a).alias("high"))).otherwise(F.struct(mid(a).alias("low"), a["high"].alias("high")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: a["high"])
+    return F.when(n_per_arm(p0, F.lit(0.999999), alpha, power) <= n, found)

@@ -144,6 +144,25 @@ def _arm_rows(spark, sf):
     return inc.to_incidents(study.articles(spark, sf))
 
 
+def unit_routing(spark, sf):
+    """Documents by source: entities that their texts name decide who codes the source."""
+    from mentionlab.operators import coding, lexicon
+    from mentionlab.plans.text import WORDS
+
+    d = table(spark, sf, "documents").select("lang", "source", lexicon.mentions_column(F.lower(F.coalesce("text", F.lit(""))), WORDS).alias("m"))
+    r = coding.route_units(d.withColumn("unit", F.concat_ws("/", "lang", "source")), "unit", "m")
+    return r.select("unit", F.array_join("entities", ",").alias("entities"), "route", "entity")
+
+
+def candidates_for_review(spark, sf):
+    """Customers as clusters of orders: the reviewers' table."""
+    from mentionlab.sources import sinks
+
+    o = table(spark, sf, "orders")
+    members = o.select(F.col("o_orderkey").alias("doc"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("title"), F.concat(F.lit("o/"), "o_orderkey").alias("url"), F.col("o_orderpriority").alias("outlet"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return sinks.candidate_rows(o.select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("cluster")), members)
+
+
 def gee(spark, sf):
     return models.gee_frame(spark, study.articles(spark, sf).where("outcome is not null").selectExpr("incident_id", "cast(outcome as double) y", "cast(exposed as double) exposed", "if(status = 'F', 1D, 0D) late"), ["exposed", "late"])
 
@@ -163,6 +182,10 @@ def simulated(spark, sf):
     return models.simulate(spark, 40, 160, seed=1).groupBy("exposed").agg(F.count_distinct("incident_id").alias("incidents"), F.count(F.lit(1)).alias("articles"), F.avg("outcome").alias("rate"))
 
 
+def _hit(col, words):
+    return f"regexp_matches({col}, '(^|[^\\p{{L}}\\p{{N}}_])({words})(''s|s''|s)?([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
 HASH = "substr(sha1(canonical), 1, 16)"
 
 
@@ -232,6 +255,18 @@ QUERIES = {
     ),
     "provenance_hash": (provenance, "SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS sha FROM documents"),
     "review_queue": (review_queue, "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_outlets, string_agg(l_linenumber || ':' || l_suppkey || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_suppkey, l_returnflag) AS articles FROM lineitem GROUP BY 1"),
+    "unit_routing": (
+        unit_routing,
+        """WITH n AS (SELECT lang || '/' || source AS unit, lower(coalesce(text, '')) AS x FROM documents), m AS (SELECT unit, 'Die' AS e FROM n WHERE """ + _hit("x", "die|der|und") + """ UNION ALL SELECT unit, 'Que' FROM n WHERE """ + _hit("x", "que") + """
+        UNION ALL SELECT unit, 'The' FROM n WHERE """ + _hit("x", "the|of") + """), g AS (SELECT unit, list_sort(list_distinct(list(e) FILTER (e IS NOT NULL))) AS es FROM (SELECT DISTINCT unit FROM n) LEFT JOIN m USING (unit) GROUP BY 1)
+        SELECT unit, coalesce(array_to_string(es, ','), '') AS entities, CASE WHEN coalesce(len(es), 0) <= 1 THEN 'mechanical' ELSE 'escalate' END AS route, CASE WHEN len(es) = 1 THEN es[1] END AS entity FROM g""",
+    ),
+    "review_candidates": (
+        candidates_for_review,
+        """WITH x AS (SELECT o_custkey AS cluster, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS doc, o_orderpriority || ' ' || o_orderstatus AS title, o_orderpriority AS outlet FROM orders),
+        k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY day, doc) AS k FROM x)
+        SELECT cluster, count(*) AS n_articles, count(DISTINCT outlet) AS n_outlets, min(day) AS first_day, max(day) AS last_day, string_agg(title, ' || ' ORDER BY day, doc) FILTER (k <= 5) AS titles, string_agg('o/' || doc, ' ' ORDER BY day, doc) AS urls FROM k GROUP BY 1""",
+    ),
     "harvest_stream": (harvest.streamed_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2"),
     "gee_odds": (gee, None),
     "quasibinomial": (quasibinomial, None),

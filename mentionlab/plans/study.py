@@ -119,6 +119,24 @@ def power_grid(spark, sf):
     return g.withColumn("n_plain", n).withColumn("n_clustered", n * stats.design_effect(F.col("m"), F.col("rho"))).withColumn("clusters", F.ceil(F.col("n_clustered") / F.col("m")).cast("long"))
 
 
+def detectable(spark, sf):
+    g = spark.createDataFrame([(p0, n) for p0 in (0.05, 0.1, 0.3) for n in (20, 43, 100, 400)], "p0 double, n int")
+    return g.withColumn("rate", F.round(stats.detectable_rate(F.col("p0"), F.col("n"), F.lit(0.05), F.lit(0.8)), 6))
+
+
+def appendix(spark, sf):
+    """Entity, its incidents and their articles, nested and in order: one row for each entity, as digests."""
+    a = articles(spark, sf)
+    i = a.groupBy("entity", "incident_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "outlet", "outcome"))), ",").alias("arts"))
+    return i.groupBy("entity").agg(F.count(F.lit(1)).alias("incidents"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("incident_id", "arts"))), lambda x: F.concat_ws("=", x["incident_id"], x["arts"])), ";")).alias("digest"))
+
+
+def outlet_report(spark, sf):
+    """Articles, distinct incidents and the fifteen largest outlets: a top-k report."""
+    a = articles(spark, sf)
+    return a.groupBy("outlet").agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("incident_id").alias("incidents")).orderBy(F.desc("articles"), "outlet").limit(15)
+
+
 def _values(rows):
     return ", ".join("(" + ", ".join(repr(x) if not isinstance(x, str) else f"'{x}'" for x in r) + ")" for r in rows)
 
@@ -205,6 +223,20 @@ QUERIES = {
         lambda s, d: inc.table_one(inc.to_incidents(articles(s, d)), ("n", "outlets", "prop")),
         f"WITH {ART} SELECT exposed, count(*) AS incidents, avg(n) AS n_mean, stddev_samp(n) AS n_sd, avg(outlets) AS outlets_mean, stddev_samp(outlets) AS outlets_sd, avg(prop) AS prop_mean, stddev_samp(prop) AS prop_sd FROM i GROUP BY 1",
     ),
+    "detectable_rate": (
+        detectable,
+        """WITH RECURSIVE g(p0, n) AS (SELECT p0::DOUBLE, n FROM (VALUES (0.05), (0.1), (0.3)) AS a(p0), (VALUES (20), (43), (100), (400)) AS b(n)),
+        s(p0, n, k, low, high) AS (SELECT p0, n, 0, p0, 0.999999::DOUBLE FROM g UNION ALL SELECT p0, n, k + 1,
+          CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (SELECT *, ((1.9599639845 * sqrt(2 * ((p0 + mid) / 2) * (1 - (p0 + mid) / 2)) + 0.8416212336 * sqrt(p0 * (1 - p0) + mid * (1 - mid))) / (mid - p0)) ** 2 <= n AS ok
+          FROM (SELECT *, (low + high) / 2 AS mid FROM s WHERE k < 60) x) y)
+        SELECT p0, n, CASE WHEN high < 0.9999989 THEN round(high, 6) END AS rate FROM s WHERE k = 60""",
+    ),
+    "appendix_grouping": (
+        appendix,
+        f"""WITH {ART}, x AS (SELECT entity, incident_id, string_agg(lpad(l_linenumber::VARCHAR, 3, '0') || ':' || outlet || ':' || outcome, ',' ORDER BY lpad(l_linenumber::VARCHAR, 3, '0') || ':' || outlet || ':' || outcome) AS arts FROM a GROUP BY 1, 2)
+        SELECT entity, count(*) AS incidents, md5(string_agg(incident_id || '=' || arts, ';' ORDER BY incident_id)) AS digest FROM x GROUP BY 1""",
+    ),
+    "outlet_report": (outlet_report, f"WITH {ART} SELECT outlet, count(*) AS articles, count(DISTINCT incident_id) AS incidents FROM a GROUP BY 1 ORDER BY articles DESC, outlet LIMIT 15"),
     "power_grid": (
         power_grid,
         f"""WITH g(p0, p1, m, rho) AS (SELECT p0::DOUBLE, p1::DOUBLE, m::DOUBLE, rho::DOUBLE FROM (VALUES {_values(GRID)}) AS v(p0, p1, m, rho)),
