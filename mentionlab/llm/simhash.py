@@ -12,6 +12,9 @@ coordinates are compared one pivot after another and only survivors are verified
 pairs at best (distances of random 64-bit strings concentrate at 32 +- 4), which is why the tables filter pairs inside
 a key and don't choose the keys.
 
+Wider fingerprints (several 64-bit words) find looser copies: keys are then samples of their bits, TABLES times, which
+finds a pair with a probability that falls with its distance instead of surely. The corpus pipeline uses both.
+
 Every task returns a spanning forest of the links it found, not the pairs: what is kept of a group of n close
 fingerprints is less than n rows for each choice of parts.
 """
@@ -24,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import table, written
+from mentionlab.llm.common import fresh, table, written
 from mentionlab.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -35,17 +38,29 @@ SHINGLE, MAX_BITS, SEED = 3, 3, 42
 BLOCKS = 6
 #: Fingerprints of one key that are compared in one piece; longer keys are cut into tiles of at most this many.
 TILE = 2048
+#: Ids of dropped documents that are sent to executors; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
 #: Rows of whole keys that a task holds at once.
 HELD = 40_000
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, seed=SEED) for i in range(16)], dtype=np.uint64)
 
 
+#: Wide fingerprints: words of 64 bits, tables and bits of their sampled keys, and the most differing bits of a link. On
+#: documents whose five-word shingles have a Jaccard similarity of 0.8, about 27 of 256 bits differ.
+WIDE, TABLES, KEY_BITS, WIDE_BITS = 4, 40, 20, 34
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a UTF-8 text; 0 if it has no word."""
+    """64-bit fingerprint of a UTF-8 text; 0 if it has no word."""
+    return int(wide_fingerprint(text, shingle, 1)[0])
+
+
+def wide_fingerprint(text: bytes, shingle: int = SHINGLE, width: int = WIDE) -> np.ndarray:
+    """Fingerprint of `width` 64-bit words: the first from the shingles' hashes, the others from mixes of them."""
     words = text.lower().split()  # for bytes: A-Z, and exactly the ASCII white space of the word rule
     n = len(words) - shingle + 1
     if not words:
-        return 0
+        return np.zeros(width, np.uint64)
     if n < 1:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
@@ -55,22 +70,29 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
     h = np.array(hashes, dtype=np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+    out = []
+    for k in range(width):
+        if k:
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"))
+    return np.array(out, np.uint64)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp as signed 64-bit) for each row of docs; null text is empty."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """(doc_id, fp as signed 64-bit, and further words fp1, fp2, ...) for each row of docs; null text is empty."""
+    names = ["fp", *(f"fp{k}" for k in range(1, width))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([wide_fingerprint(t or b"", shingle, width) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(width))], names=["doc_id", *names])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -99,9 +121,15 @@ class _Forest:
         return True
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def coordinates(fps: np.ndarray) -> np.ndarray:
     """Pivot distance table: one row of Hamming distances for each reference fingerprint."""
-    return np.bitwise_count(fps[None, :] ^ PIVOTS[:, None]).astype(np.int8)
+    width = fps.shape[1]
+    return np.stack([distance(fps, np.resize(np.roll(PIVOTS, k), width)[None, :]) for k in range(max(4, len(PIVOTS) // width))])
 
 
 def survivors(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int, other: np.ndarray | None = None, other_table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,51 +138,49 @@ def survivors(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray,
     for of, at in zip(table, other_table):
         keep = np.abs(of[i] - at[j]) <= max_bits
         i, j = i[keep], j[keep]
-    keep = np.bitwise_count(fps[i] ^ other[j]) <= max_bits
+    keep = distance(fps[i], other[j]) <= max_bits
     return i[keep], j[keep]
 
 
-def group_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def group_links(group: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Spanning forests of the links inside each run of equal group numbers (runs of at most TILE)."""
-    table, n, d, links = coordinates(fps), len(fps), 1, []
+    table, n, d, out = coordinates(fps), len(fps), 1, []
+    forests: dict[int, _Forest] = {}
     i = np.arange(n - 1)
     while len(i := i[(i + d < n) & (group[np.minimum(i + d, n - 1)] == group[i])]):
-        links.append(survivors(fps, table, i, i + d, max_bits))
-        d += 1
-    forests: dict[int, _Forest] = {}
-    out = []
-    for a, b in links:
-        for x, y, g in zip(fps[a].tolist(), fps[b].tolist(), group[a].tolist()):
+        a, b = survivors(fps, table, i, i + d, max_bits)
+        for x, y, g in zip(nodes[a].tolist(), nodes[b].tolist(), group[a].tolist()):
             if forests.setdefault(g, _Forest()).join(x, y):
                 out.append((x, y))
+        d += 1
     return out
 
 
 _LINKS = pa.schema([("choice", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tile", pa.list_(pa.int64()))])
 
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows (node, words...): the node itself where there are no words."""
+    return np.ascontiguousarray(rows[:, 1:] if rows.shape[1] > 1 else rows).view(np.uint64)
+
+
 def _scan(max_bits: int, tile: int):
-    """Runs over rows sorted by (choice, key, fp): links within a tile, and the tiles of keys that may go on elsewhere."""
+    """Runs over rows sorted by (choice, key, node): links within a tile, and the tiles of keys that may go on elsewhere."""
 
     def emit(rows: np.ndarray, first: bool, last: bool) -> pa.RecordBatch | None:
         """rows: whole keys, but for the task's first and last ones."""
         key = rows[:, :2]
-        new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
         sizes = np.diff(np.append(starts, len(rows)))
         group = np.repeat(np.arange(len(starts)), sizes)
         pos = np.arange(len(rows)) - np.repeat(starts, sizes)
-        fps = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         piece = np.unique(group * (len(rows) // tile + 2) + pos // tile, return_inverse=True)[1]
-        out = [{"a": x, "b": y} for x, y in group_links(piece, fps, max_bits)]
-        for x in out:
-            for k in "ab":
-                x[k] -= (1 << 64) if x[k] >= 1 << 63 else 0
+        out = [{"a": x, "b": y} for x, y in group_links(piece, rows[:, 2], _words(rows[:, 2:]), max_bits)]
         open_groups = ({0} if first else set()) | ({len(starts) - 1} if last else set()) | set(np.flatnonzero(sizes > tile).tolist())
         for g in sorted(open_groups):
             for at in range(starts[g], starts[g] + sizes[g], tile):
                 to = min(at + tile, starts[g] + sizes[g])
-                out.append({"choice": int(rows[at, 0]), "key": int(rows[at, 1]), "tile": rows[at:to, 2].tolist()})
+                out.append({"choice": int(rows[at, 0]), "key": int(rows[at, 1]), "tile": rows[at:to, 2:].reshape(-1).tolist()})
         return pa.RecordBatch.from_pylist(out, _LINKS) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,35 +214,60 @@ def _scan(max_bits: int, tile: int):
     return run
 
 
-def _cross(max_bits: int):
+def _cross(max_bits: int, columns: int):
     """Links between two tiles of one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, y in zip(batch.column(0), batch.column(1)):
-                a, b = (np.array(v.as_py(), np.int64).view(np.uint64) for v in (x, y))
-                ta, tb, forest = coordinates(a), coordinates(b), _Forest()
+                a, b = (np.array(v.as_py(), np.int64).reshape(-1, columns) for v in (x, y))
+                fa, fb = _words(a), _words(b)
+                ta, tb, forest = coordinates(fa), coordinates(fb), _Forest()
                 for at in range(0, len(a), 256):
                     i = np.repeat(np.arange(at, min(at + 256, len(a))), len(b))
                     j = np.tile(np.arange(len(b)), len(i) // len(b))
-                    i, j = survivors(a, ta, i, j, max_bits, b, tb)
-                    out += [(p, q) for p, q in zip(a[i].view(np.int64).tolist(), b[j].view(np.int64).tolist()) if forest.join(p, q)]
+                    i, j = survivors(fa, ta, i, j, max_bits, fb, tb)
+                    out += [(p, q) for p, q in zip(a[i, 0].tolist(), b[j, 0].tolist()) if forest.join(p, q)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """(a, b) over distinct(fp): enough links of at most max_bits differing bits to connect all that are connected."""
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "key"))
-    sorted_ = keyed.select("choice", "key", "fp").repartitionByRange("choice", "key", "fp").sortWithinPartitions("choice", "key", "fp")
-    found = written(sorted_.mapInArrow(_scan(max_bits, tile), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
+def _linked(keyed: DataFrame, words: list[str], max_bits: int, tile: int) -> DataFrame:
+    """(a, b) over keyed(choice, key, node, words...): a spanning forest of the links of every key."""
+    rows = keyed.select("choice", "key", "node", *words)
+    ordered = rows.repartitionByRange("choice", "key", "node").sortWithinPartitions("choice", "key", "node")
+    found = written(ordered.mapInArrow(_scan(max_bits, tile), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
     tiles = found.where("tile is not null").select("choice", "key", "tile", F.col("tile")[0].alias("low"))
     several = tiles.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice", "key")
     tiles = tiles.join(several, ["choice", "key"])
     pairs = tiles.alias("x").join(tiles.alias("y"), ["choice", "key"]).where("x.low < y.low").select(F.col("x.tile"), F.col("y.tile").alias("tile2"))
-    return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(_cross(max_bits), "a long, b long"))
+    return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(_cross(max_bits, 1 + len(words)), "a long, b long"))
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """(a, b) over distinct(fp): enough links of at most max_bits differing bits to connect all that are connected."""
+    keyed = distinct.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "key"))
+    return _linked(keyed, [], max_bits, tile)
+
+
+def sampled_bits(tables: int = TABLES, bits: int = KEY_BITS, width: int = WIDE) -> list[list[int]]:
+    """For each table, masks of the words whose bits are its key: `bits` places of all, drawn by digests."""
+    out = []
+    for t in range(tables):
+        places = sorted(range(64 * width), key=lambda b: xxhash.xxh64_intdigest(b"%d %d" % (t, b), seed=SEED))[:bits]
+        own = [sum(1 << (b % 64) for b in places if b // 64 == k) for k in range(width)]
+        out.append([m - (1 << 64) if m >= 1 << 63 else m for m in own])
+    return out
+
+
+def wide_links(wide: DataFrame, max_bits: int = WIDE_BITS, tables: int = TABLES, bits: int = KEY_BITS, tile: int = TILE, width: int = WIDE) -> DataFrame:
+    """(a, b) over wide(node, fp, fp1, ...): links of at most max_bits differing bits whose fingerprints share a sampled key.
+    A pair that differs in a share p of its bits is found with probability 1 - (1 - (1 - p) ** bits) ** tables."""
+    names = ["fp", *(f"fp{k}" for k in range(1, width))]
+    keys = F.array(*[F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, own)]) for own in sampled_bits(tables, bits, width)])
+    return _linked(wide.select("node", *names, F.posexplode(keys).alias("choice", "key")), names, max_bits, tile)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
@@ -237,18 +288,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of documents with an integer id, by the exact 64-bit links and the wide ones together: copies
+    whose five-word shingles have a Jaccard similarity of about 0.8 or more, and what these reach."""
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+    all_ = written(fingerprints(docs.where(F.col(doc_id).isNotNull()), text, doc_id, width=WIDE), "simhash-wide")
+    distinct = written(all_.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "simhash-distinct")
+    low = distinct.groupBy("fp").agg(F.min("node").alias("low"))  # a 64-bit fingerprint stands for all wide ones that have it
+    low = written(low, "simhash-low")
+    close = links(low.select("fp"))
+    ends = low.select(F.col("fp").alias("end"), "low")
+    close = close.join(ends.withColumnsRenamed({"end": "a", "low": "x"}), "a").join(ends.withColumnsRenamed({"end": "b", "low": "y"}), "b").select("x", "y")
+    same = distinct.join(low, "fp").where("node <> low").select("node", "low")
+    joined = connected_components(wide_links(distinct).select("a", "b").union(close).union(same))
+    members = distinct.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return all_.join(members, names).select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loose: bool = True, **how) -> DataFrame:
     """The rows of docs without those that are near-duplicates of a document with a smaller doc_id; columns as they were.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id all stay: nothing names them.
+    loose: near-duplicates as loose_groups has them, else as near_duplicates. Of rows that repeat a doc_id one stays, that
+    with the least text. Rows without a doc_id all stay: nothing names them.
     """
-    found = written(near_duplicates(docs, text, doc_id, **how).select("doc_id", "component_id"), "simhash-groups")
-    reps = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    (repeats,) = reps.agg(F.count(F.lit(1)) - F.count_distinct("_kept")).first()
-    kept = docs.join(reps.distinct() if repeats else reps, F.col(doc_id) == F.col("_kept"), "left_semi")
-    if repeats:
-        kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    groups = loose_groups(docs, text, doc_id) if loose else near_duplicates(docs, text, doc_id, **how).select("doc_id", "component_id")
+    found = written(groups, "simhash-groups")
+    told = found.agg(F.count_if(F.col("doc_id") != F.col("component_id")), F.count("doc_id") - F.count_distinct("doc_id")).first()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(F.broadcast(gone) if told[0] <= MAX_BROADCAST_IDS else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    if told[1]:
+        (row,) = fresh(docs, "row")
+        first = kept.where(F.col(doc_id).isNotNull()).withColumn(row, F.row_number().over(Window.partitionBy(doc_id).orderBy(text)))
+        kept = first.where(F.col(row) == 1).drop(row).unionByName(kept.where(F.col(doc_id).isNull()))
+    return kept
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

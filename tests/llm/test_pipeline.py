@@ -28,7 +28,13 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     assert len(good - kept) <= 0.02 * len(good) + 1
 
     pairs = [(r[0], plain(text(r))) for r in rated]
-    assert {r[0] for r in unique} == set(brute_components(pairs).values())
+    reps = brute_components(pairs)
+    assert {r[0] for r in unique} <= set(reps.values())
+    shingles = {r[0]: {tuple(w[i : i + 5]) for w in [text(r).lower().split()] for i in range(max(1, len(w) - 4))} for r in rated}
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    gone = {d for d, _ in reps if d not in {r[0] for r in unique}}
+    assert all(max(like(d, o) for o in shingles if o != d) > 0.5 for d in gone)
+    assert all(like(a, b) < 0.9 for a in (r[0] for r in unique) for b in (r[0] for r in unique) if a < b)
     assert {r[0] for r in clean} == {r[0] for r in unique if not contamination(text(r), items)[4]}
 
     taken = {r.doc_id: r.copies for r in mixing.mix(seen[3]).collect()}

@@ -70,12 +70,29 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted([(5, 3), (3, 3), (4, 3), (7, 6), (6, 6), (8, 8), (8, 8), (None, None)], key=str)
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 6, 8]
+    for loose in (True, False):
+        kept = simhash.representatives(docs, loose=loose)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 6, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_spark_hash_agrees(spark):
     r = spark.range(1).select(F.xxhash64(F.lit("one two é")).alias("h")).first()
     assert r.h % (1 << 64) == xxhash.xxh64_intdigest("one two é".encode(), 42)
+
+
+def test_loose_copies(spark):
+    """Copies with every sixtieth word changed are found, texts that share a quarter of their words in order are not."""
+    rng = np.random.default_rng(9)
+    word = lambda: "w%d" % rng.integers(0, 10**9)
+    rows = []
+    for k in range(30):
+        base = [word() for _ in range(400)]
+        near = [word() if i % 60 == 7 else w for i, w in enumerate(base)]
+        apart = base[:100] + [word() for _ in range(300)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(apart))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.loose_groups(docs).collect()}
+    assert sum(got[3 * k + 1] == 3 * k for k in range(30)) >= 29
+    assert all(got[3 * k + 2] == 3 * k + 2 for k in range(30))
