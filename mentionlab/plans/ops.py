@@ -12,6 +12,7 @@ from mentionlab.operators import models
 from mentionlab.plans import study
 from mentionlab.session import table
 from mentionlab.sources import harvest
+from mentionlab.streaming import daily
 
 
 def harvest_dedupe(spark, sf):
@@ -267,7 +268,7 @@ QUERIES = {
         k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY day, doc) AS k FROM x)
         SELECT cluster, count(*) AS n_articles, count(DISTINCT outlet) AS n_outlets, min(day) AS first_day, max(day) AS last_day, string_agg(title, ' || ' ORDER BY day, doc) FILTER (k <= 5) AS titles, string_agg('o/' || doc, ' ' ORDER BY day, doc) AS urls FROM k GROUP BY 1""",
     ),
-    "harvest_stream": (harvest.streamed_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2"),
+    "harvest_stream": (daily.streamed_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2"),
     "gee_odds": (gee, None),
     "quasibinomial": (quasibinomial, None),
     "permutation_by_strata": (sampled_permutation, None),

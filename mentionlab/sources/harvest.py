@@ -1,15 +1,12 @@
-"""Readers of landed harvest files, windows and their ledger, and the streamed variant."""
+"""Readers of landed harvest files, windows and their ledger."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionlab.functions import text as t
-from mentionlab.session import shared_dir
 
 #: Rows of a search answer from which it counts as cut off.
 CAP = 250
@@ -64,23 +61,3 @@ def open_windows(windows: DataFrame, ledger: DataFrame, key: str = "k") -> DataF
 def search_strings(terms: tuple[str, ...], size: int) -> list[str]:
     """Disjunctions of at most `size` quoted terms."""
     return ["(" + " OR ".join(f'"{x}"' if " " in x else x for x in terms[i : i + size]) + ")" for i in range(0, len(terms), size)]
-
-
-def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files, counted by day and type: each micro-batch is written once, and the ledger of the stream
-    is its checkpoint. Late rows are all taken: the final state of the complete aggregate is read back."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # the reader of streams wants a folder: the file's name is its filter
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    daily = stream.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
-    out, check = (f"{shared_dir(spark)}/stream-{k}-{uuid.uuid4().hex}" for k in ("out", "check"))
-    query = daily.writeStream.outputMode("complete").option("checkpointLocation", check).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
