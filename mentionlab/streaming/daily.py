@@ -17,7 +17,7 @@ def ingest(stream: DataFrame, key: str, order: list, path: str, checkpoint: str)
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        there = spark.read.parquet(path) if number and _exists(spark, path) else None
+        there = spark.read.parquet(path) if _exists(spark, path) else None
         insert_ignore(df, there, key, order).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
