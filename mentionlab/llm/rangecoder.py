@@ -21,39 +21,39 @@ import numpy as np
 
 #: Ids of a block; ids are below 1 << ID_BITS.
 BLOCK, ID_BITS = 4096, 17
-_SLOTS = 12  # bits of a context table
+_SLOTS = 11  # bits of a context table
 _CLASSES, _EXTRA, _REFRESH, _INC, _LIMIT = 64, 16, 32, 16, 1 << 13
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-_U = np.uint64
+_U, _I = np.uint64, np.int32
 
 _v = np.arange(1 << ID_BITS, dtype=np.int64) + 4
 _log = np.frexp(_v.astype(np.float64))[1].astype(np.int64) - 1
-_width = _log - 2  # bits of an id inside its class
-_class = 4 * (_log - 2) + ((_v >> _width) & 3)
-_inside = _v & ((1 << _width) - 1)
+_width = (_log - 2).astype(np.int8)  # bits of an id inside its class
+_class = (4 * (_log - 2) + ((_v >> _width) & 3)).astype(np.int8)
 _first = np.zeros(_CLASSES, np.int64)  # first id of a class
 _bits = np.zeros(_CLASSES, np.int64)
 _first[_class[::-1]] = np.arange(1 << ID_BITS)[::-1]
 _bits[_class] = _width
 
-_STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-_SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], np.int64)
+_STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], _I)
+_SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], _I)
 
 
 class _Model:
-    """State of n blocks; the first `a` of them are active."""
+    """State of n blocks; the first `a` of them are active. A context's candidate and confidence share one number."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n, dtype=np.int64)
-        self.cand = [np.zeros(n << _SLOTS, np.int32) for _ in range(2)]
-        self.conf = [np.zeros(n << _SLOTS, np.int8) for _ in range(2)]
-        self.p2, self.p1, self.p0 = (np.full(n * k, 1 << 15, np.int64) for k in (8, 32, 1))
-        self.q = np.full(n * 8, 1 << 13, np.int64)
-        self.w = [np.full(n, w, np.int64) for w in (26000, 26000, 13000)]
-        self.freq = np.full((n, _CLASSES), 4, np.int64)
+        self.lane = np.arange(n, dtype=_I)
+        self.base, self.by8, self.by32, self.by64 = self.lane << _SLOTS, self.lane * 8, self.lane * 32, self.lane * _CLASSES
+        self.tab1, self.tab2 = (np.zeros(n << _SLOTS, _I) for _ in range(2))
+        self.p2, self.p1, self.p0 = (np.full(n * k, 1 << 15, _I) for k in (8, 32, 1))
+        self.q = np.full(n * 8, 1 << 13, _I)
+        self.w = [np.full(n, w, _I) for w in (26000, 26000, 13000)]
+        self.freq = np.full((n, _CLASSES), 4, _I)
+        self.flat = self.freq.reshape(-1)
         self.cum = np.zeros((n, _CLASSES + 1), np.int64)
-        self.x1 = np.full(n, (1 << ID_BITS) - 1, np.int64)
-        self.x2 = self.x1.copy()
+        self.x1 = np.full(n, (1 << ID_BITS) - 1, _I)
+        self.h2 = np.zeros(n, _I)
         self.steps = 0
 
     def predict(self, a: int) -> None:
@@ -64,47 +64,46 @@ class _Model:
                 f[big] = (f[big] + 1) >> 1
             np.cumsum(f, axis=1, out=self.cum[:a, 1:])
         self.steps += 1
-        lane, x1, x2 = self.lane[:a], self.x1[:a], self.x2[:a]
-        base = lane << _SLOTS
-        self.i1 = base + ((x1 * 40503 + 977) >> 4 & ((1 << _SLOTS) - 1))
-        self.i2 = base + ((x1 * 40503 + x2 * 30011 * 5 + 331) >> 5 & ((1 << _SLOTS) - 1))
-        self.a1, self.n1 = self.cand[0][self.i1].astype(np.int64), self.conf[0][self.i1].astype(np.int64)
-        self.a2, self.n2 = self.cand[1][self.i2].astype(np.int64), self.conf[1][self.i2].astype(np.int64)
+        base, h1 = self.base[:a], self.x1[:a] * _I(10007)
+        self.i1 = base + (h1 >> 3 & ((1 << _SLOTS) - 1))
+        self.i2 = base + ((h1 * _I(3) + self.h2[:a]) >> 4 & ((1 << _SLOTS) - 1))
+        t1, t2 = self.tab1[self.i1], self.tab2[self.i2]
+        self.a1, self.n1, self.a2, self.n2 = t1 >> 3, t1 & 7, t2 >> 3, t2 & 7
         two, one = self.n2 > 0, self.n1 > 0
-        same = two & one & (self.a1 == self.a2)
+        both, equal = two & one, self.a1 == self.a2
         self.has = two | one
         self.A = np.where(two, self.a2, self.a1)
-        self.hasB = two & one & ~same
-        self.j2 = lane * 8 + self.n2
-        self.j1 = lane * 32 + self.n1 + 8 * (same + 2 * self.hasB)
-        self.jq = lane * 8 + self.n1
-        self.s = [_STRETCH[self.p2[self.j2] >> 4], _STRETCH[self.p1[self.j1] >> 4], _STRETCH[self.p0[:a] >> 4]]
-        dot = (self.w[0][:a] * self.s[0] + self.w[1][:a] * self.s[1] + self.w[2][:a] * self.s[2]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        hit = self.p << 12
-        other = (4096 - self.p) * np.clip(self.q[self.jq] >> 4, 1, 4094)
-        self.hit = np.where(self.has, hit, 0)
-        self.other = np.where(self.hasB, other, 0)
+        self.hasB = both & ~equal
+        self.j2 = self.by8[:a] + self.n2
+        self.j1 = self.by32[:a] + self.n1 + (both.astype(_I) << 3) + (self.hasB.astype(_I) << 3)
+        self.jq = self.by8[:a] + self.n1
+        self.g2, self.g1, self.g0, self.gq = self.p2[self.j2], self.p1[self.j1], self.p0[:a], self.q[self.jq]
+        self.s = (_STRETCH[self.g2 >> 4], _STRETCH[self.g1 >> 4], _STRETCH[self.g0 >> 4])
+        w = self.w
+        dot = (w[0][:a] * self.s[0] >> 16) + (w[1][:a] * self.s[1] >> 16) + (w[2][:a] * self.s[2] >> 16)
+        self.p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
+        self.hit = (self.p << 12) * self.has
+        self.other = (4096 - self.p) * np.minimum(np.maximum(self.gq >> 4, 1), 4094) * self.hasB
 
     def update(self, a: int, x: np.ndarray, isA: np.ndarray, isB: np.ndarray, miss: np.ndarray) -> None:
-        y = isA.astype(np.int64)
-        up = lambda p, j, on: np.where(on, p[j] + (((y << 16) - y - p[j]) >> 5), p[j])
-        err = np.where(self.has, ((y << 12) - self.p) * 6, 0)
+        y = isA.astype(_I) * _I(65535)
+        err = ((y >> 4) - self.p) * 6 * self.has
         for w, s in zip(self.w, self.s):
-            w[:a] += (s * err + 0x2000) >> 14
-        self.p2[self.j2] = up(self.p2, self.j2, self.has)
-        self.p1[self.j1] = up(self.p1, self.j1, self.has)
-        self.p0[:a] = up(self.p0, self.lane[:a], self.has)
-        asked = self.hasB & ~isA
-        q = self.q[self.jq]
-        self.q[self.jq] = np.where(asked, q + (((isB.astype(np.int64) << 16) - isB - q) >> 5), q)
-        for k, (i, c, n) in enumerate(((self.i1, self.a1, self.n1), (self.i2, self.a2, self.n2))):
-            right = (n > 0) & (c == x)
-            keep = right | (n > 1)
-            self.cand[k][i] = np.where(keep, c, x)
-            self.conf[k][i] = np.where(right, np.minimum(n + 1, 7), np.where(keep, n >> 1, 1))
-        self.freq.reshape(-1)[self.lane[:a] * _CLASSES + _class[x]] += _INC * miss
-        self.x2[:a] = self.x1[:a]
+            v = w[:a]
+            v += (s * err + 0x2000) >> 14
+            np.minimum(np.maximum(v, -1 << 19, out=v), 1 << 19, out=v)  # products stay below 2 ** 31
+        has = self.has
+        self.p2[self.j2] = self.g2 + ((y - self.g2) >> 5) * has
+        self.p1[self.j1] = self.g1 + ((y - self.g1) >> 5) * has
+        self.p0[:a] += ((y - self.g0) >> 5) * has
+        self.q[self.jq] = self.gq + ((isB.astype(_I) * _I(65535) - self.gq) >> 5) * (self.hasB & ~isA)
+        fresh = x << 3 | 1
+        for tab, i, c, n in ((self.tab1, self.i1, self.a1, self.n1), (self.tab2, self.i2, self.a2, self.n2)):
+            right = (c == x) & (n > 0)
+            conf = np.where(right, np.minimum(n + 1, 7), n >> 1)
+            tab[i] = np.where(conf > 0, c << 3 | conf, fresh)
+        self.flat[self.by64[:a] + _class[x]] += miss * _I(_INC)
+        self.h2[:a] = self.x1[:a] * _I(7919)
         self.x1[:a] = x
 
 
@@ -119,7 +118,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = _order([len(b) for b in blocks])
     lengths = np.array([len(blocks[i]) for i in order], np.int64)
     n, longest = len(blocks), int(lengths[0])
-    ids = np.zeros((longest, n), np.int64)
+    ids = np.zeros((longest, n), _I)
     for k, i in enumerate(order):
         if len(blocks[i]) and int(blocks[i].max()) >> ID_BITS:
             raise ValueError(f"ids must be below {1 << ID_BITS}")
@@ -128,19 +127,19 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     out, pos = np.zeros((n, 5 * longest + 8), np.uint16), np.zeros(n, np.int64)
     model = _Model(n)
 
-    def put(a: int, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        l, r = low[:a], rng[:a]
-        unit = r // total.astype(_U)
-        l += start.astype(_U) * unit
-        r[:] = width.astype(_U) * unit
-        i = np.flatnonzero(((l ^ (l + r)) < _TOP) | (r < _BOT))
+    def put(i: np.ndarray | slice, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        unit = rng[i] >> _U(24) if total is None else rng[i] // total
+        li, ri = low[i] + start.astype(_U) * unit, width.astype(_U) * unit
+        low[i], rng[i] = li, ri
+        more = ((li ^ (li + ri)) < _TOP) | (ri < _BOT)
+        i = np.flatnonzero(more) if total is None else i[more]
         while len(i):
-            li, ri = l[i], r[i]
+            li, ri = low[i], rng[i]
             ri = np.where((li ^ (li + ri)) < _TOP, ri, (~li + _U(1)) & (_BOT - _U(1)))
             out[i, pos[i]] = (li >> _U(48)).astype(np.uint16)
             pos[i] += 1
             li, ri = li << _U(16), ri << _U(16)
-            l[i], r[i] = li, ri
+            low[i], rng[i] = li, ri
             i = i[((li ^ (li + ri)) < _TOP) | (ri < _BOT)]
 
     a = n
@@ -154,12 +153,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         miss = ~(isA | isB)
         start = np.where(isA, 0, np.where(isB, model.hit, model.hit + model.other))
         width = np.where(isA, model.hit, np.where(isB, model.other, (1 << 24) - model.hit - model.other))
-        put(a, start, width, np.full(a, 1 << 24))
-        c, lane = _class[x], model.lane[:a]
-        f0 = model.cum[lane, c]
-        f = model.cum[lane, c + 1] - f0
-        size = (f << _EXTRA) >> _width[x]
-        put(a, np.where(miss, (f0 << _EXTRA) + _inside[x] * size, 0), np.where(miss, size, 1), np.where(miss, model.cum[:a, -1] << _EXTRA, 1))
+        put(slice(0, a), start, width, None)
+        m = np.flatnonzero(miss)  # only these need order 0
+        if len(m):
+            xm = x[m]
+            c, bits = _class[xm], _width[xm].astype(np.int64)
+            f0 = model.cum[m, c]
+            size = ((model.cum[m, c + 1] - f0) << _EXTRA) >> bits
+            inside = (xm + 4) & ((1 << bits) - 1)
+            put(m, (f0 << _EXTRA) + inside * size, size, (model.cum[m, -1] << _EXTRA).astype(_U))
         model.update(a, x, isA, isB, miss)
     for _ in range(4):
         out[model.lane, pos] = (low >> _U(48)).astype(np.uint16)
@@ -187,20 +189,20 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         code = code << _U(16) | data[:, k]
     ids = np.zeros((longest, n), np.int64)
     model = _Model(n)
-    last = data.shape[1] - 1
+    last, eight = data.shape[1] - 1, np.arange(1, 9)[None, :]
 
-    def take(a: int, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        l, r = low[:a], rng[:a]
-        l += start.astype(_U) * unit
-        r[:] = width.astype(_U) * unit
-        i = np.flatnonzero(((l ^ (l + r)) < _TOP) | (r < _BOT))
+    def take(i: np.ndarray | slice, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
+        li, ri = low[i] + start.astype(_U) * unit, width.astype(_U) * unit
+        low[i], rng[i] = li, ri
+        more = ((li ^ (li + ri)) < _TOP) | (ri < _BOT)
+        i = np.flatnonzero(more) if isinstance(i, slice) else i[more]
         while len(i):
-            li, ri = l[i], r[i]
+            li, ri = low[i], rng[i]
             ri = np.where((li ^ (li + ri)) < _TOP, ri, (~li + _U(1)) & (_BOT - _U(1)))
             code[i] = code[i] << _U(16) | data[i, np.minimum(pos[i], last)]
             pos[i] += 1
             li, ri = li << _U(16), ri << _U(16)
-            l[i], r[i] = li, ri
+            low[i], rng[i] = li, ri
             i = i[((li ^ (li + ri)) < _TOP) | (ri < _BOT)]
 
     a = n
@@ -208,24 +210,28 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         while sizes[a - 1] <= t:
             a -= 1
         model.predict(a)
-        unit = rng[:a] // _U(1 << 24)
+        unit = rng[:a] >> _U(24)
         at = np.minimum((code[:a] - low[:a]) // unit, _U((1 << 24) - 1)).astype(np.int64)
         isA = at < model.hit
         isB = ~isA & (at < model.hit + model.other)
         miss = ~(isA | isB)
         start = np.where(isA, 0, np.where(isB, model.hit, model.hit + model.other))
         width = np.where(isA, model.hit, np.where(isB, model.other, (1 << 24) - model.hit - model.other))
-        take(a, start, width, unit)
-        total = np.where(miss, model.cum[:a, -1] << _EXTRA, 1)
-        unit = rng[:a] // total.astype(_U)
-        at = np.minimum((code[:a] - low[:a]) // unit, (total - 1).astype(_U)).astype(np.int64)
-        lane = model.lane[:a]
-        c = np.clip((model.cum[:a, 1:] <= (at >> _EXTRA)[:, None]).sum(axis=1), 0, _CLASSES - 1)
-        f0 = model.cum[lane, c]
-        size = ((model.cum[lane, c + 1] - f0) << _EXTRA) >> _bits[c]
-        inside = (at - (f0 << _EXTRA)) // size
-        x = np.where(isA, model.A, np.where(isB, model.a1, _first[c] + inside))
-        take(a, np.where(miss, (f0 << _EXTRA) + inside * size, 0), np.where(miss, size, 1), unit)
+        take(slice(0, a), start, width, unit)
+        x = np.where(isA, model.A, model.a1)
+        m = np.flatnonzero(miss)
+        if len(m):
+            total = (model.cum[m, -1] << _EXTRA).astype(_U)
+            unit = rng[m] // total
+            at = np.minimum((code[m] - low[m]) // unit, total - _U(1)).astype(np.int64)
+            place = (at >> _EXTRA)[:, None]
+            c = 8 * (model.cum[m, 8:_CLASSES:8] <= place).sum(axis=1)  # eight classes at a time, then one
+            c = np.minimum(c + (model.cum[m[:, None], c[:, None] + eight] <= place).sum(axis=1), _CLASSES - 1)
+            f0 = model.cum[m, c]
+            size = ((model.cum[m, c + 1] - f0) << _EXTRA) >> _bits[c]
+            inside = (at - (f0 << _EXTRA)) // size
+            x[m] = _first[c] + inside
+            take(m, (f0 << _EXTRA) + inside * size, size, unit)
         model.update(a, x, isA, isB, miss)
         ids[t, :a] = x
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
