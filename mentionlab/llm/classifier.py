@@ -26,9 +26,9 @@ from mentionlab.llm.common import table, written
 LABELS = ("quality", "toxic")
 #: Labelled documents of each combination of labels that the fit uses at most.
 PER_CLASS = 2000
-HASH_BITS, BINS, MIN_DOCS = 18, 16, 3
+HASH_BITS, BINS, MIN_DOCS, MIN_CHI = 18, 16, 3, 12.0
 #: Ridge weight, steps of the fit, and bounds of the priors' weights.
-RIDGE, STEPS, PRIOR_WEIGHT = 2e-3, 150, (1.0, 1e6)
+RIDGE, STEPS, PRIOR_WEIGHT = 1e-3, 400, (1.0, 1e6)
 #: Bound of a document's logit, and tables of sites that are sent to executors up to this many rows.
 MAX_LOGIT, MAX_BROADCAST_SITES = 12.0, 20_000
 CHUNK = 2 << 20
@@ -48,14 +48,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _POW, _INV = _powers(_B, CHUNK + 1), _powers(_BINV, CHUNK + 1)
-#: Style ratios and their largest bins: symbols, digits, capitals, white space, non-ASCII, pipes, distinct words, length.
-STYLE = 8
+#: Style ratios and their largest bins: symbols, digits, capitals, white space, non-ASCII, pipes, distinct
+#: words, length, repeated lines, exclamation marks.
+STYLE = 10
 SIZE = (1 << HASH_BITS) + STYLE * BINS
 
 
 def features(text: bytes) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text: its hashed words, and a bin for each style ratio."""
     found, n_words, counts = [], 0, np.zeros(256, np.int64)
+    lines = [x for x in text.split(b"\n") if x.strip()]
     at = 0
     while at < len(text):
         end = at + CHUNK
@@ -81,6 +83,7 @@ def features(text: bytes) -> np.ndarray:
     ratios = [
         8 * counts[list(b"#*$%&<>")].sum() / n, 8 * counts[48:58].sum() / n, counts[65:91].sum() / letters, 2 * counts[list(b" \t\n\r")].sum() / n,
         counts[128:].sum() / n, 16 * counts[124] / n, len(words) / max(1, n_words), np.log2(1 + n_words) / 16,
+        1 - len(set(lines)) / max(1, len(lines)), 16 * counts[33] / n,
     ]
     bins = [(1 << HASH_BITS) + k * BINS + min(BINS - 1, int(r * BINS)) for k, r in enumerate(ratios)]
     return np.concatenate((words.astype(np.int64), bins))
@@ -94,16 +97,18 @@ class Model:
         self.weights, self.bias = np.zeros((SIZE, len(LABELS)), np.float32), np.log(rates / (1 - rates))
         if not docs:
             return
-        flat = np.concatenate(docs)
+        flat, all_rows = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         df = np.bincount(flat, minlength=SIZE)
-        used = np.flatnonzero(df >= MIN_DOCS)
-        number = np.full(SIZE, -1, np.int64)
-        number[used] = np.arange(len(used))
-        row, col = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), number[flat]
-        row, col = row[col >= 0], col[col >= 0]
         for k in range(len(LABELS)):
             if not 0 < y[:, k].sum() < len(y):
                 continue
+            r = y[:, k].mean()  # a word is used if the label depends on it (chi-square); style bins always are
+            chi = (np.bincount(flat, y[all_rows, k], SIZE) - df * r) ** 2 / np.maximum(df * r * (1 - r), 1e-9)
+            used = np.flatnonzero((df >= MIN_DOCS) & ((chi >= MIN_CHI) | (np.arange(SIZE) >= 1 << HASH_BITS)))
+            number = np.full(SIZE, -1, np.int64)
+            number[used] = np.arange(len(used))
+            row, col = all_rows, number[flat]
+            row, col = row[col >= 0], col[col >= 0]
             w, b, s = np.zeros(len(used)), self.bias[k], weight / weight.sum()
             m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
             for t in range(1, STEPS + 1):  # Adam on the whole sample
