@@ -136,6 +136,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     model = fit(docs.where(~held))
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
