@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, table, written
+from mentionlab.llm.common import fresh, released, table, written
 from mentionlab.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(width))], names=["doc_id", *names])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -238,7 +238,7 @@ def _linked(keyed: DataFrame, words: list[str], max_bits: int, tile: int) -> Dat
     """(a, b) over keyed(choice, key, node, words...): a spanning forest of the links of every key."""
     rows = keyed.select("choice", "key", "node", *words)
     ordered = rows.repartitionByRange("choice", "key", "node").sortWithinPartitions("choice", "key", "node")
-    found = written(ordered.mapInArrow(_scan(max_bits, tile), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
+    found = written(ordered.mapInArrow(released(_scan(max_bits, tile)), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
     tiles = found.where("tile is not null").select("choice", "key", "tile", F.col("tile")[0].alias("low"))
     several = tiles.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice", "key")
     tiles = tiles.join(several, ["choice", "key"])

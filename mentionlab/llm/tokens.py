@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlab.llm import rangecoder
-from mentionlab.llm.common import table, text_of, written
+from mentionlab.llm.common import released, table, text_of, written
 
 END_ID = 0
 #: Ids from which a segment is closed (whole documents), and blocks that are coded side by side.
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
                 )
                 number += 1
 
-    return written(ordered.mapInArrow(run, "part int, seg int, first_id long, part_start long, n_ids long, payload binary"), name)
+    return written(ordered.mapInArrow(released(run), "part int, seg int, first_id long, part_start long, n_ids long, payload binary"), name)
 
 
 def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -183,7 +183,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     cols.append(pa.array([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    found = files.select("part", "part_start", "payload").mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    found = files.select("part", "part_start", "payload").mapInArrow(released(run), "doc_id long, part int, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     parts = files.groupBy("part").agg(F.min(F.struct(F.col("first_id").isNotNull(), "first_id")).alias("first"), F.sum("n_ids").alias("n"))
     before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
