@@ -12,11 +12,13 @@ coordinates are compared one pivot after another and only survivors are verified
 pairs at best (distances of random 64-bit strings concentrate at 32 +- 4), which is why the tables filter pairs inside
 a key and don't choose the keys.
 
-Wider fingerprints (several 64-bit words) find looser copies: keys are then samples of their bits, TABLES times, which
-finds a pair with a probability that falls with its distance instead of surely. The corpus pipeline uses both.
-
 Every task returns a spanning forest of the links it found, not the pairs: what is kept of a group of n close
 fingerprints is less than n rows for each choice of parts.
+
+The corpus pipeline links these and, by a looser rule, sets of five-word shingles with a Jaccard similarity of 0.8 or more. Candidates
+share a key of min-hashes and are close in a fingerprint of one bit of each; how often depends on their similarity alone,
+not on where they differ. Every link is then verified on the shingles. Where a key holds very many candidates, those
+nearest to each other are verified first, and then only what lies between different components of these.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,54 +48,90 @@ HELD = 40_000
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, seed=SEED) for i in range(16)], dtype=np.uint64)
 
 
-#: Wide fingerprints: words of 64 bits, tables and bits of their sampled keys, and the most differing bits of a link. On
-#: documents whose five-word shingles have a Jaccard similarity of 0.8, about 27 of 256 bits differ.
-WIDE, TABLES, KEY_BITS, WIDE_BITS = 4, 40, 20, 34
-
+#: The looser rule: words of a shingle, and least similarity as a fraction.
+LOOSE_SHINGLE, LEAST = 5, (4, 5)
+#: Min-hashes, 64 for each word of a fingerprint; the first BANDS * BAND of them are keys of BAND each. Of pairs with
+#: similarity 0.8, (1 - 0.8 ** 5) ** 32 = 3e-6 share no key; of their bits a tenth differs, and about 1e-6 of the pairs
+#: differ in more than LOOSE_BITS. Both fall fast above 0.8.
+WIDE, BANDS, BAND, LOOSE_BITS = 4, 32, 5, 50
+#: Candidates of one key for each of its rows, beyond which only the nearest ones are looked at first.
+CROWD = 8
+#: Pairs that a task holds before it hands them on.
+HELD_PAIRS = 1 << 20
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"min %d" % i, seed=SEED) | 1 for i in range(64 * WIDE)], dtype=np.uint64)
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit fingerprint of a UTF-8 text; 0 if it has no word."""
-    return int(wide_fingerprint(text, shingle, 1)[0])
 
-
-def wide_fingerprint(text: bytes, shingle: int = SHINGLE, width: int = WIDE) -> np.ndarray:
-    """Fingerprint of `width` 64-bit words: the first from the shingles' hashes, the others from mixes of them."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, in order; a text of fewer words is one shingle, none without a word."""
     words = text.lower().split()  # for bytes: A-Z, and exactly the ASCII white space of the word rule
     n = len(words) - shingle + 1
     if not words:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     if n < 1:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
-    out = []
-    for k in range(width):
-        if k:
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        counts = np.zeros(64, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"))
-    return np.array(out, np.uint64)
-
-
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, width: int = 1) -> DataFrame:
-    """(doc_id, fp as signed 64-bit, and further words fp1, fp2, ...) for each row of docs; null text is empty."""
-    names = ["fp", *(f"fp{k}" for k in range(1, width))]
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit fingerprint of a UTF-8 text; 0 if it has no word."""
+    h = shingle_hashes(text, shingle)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+
+
+def min_hashes(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of shingle hashes: WIDE words of one bit of each min-hash, and BANDS keys."""
+    least = np.full(64 * WIDE, ~np.uint64(0))
+    for i in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[i : i + 2048, None] * MULTIPLIERS).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    words = np.packbits(mixed >> np.uint64(63) > 0).view(np.uint64)
+    keys = [xxhash.xxh64_intdigest(k.tobytes(), SEED) for k in least[: BANDS * BAND].reshape(BANDS, BAND)]
+    return words, np.array(keys, np.uint64)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp as signed 64-bit) for each row of docs; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([wide_fingerprint(t or b"", shingle, width) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(width))], names=["doc_id", *names])
+            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), f"doc_id {kind}, fp long")
+
+
+def shingled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = LOOSE_SHINGLE) -> DataFrame:
+    """(doc_id, row, exact, node, fp, fp1, ..., keys, shingles) for each row of docs: a number of the row's own, the 64-bit
+    fingerprint, a digest of the text's set of shingles, its min-hashes, and the set itself, sorted. Null text is empty."""
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                b = batch.slice(at, 250)
+                texts = [t or b"" for t in b.column(1).to_pylist()]
+                exact = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                made = [min_hashes(x) for x in sets]
+                fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
+                lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs).view(np.int64)))
+                nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                columns = [b.column(0), pa.array(np.arange(row, row + len(sets))), pa.array(exact), pa.array(nodes), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE)), lists([m[1] for m in made]), lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "exact", "node", *names, "keys", "shingles"])
+                row += len(sets)
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, row long, exact long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>, shingles array<long>"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), schema)
 
 
 def masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -120,6 +159,11 @@ class _Forest:
         up[max(a, b)] = min(a, b)
         return True
 
+    def find(self, a: int) -> int:
+        while self.up[a] != a:
+            a = self.up[a]
+        return a
+
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of rows of 64-bit words."""
@@ -128,8 +172,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def coordinates(fps: np.ndarray) -> np.ndarray:
     """Pivot distance table: one row of Hamming distances for each reference fingerprint."""
-    width = fps.shape[1]
-    return np.stack([distance(fps, np.resize(np.roll(PIVOTS, k), width)[None, :]) for k in range(max(4, len(PIVOTS) // width))])
+    return np.stack([np.bitwise_count(fps ^ p).astype(np.int16) for p in PIVOTS])
 
 
 def survivors(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int, other: np.ndarray | None = None, other_table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +181,7 @@ def survivors(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray,
     for of, at in zip(table, other_table):
         keep = np.abs(of[i] - at[j]) <= max_bits
         i, j = i[keep], j[keep]
-    keep = distance(fps[i], other[j]) <= max_bits
+    keep = np.bitwise_count(fps[i] ^ other[j]) <= max_bits
     return i[keep], j[keep]
 
 
@@ -156,32 +199,153 @@ def group_links(group: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits:
     return out
 
 
+def nearest_forest(label: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least spanning forest, by Boruvka's rounds, of the rows' pairs that differ in at most max_bits bits; rows of one
+    label are connected already."""
+    apart = np.zeros((len(fps), len(fps)), np.int16)
+    for at in range(0, len(fps), 256):
+        for k in range(fps.shape[1]):
+            apart[at : at + 256] += np.bitwise_count(fps[at : at + 256, k, None] ^ fps[None, :, k])
+    label = np.unique(label, return_inverse=True)[1]
+    out, far = [], max_bits + 1
+    while True:
+        best, other = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64)
+        for at in range(0, len(fps), 256):
+            d = np.where(label[at : at + 256, None] == label[None], far, apart[at : at + 256])
+            other[at : at + 256] = d.argmin(axis=1)
+            best[at : at + 256] = np.take_along_axis(d, other[at : at + 256, None], 1)[:, 0]
+        x = np.flatnonzero(best < far)
+        if not len(x):
+            break
+        x = x[np.lexsort((other[x], x, best[x], label[x]))]
+        x = x[np.unique(label[x], return_index=True)[1]]
+        forest = _Forest()
+        for i, j in zip(x.tolist(), other[x].tolist()):
+            if forest.join(int(label[i]), int(label[j])):
+                out.append((i, j))
+        root = np.arange(label.max() + 1)
+        for v in forest.up:
+            root[v] = forest.find(v)
+        label = root[label]
+    return np.array([i for i, _ in out], np.int64), np.array([j for _, j in out], np.int64)
+
+
+class Candidates:
+    """Pairs of rows (node, component, words...) that differ in at most max_bits bits and in their component; components are
+    the nodes themselves at first. Of groups with more than `crowd` pairs a row a least spanning forest; None: all pairs."""
+
+    def __init__(self, max_bits: int, crowd: int | None):
+        self.max_bits, self.crowd = max_bits, crowd
+
+    def _chosen(self, group: np.ndarray, rows: np.ndarray, steps: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nodes of the pairs that steps have; then `crowded` has the groups with too many."""
+        sizes = np.bincount(group)
+        found, held, of = np.zeros(len(sizes), np.int64), [], 0
+        most = np.full(len(sizes), np.iinfo(np.int64).max) if self.crowd is None else self.crowd * sizes
+        for i, j in steps:
+            found += np.bincount(group[i], minlength=len(sizes))
+            few = found[group[i]] <= most[group[i]]
+            held.append((i[few].astype(np.int32), j[few].astype(np.int32)))
+            of += len(held[-1][0])
+            if self.crowd is None and of > HELD_PAIRS:
+                i, j = (np.concatenate(x) for x in zip(*held))
+                yield rows[i, 0], rows[j, 0]
+                held, of = [], 0
+        self.crowded = np.flatnonzero(found > most)
+        if held:
+            i, j = (np.concatenate(x) for x in zip(*held))
+            few = found[group[i]] <= most[group[i]]
+            yield rows[i[few], 0], rows[j[few], 0]
+        for g in self.crowded:
+            some = rows[group == g]
+            i, j = nearest_forest(some[:, 1], np.ascontiguousarray(some[:, 2:]).view(np.uint64), self.max_bits)
+            yield some[i, 0], some[j, 0]
+
+    def _near(self, rows: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = rows[i, 1] != rows[j, 1]
+        i, j = i[differ], j[differ]
+        keep = distance(fps[i], fps[j]) <= self.max_bits
+        return i[keep], j[keep]
+
+    def within(self, group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs inside each run of equal group numbers 0, 1, ..."""
+        fps, n = np.ascontiguousarray(rows[:, 2:]).view(np.uint64), len(rows)
+
+        def steps():
+            i, d = np.arange(n - 1), 1
+            while len(i := i[(i + d < n) & (group[np.minimum(i + d, n - 1)] == group[i])]):
+                yield self._near(rows, fps, i, i + d)
+                d += 1
+
+        return self._chosen(group, rows, steps())
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs between two tiles of rows."""
+        rows = np.concatenate((a, b))
+        fps = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+
+        def steps():
+            for at in range(0, len(a), 256):
+                i = np.repeat(np.arange(at, min(at + 256, len(a))), len(b))
+                yield self._near(rows, fps, i, len(a) + np.tile(np.arange(len(b)), len(i) // len(b)))
+
+        return self._chosen(np.zeros(len(rows), np.int64), rows, steps())
+
+
+class Forests:
+    """Spanning forests of the links of rows (fingerprint), in place of all pairs."""
+
+    crowded = np.zeros(0, np.int64)
+
+    def __init__(self, max_bits: int):
+        self.max_bits = max_bits
+
+    def within(self, group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = group_links(group, rows[:, 0], np.ascontiguousarray(rows[:, 0]).view(np.uint64), self.max_bits)
+        yield np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64)
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fa, fb = (np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in (a, b))
+        ta, tb, forest, found = coordinates(fa), coordinates(fb), _Forest(), []
+        for at in range(0, len(a), 256):
+            i = np.repeat(np.arange(at, min(at + 256, len(a))), len(b))
+            j = np.tile(np.arange(len(b)), len(i) // len(b))
+            i, j = survivors(fa, ta, i, j, self.max_bits, fb, tb)
+            found += [(p, q) for p, q in zip(a[i, 0].tolist(), b[j, 0].tolist()) if forest.join(p, q)]
+        yield np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64)
+
+
 _LINKS = pa.schema([("choice", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("tile", pa.list_(pa.int64()))])
 
 
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Fingerprints of rows (node, words...): the node itself where there are no words."""
-    return np.ascontiguousarray(rows[:, 1:] if rows.shape[1] > 1 else rows).view(np.uint64)
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = lambda kind: pa.nulls(len(a), kind)
+    return pa.RecordBatch.from_arrays([none(pa.int32()), none(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none(_LINKS.field("tile").type)], schema=_LINKS)
 
 
-def _scan(max_bits: int, tile: int):
-    """Runs over rows sorted by (choice, key, node): links within a tile, and the tiles of keys that may go on elsewhere."""
+def _scan(pairs: Forests | Candidates, tile: int):
+    """Runs over rows sorted by (choice, key, node): pairs within a tile, the tiles of keys that may go on elsewhere, and
+    (neither pair nor tile) the keys with too many pairs."""
 
-    def emit(rows: np.ndarray, first: bool, last: bool) -> pa.RecordBatch | None:
+    def emit(rows: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         """rows: whole keys, but for the task's first and last ones."""
         key = rows[:, :2]
         starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
         sizes = np.diff(np.append(starts, len(rows)))
         group = np.repeat(np.arange(len(starts)), sizes)
         pos = np.arange(len(rows)) - np.repeat(starts, sizes)
-        piece = np.unique(group * (len(rows) // tile + 2) + pos // tile, return_inverse=True)[1]
-        out = [{"a": x, "b": y} for x, y in group_links(piece, rows[:, 2], _words(rows[:, 2:]), max_bits)]
+        at_piece, piece = np.unique(group * (len(rows) // tile + 2) + pos // tile, return_index=True, return_inverse=True)[1:]
+        for a, b in pairs.within(piece, rows[:, 2:]):
+            if len(a):
+                yield _pairs(a, b)
+        out = [{"choice": int(rows[at, 0]), "key": int(rows[at, 1])} for at in at_piece[pairs.crowded]]
         open_groups = ({0} if first else set()) | ({len(starts) - 1} if last else set()) | set(np.flatnonzero(sizes > tile).tolist())
         for g in sorted(open_groups):
             for at in range(starts[g], starts[g] + sizes[g], tile):
                 to = min(at + tile, starts[g] + sizes[g])
                 out.append({"choice": int(rows[at, 0]), "key": int(rows[at, 1]), "tile": rows[at:to, 2:].reshape(-1).tolist()})
-        return pa.RecordBatch.from_pylist(out, _LINKS) if out else None
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -200,74 +364,50 @@ def _scan(max_bits: int, tile: int):
                     held = [rows]
                     continue
                 cut = n - n % tile  # one key only: whole tiles of it
-                made, first = emit(rows[:cut], True, True), True
+                yield from emit(rows[:cut], True, True)
+                first = True
             else:
-                made, first = emit(rows[:cut], first, False), False
-            if made:
-                yield made
+                yield from emit(rows[:cut], first, False)
+                first = False
             held, n = [rows[cut:]], len(rows) - cut
         if n:
-            made = emit(np.concatenate(held), first, True)
-            if made:
-                yield made
+            yield from emit(np.concatenate(held), first, True)
 
     return run
 
 
-def _cross(max_bits: int, columns: int):
-    """Links between two tiles of one key."""
+def _cross(pairs: Forests | Candidates, columns: int):
+    """Pairs between two tiles of one key, as _scan has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(0), batch.column(1)):
-                a, b = (np.array(v.as_py(), np.int64).reshape(-1, columns) for v in (x, y))
-                fa, fb = _words(a), _words(b)
-                ta, tb, forest = coordinates(fa), coordinates(fb), _Forest()
-                for at in range(0, len(a), 256):
-                    i = np.repeat(np.arange(at, min(at + 256, len(a))), len(b))
-                    j = np.tile(np.arange(len(b)), len(i) // len(b))
-                    i, j = survivors(fa, ta, i, j, max_bits, fb, tb)
-                    out += [(p, q) for p, q in zip(a[i, 0].tolist(), b[j, 0].tolist()) if forest.join(p, q)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
+            for choice, key, x, y in zip(*(c for c in batch.columns)):
+                for a, b in pairs.across(*(np.array(v.as_py(), np.int64).reshape(-1, columns) for v in (x, y))):
+                    if len(a):
+                        yield _pairs(a, b)
+                if len(pairs.crowded):
+                    yield pa.RecordBatch.from_pylist([{"choice": choice.as_py(), "key": key.as_py()}], _LINKS)
 
     return run
 
 
-def _linked(keyed: DataFrame, words: list[str], max_bits: int, tile: int) -> DataFrame:
-    """(a, b) over keyed(choice, key, node, words...): a spanning forest of the links of every key."""
-    rows = keyed.select("choice", "key", "node", *words)
+def _linked(keyed: DataFrame, columns: list[str], pairs: Forests | Candidates, tile: int) -> DataFrame:
+    """(choice, key, a, b) over keyed(choice, key, node, columns...): pairs of every key, and keys that have too many."""
+    rows = keyed.select("choice", "key", "node", *columns)
     ordered = rows.repartitionByRange("choice", "key", "node").sortWithinPartitions("choice", "key", "node")
-    found = written(ordered.mapInArrow(released(_scan(max_bits, tile)), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
+    found = written(ordered.mapInArrow(released(_scan(pairs, tile)), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
     tiles = found.where("tile is not null").select("choice", "key", "tile", F.col("tile")[0].alias("low"))
     several = tiles.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice", "key")
     tiles = tiles.join(several, ["choice", "key"])
-    pairs = tiles.alias("x").join(tiles.alias("y"), ["choice", "key"]).where("x.low < y.low").select(F.col("x.tile"), F.col("y.tile").alias("tile2"))
-    return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(_cross(max_bits, 1 + len(words)), "a long, b long"))
+    both = tiles.alias("x").join(tiles.alias("y"), ["choice", "key"]).where("x.low < y.low").select("choice", "key", F.col("x.tile"), F.col("y.tile").alias("tile2"))
+    more = both.mapInArrow(released(_cross(pairs, 1 + len(columns))), "choice int, key long, a long, b long, tile array<long>")
+    return found.where("tile is null").union(more).drop("tile")
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(a, b) over distinct(fp): enough links of at most max_bits differing bits to connect all that are connected."""
     keyed = distinct.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "key"))
-    return _linked(keyed, [], max_bits, tile)
-
-
-def sampled_bits(tables: int = TABLES, bits: int = KEY_BITS, width: int = WIDE) -> list[list[int]]:
-    """For each table, masks of the words whose bits are its key: `bits` places of all, drawn by digests."""
-    out = []
-    for t in range(tables):
-        places = sorted(range(64 * width), key=lambda b: xxhash.xxh64_intdigest(b"%d %d" % (t, b), seed=SEED))[:bits]
-        own = [sum(1 << (b % 64) for b in places if b // 64 == k) for k in range(width)]
-        out.append([m - (1 << 64) if m >= 1 << 63 else m for m in own])
-    return out
-
-
-def wide_links(wide: DataFrame, max_bits: int = WIDE_BITS, tables: int = TABLES, bits: int = KEY_BITS, tile: int = TILE, width: int = WIDE) -> DataFrame:
-    """(a, b) over wide(node, fp, fp1, ...): links of at most max_bits differing bits whose fingerprints share a sampled key.
-    A pair that differs in a share p of its bits is found with probability 1 - (1 - (1 - p) ** bits) ** tables."""
-    names = ["fp", *(f"fp{k}" for k in range(1, width))]
-    keys = F.array(*[F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, own)]) for own in sampled_bits(tables, bits, width)])
-    return _linked(wide.select("node", *names, F.posexplode(keys).alias("choice", "key")), names, max_bits, tile)
+    return _linked(keyed, [], Forests(max_bits), tile).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
@@ -288,21 +428,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out
 
 
-def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) of documents with an integer id, by the exact 64-bit links and the wide ones together: copies
-    whose five-word shingles have a Jaccard similarity of about 0.8 or more, and what these reach."""
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of those pairs whose sets of shingles have a Jaccard similarity of LEAST or more."""
+    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "simhash-ends")
+    sets = sets.select("node", "shingles").join(F.broadcast(ends) if ends.count() <= MAX_BROADCAST_IDS else ends, "node", "left_semi")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    common, (p, q) = F.size(F.array_intersect("x", "y")), LEAST
+    return written(both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"), "simhash-alike")
+
+
+def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) of documents with an id: copies by the exact 64-bit links or with sets of five-word shingles
+    whose Jaccard similarity is 0.8 or more, and what these reach. The latter are verified; see BANDS for those missed."""
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    all_ = written(fingerprints(docs.where(F.col(doc_id).isNotNull()), text, doc_id, width=WIDE), "simhash-wide")
-    distinct = written(all_.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "simhash-distinct")
-    low = distinct.groupBy("fp").agg(F.min("node").alias("low"))  # a 64-bit fingerprint stands for all wide ones that have it
-    low = written(low, "simhash-low")
-    close = links(low.select("fp"))
-    ends = low.select(F.col("fp").alias("end"), "low")
-    close = close.join(ends.withColumnsRenamed({"end": "a", "low": "x"}), "a").join(ends.withColumnsRenamed({"end": "b", "low": "y"}), "b").select("x", "y")
-    same = distinct.join(low, "fp").where("node <> low").select("node", "low")
-    joined = connected_components(wide_links(distinct).select("a", "b").union(close).union(same))
-    members = distinct.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return all_.join(members, names).select("doc_id", "component_id")
+    all_ = written(shingled(docs.where(F.col(doc_id).isNotNull()), text, doc_id), "simhash-sets")
+    distinct = written(all_.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    told = distinct.agg(F.count_if(F.col("n") > 1), F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).first()
+    several = distinct.where("n > 1").select("node", "first")
+    spare = all_.select("node", "row").join(F.broadcast(several) if told[0] <= MAX_BROADCAST_IDS else several, "node").where("row <> first").select("row")
+    sets = all_.join(F.broadcast(spare) if told[1] <= MAX_BROADCAST_IDS else spare, "row", "left_anti")
+    keyed = sets.select("node", *names, F.posexplode("keys").alias("choice", "key"))
+    found = written(_linked(keyed.withColumn("component", F.col("node")), ["component", *names], Candidates(LOOSE_BITS, crowd), tile), "simhash-candidates")
+    edges = _alike(found.where("a is not null").select("a", "b"), sets)
+    crowded = written(found.where("a is null").select("choice", "key").distinct(), "simhash-crowded")
+    if many := crowded.count():
+        joined = written(connected_components(edges), "simhash-joined")
+        keyed = keyed.join(F.broadcast(crowded) if many <= MAX_BROADCAST_IDS else crowded, ["choice", "key"], "left_semi")
+        keyed = keyed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = _linked(keyed, ["component", *names], Candidates(LOOSE_BITS, None), tile)
+        edges = edges.union(_alike(found.select("a", "b"), sets))
+    prints = written(all_.groupBy("exact", "node").agg(F.count(F.lit(1)).alias("n")), "simhash-prints")
+    low = written(prints.groupBy("exact").agg(F.min("node").alias("low_node")), "simhash-low")
+    ends = low.select(F.col("exact").alias("end"), "low_node")
+    close = links(low.select(F.col("exact").alias("fp")))
+    close = close.join(ends.withColumnsRenamed({"end": "a", "low_node": "x"}), "a").join(ends.withColumnsRenamed({"end": "b", "low_node": "y"}), "b").select("x", "y")
+    same = prints.join(low, "exact").where("node <> low_node").select("node", "low_node")
+    joined = connected_components(edges.union(close).union(same))
+    members = written(distinct.join(joined, "node", "left").select("node", "low", F.coalesce("component", "node").alias("root")), "simhash-members")
+    lows = members.groupBy("root").agg(F.min("low").alias("component_id"))
+    return all_.select("doc_id", "node").join(members.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loose: bool = True, **how) -> DataFrame:

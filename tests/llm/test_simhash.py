@@ -96,3 +96,56 @@ def test_loose_copies(spark):
     got = {r.doc_id: r.component_id for r in simhash.loose_groups(docs).collect()}
     assert sum(got[3 * k + 1] == 3 * k for k in range(30)) >= 29
     assert all(got[3 * k + 2] == 3 * k + 2 for k in range(30))
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_loose_copies_on_both_sides_of_the_rule(spark):
+    """Appended, replaced and scattered words: pairs at 0.8 and a little more are linked however they differ, those below by the exact rule only."""
+    rng = np.random.default_rng(4)
+    word = lambda: "w%d" % rng.integers(0, 10**9)
+    rows, want = [], {}
+    for k in range(240):
+        n = (150, 400)[k % 2]
+        base = [word() for _ in range(n)]
+        m = round((n - 4) * (0.2, 0.24, 0.3, 0.42)[k // 6 % 4])
+        if k % 3 == 0:
+            near = base + [word() for _ in range(m)]
+        elif k % 3 == 1:
+            near = base[:20] + [word() for _ in range(m // 2)] + base[20 + m // 2 :]
+        else:
+            near = [word() if i % 5 == 2 and i < m // 2 else w for i, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        close = (plain(rows[-2][1]) ^ plain(rows[-1][1])).bit_count() <= 3  # the exact rule links too
+        want[2 * k + 1] = 2 * k + (jaccard(rows[-2][1], rows[-1][1]) < 0.8 and not close)
+    assert 60 < sum(k == v for k, v in want.items()) < 180
+    got = {r.doc_id: r.component_id for r in simhash.loose_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_loose_copies_in_crowded_keys(spark):
+    """Groups of copies of one text, near enough to it or to each other only, are what comparing all pairs finds."""
+    rng = np.random.default_rng(5)
+    word = lambda: "w%d" % rng.integers(0, 10**9)
+    texts = []
+    for share in (8, 14, 24):
+        base = [word() for _ in range(200)]
+        for _ in range(60):
+            at = int(rng.integers(0, 200 - share))
+            texts.append(" ".join(base[:at] + [word() for _ in range(share)] + base[at + share :]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    prints = [plain(t) for t in texts]
+    linked = [[j for j in range(len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3] for i in range(len(texts))]
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        now = [min(low[j] for j in of) for of in linked]
+        if now == low:
+            break
+        low = now
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for tile, crowd in ((2048, 8), (16, 1)):
+        got = {r.doc_id: r.component_id for r in simhash.loose_groups(docs, tile=tile, crowd=crowd).collect()}
+        assert [got[i] for i in range(len(texts))] == low
