@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionlab.session import written
+from mentionlab.session import forget, written
 
 #: Rounds grow with the logarithm of the longest path; this many would mean a fault.
 MAX_ROUNDS = 60
@@ -20,9 +20,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     skew handling, never gathered in one row.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).distinct()
-    e = written(e, "components")
-    nodes = e.select(F.col("v").alias("node")).union(e.select("m")).distinct()
-    e = e.where("v <> m")
+    first = last = written(e, "components")
+    nodes = first.select(F.col("v").alias("node")).union(first.select("m")).distinct()
+    e = first.where("v <> m")
     mark = None
     for _ in range(MAX_ROUNDS):
         both = e.union(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
@@ -31,6 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least"))
         small = large.join(least, large.v == least.u)
         e = written(small.select(F.col("m").alias("v"), F.col("least").alias("m")).where("v <> m").union(least.select("u", "least")).distinct(), "components")
+        if last is not first:
+            forget(last)
+        last = e
         now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("v", "m"), F.lit(1 << 40)))).first()
         if now == mark:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -49,17 +50,64 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session gets a temporary one;
+    a cluster is refused, since its executors would write where nobody else can read."""
     global _own
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     _own = _own or tempfile.mkdtemp(prefix="mentionlab-")  # the setting is fixed once a session runs
     return _own
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with the given ones and clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        n = f"_{name}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Folders of open scratch() blocks, innermost last.
+_scratch: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, is computed once and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once what was computed from them is written itself."""
+    for t in tables:
+        if path := getattr(t, "_written_path", None):
+            _delete(t.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """All tables written inside the block live in one folder of the shared one, which goes when the block ends: results
+    must be read or written elsewhere before that."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        _delete(spark, path)
