@@ -8,23 +8,17 @@ import ctypes
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionlab.session import shared_dir, table, written  # noqa: F401
+from mentionlab.session import forget, fresh, shared_dir, table, written  # noqa: F401
 
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that begin with the given ones and clash with no column of df."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        n = f"_{name}"
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written, with a number of each row's own, and that column's name: rows that repeat an id or have none can
+    be told apart afterwards."""
+    (row,) = fresh(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def text_of(col: str | Column) -> Column:

@@ -120,11 +120,13 @@ def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
     """Writes docs in the file format and returns the written table: part, seg, first_id, part_start, n_ids, payload.
 
     Ascending doc_id, nulls first; rows that repeat a doc_id follow in order of text. A null text is empty: the end id
-    alone. An empty table gives no segment. doc_id must be an integer column.
+    alone. An empty table gives no segment. doc_id must be an integer column. Ranges are of id and the beginning of the
+    text, so rows that repeat an id, or have none, spread over tasks; other columns of docs are not looked at.
     """
     where = path or tokenizer_path()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    laid = rows.withColumn("head", F.substring("text", 1, 32)).repartitionByRange("doc_id", "head")
+    ordered = laid.drop("head").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -55,3 +55,26 @@ def test_many_ranges(spark):
     a = sorted(mixing.mix(docs, rows_per_range=10).collect())
     b = sorted(mixing.mix(docs).collect())
     assert a == b
+
+
+def test_repeated_and_null_ids_lose_no_words(spark):
+    """What comes out of each source is what the mix takes, whatever the ids are, with budgets that cut."""
+    rows = [(None, f"{'w ' * (i % 5 + 12)}n{i}", "a") for i in range(40)] + [(7, f"{'v ' * (i % 3 + 2)}m{i}", "b") for i in range(40)] + [(5, "same text", "c")] * 60 + [(None, None, "c"), (8, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS row", "2 AS _row", "3 AS copies", "4 AS _mix_row")
+    for weights in ((1, 2, 3), (1, 30, 1), (9, 1, 2)):
+        told = mixing.mix(docs, weights=weights).collect()
+        out = mixing.mixed_documents(docs, weights=weights)
+        assert out.columns == docs.columns
+        got = out.collect()
+        for s in ("a", "b", "c"):
+            taken = sum(r.taken for r in told if r.source == s)
+            target = next(r.target for r in told if r.source == s)
+            assert taken == sum(len((r.text or "").split()) for r in got if r.source == s)
+            assert 0 < taken and abs(taken - target) <= 17
+        assert sorted(str(r) for r in mixing.mix(docs, weights=weights).collect()) == sorted(map(str, told))
+
+
+def test_hot_source_spreads(spark):
+    docs = spark.range(8000).selectExpr("id AS doc_id", "'w w' AS text", "if(id % 10 < 9, 'hot', 'b') AS source")
+    got = mixing.mix(docs, rows_per_range=10**9).collect()
+    assert sum(r.taken for r in got if r.source == "hot") == pytest.approx(next(r.target for r in got if r.source == "hot"), abs=2)
