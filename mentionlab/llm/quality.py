@@ -1,15 +1,19 @@
 """Operator 8: quality rules with risk-controlled thresholds.
 
 Per-document counts come from array functions on the document's own row, so nothing is shuffled for them. Cutoffs are
-not hand-set: for each rule and stratum the labelled good documents that a cutoff would reject are counted, and a
-cutoff is usable only if the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate stays within the
-rule's share of max_false_rejection.
-
-Multiple testing: cutoffs of one rule and stratum are tested in a fixed order, loosest first, up to the first failure
-(a fixed sequence needs no further correction); across rules and strata the error level is divided by their number.
-Rules share max_false_rejection evenly, so by the union bound a stratum loses at most that part of its good documents,
-with confidence 1 - alpha for all strata together. Among usable cutoffs the one with the largest excess of bad over
-good rejections is taken, the loosest of equals; a rule that gains nothing rejects nothing.
+not hand-set: they are tried on the labelled documents of a stratum along paths that are fixed before any label is seen.
+A path is one rule, or all rules with a common cutoff; its steps go from the loosest cutoff to the tightest. A step is
+usable only if the exact binomial (Clopper-Pearson) upper bound of the rate at which it rejects good documents, by any of
+its rules together, stays within max_false_rejection.
+
+Multiple testing: a path's steps are tested in order up to the first failure (a fixed sequence needs no further
+correction); over paths and strata the error level is divided by their number. So with confidence 1 - alpha no usable
+step of any stratum rejects more than that part of its good documents, and any of them may be chosen: the one with the
+largest excess of bad over good rejections is, the loosest of equals, the joint path last. Where none gains anything, or
+where the labels are too few, the stratum rejects nothing.
+
+Labels needed: with no good document lost a step is usable from log(alpha / tests) / log(1 - max_false_rejection) good
+labels, 297 for four strata with the values below.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ MAX_FALSE_REJECTION, ALPHA = 0.02, 0.05
 CUTOFFS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.075, 0.05, 0.03)
 #: Scores of the rules, larger is worse, each in 0..1.
 RULES = ("symbols", "dup_lines", "repeats", "capitals")
+#: Paths of cutoffs: each rule alone, and all rules with a common cutoff.
+JOINT = "any"
+PATHS = (*RULES, JOINT)
 #: A table of strata up to this many rows is sent to every executor; beyond, it is joined.
 MAX_BROADCAST_STRATA = 10_000
 
@@ -93,27 +100,37 @@ def tail_at_most(x: Column, n: Column, rate: float, level: Column) -> Column:
     return (n > 0) & (x < n * rate) & (F.when(x < n * rate, total).otherwise(0.0) <= F.log(level))
 
 
-def thresholds(labelled: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
-    """labelled(stratum, good boolean, one column for each rule): one row for each stratum with that rule's cutoff, null
-    where none is usable. Labelled rows with a null label must be left out before.
+def tested(labelled: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
+    """labelled(stratum, good boolean, one column for each rule) -> one row for each stratum, path and step: stratum, path,
+    k, cutoff, n (good labels), lost and caught (good and bad ones that the step rejects), ok (it is usable).
 
-    Rows are first counted by stratum, rule and the number of cutoffs that the score exceeds: what follows is a few
-    rows for each stratum whatever the number of labels.
+    Labelled rows are first counted by stratum, path and the number of cutoffs that the score exceeds: what follows is a
+    few rows for each stratum whatever the number of labels.
     """
     grid = F.array(*[F.lit(c) for c in cutoffs])
-    long = labelled.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("x")).select("stratum", "good", "x.rule", "x.score")
+    of = {**{r: F.col(r) for r in RULES}, JOINT: F.greatest(*[F.col(r) for r in RULES])}
+    long = labelled.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), of[p].alias("score")) for p in PATHS])).alias("x")).select("stratum", "good", "x.path", "x.score")
     over = F.aggregate(grid, F.lit(0), lambda a, c: a + F.when(F.col("score") > c, 1).otherwise(0))
-    counted = long.groupBy("stratum", "rule", over.alias("over")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    per_rule = counted.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.map_from_entries(F.collect_list(F.struct("over", F.struct("good", "bad")))).alias("at"))
-    per_rule = per_rule.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = per_rule.select("*", F.posexplode(grid).alias("k", "cutoff"))
+    counted = long.groupBy("stratum", "path", over.alias("over")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    per_path = counted.groupBy("stratum", "path").agg(F.sum("good").alias("n"), F.map_from_entries(F.collect_list(F.struct("over", F.struct("good", "bad")))).alias("at"))
+    per_path = written(per_path, "quality-paths")
+    tests = max(1, per_path.count())
+    step = per_path.select("*", F.posexplode(grid).alias("k", "cutoff"))
     at_least = lambda what: F.aggregate(F.filter(F.map_entries("at"), lambda e: e["key"] >= len(cutoffs) - F.col("k")), F.lit(0).cast("long"), lambda a, e: a + e["value"][what])
     step = step.withColumn("lost", at_least("good")).withColumn("caught", at_least("bad"))
-    step = step.withColumn("ok", tail_at_most(F.col("lost"), F.col("n"), max_false_rejection / len(RULES), F.lit(alpha) / F.col("tests")))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("k")
-    step = step.withColumn("ok", F.min("ok").over(so_far)).withColumn("gain", F.col("caught") - F.col("lost"))
-    best = step.groupBy("stratum", "rule").agg(F.max(F.when(F.col("ok") & (F.col("gain") > 0), F.struct("gain", (-F.col("k")).alias("k"), "cutoff")))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
+    step = step.withColumn("ok", tail_at_most(F.col("lost"), F.col("n"), max_false_rejection, F.lit(alpha / tests)))
+    so_far = Window.partitionBy("stratum", "path").orderBy("k")
+    return step.withColumn("ok", F.min("ok").over(so_far)).select("stratum", "path", "k", "cutoff", "n", "lost", "caught", "ok")
+
+
+def thresholds(labelled: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
+    """One row for each stratum of labelled rows with the cutoff of each rule (max_<rule>), null where it rejects nothing.
+    Labelled rows with a null label must be left out before."""
+    step = tested(labelled, max_false_rejection, alpha, cutoffs).withColumn("gain", F.col("caught") - F.col("lost"))
+    order = F.array_position(F.array(*[F.lit(p) for p in PATHS]), F.col("path"))
+    choice = F.struct("gain", (-F.col("k")).alias("k"), (-order).alias("order"), "path", "cutoff")
+    best = step.groupBy("stratum").agg(F.max(F.when(F.col("ok") & (F.col("gain") > 0), choice)).alias("best"))
+    return best.select("stratum", *[F.when(F.col("best.path").isin(r, JOINT), F.col("best.cutoff")).alias(f"max_{r}") for r in RULES])
 
 
 def _judged(df: DataFrame, limits: DataFrame, c, stratum: Column, kept: str) -> DataFrame:
@@ -150,17 +167,16 @@ def rate(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str =
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that the rules keep, columns as they were.
+    """The rows of docs that the rules keep, columns as they were; odd rows as in rate().
 
-    Counts are taken once for the cutoffs and again where each document is judged: counting twice is cheaper than
-    shuffling the texts to join them with their verdicts.
+    Counts are taken once and written beside the documents; the cutoffs read the counts alone, and documents are judged
+    where they lie.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps")
-    only = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
-    counts = with_counts(only, "text", {n: n for n in names}).drop("text")
-    labelled = counts.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
     own = dict(zip(names, fresh(docs, *names)))
-    counted = with_counts(docs, text, own)
+    counted = written(with_counts(docs, text, own), "quality-counted")
+    only = counted.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), *[F.col(own[n]).alias(n) for n in names])
+    labelled = only.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
     (kept,) = fresh(counted, "kept")
     return _judged(counted, thresholds(labelled, **how), lambda n: F.col(own[n]), F.col(stratum), kept).where(kept).select(*docs.columns)
 
