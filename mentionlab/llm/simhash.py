@@ -15,10 +15,12 @@ a key and don't choose the keys.
 Every task returns a spanning forest of the links it found, not the pairs: what is kept of a group of n close
 fingerprints is less than n rows for each choice of parts.
 
-The corpus pipeline links these and, by a looser rule, sets of five-word shingles with a Jaccard similarity of 0.8 or more. Candidates
-share a key of min-hashes and are close in a fingerprint of one bit of each; how often depends on their similarity alone,
-not on where they differ. Every link is then verified on the shingles. Where a key holds very many candidates, those
-nearest to each other are verified first, and then only what lies between different components of these.
+The corpus pipeline links these and, by a looser rule, sets of five-word shingles with a Jaccard similarity of 0.8 or
+more. Candidates share a key of min-hashes and are close in a fingerprint of one bit of each; how often depends on their
+similarity alone, not on where they differ. Every link is then verified on the shingles. Where a key holds very many
+candidates, those nearest to each other are verified first. What lies between different components of these is compared
+in cells of two tiles that hold the shingles themselves: a cell counts the common shingles of all its pairs by a matrix
+product and returns a spanning forest, so what is written does not grow with the number of pairs.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, released, table, written
+from mentionlab.llm.common import fresh, numbered, released, table, written
 from mentionlab.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -55,9 +57,9 @@ LOOSE_SHINGLE, LEAST = 5, (4, 5)
 #: differ in more than LOOSE_BITS. Both fall fast above 0.8.
 WIDE, BANDS, BAND, LOOSE_BITS = 4, 32, 5, 50
 #: Candidates of one key for each of its rows, beyond which only the nearest ones are looked at first.
-CROWD = 8
-#: Pairs that a task holds before it hands them on.
-HELD_PAIRS = 1 << 20
+CROWD = 4
+#: Weight of a tile of a crowd: a row counts its shingles and CELL_ROW. Columns of a cell's matrices at once.
+CELL, CELL_ROW, CELL_COLUMNS = 200_000, 200, 2048
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"min %d" % i, seed=SEED) | 1 for i in range(64 * WIDE)], dtype=np.uint64)
 
 
@@ -108,30 +110,28 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), f"doc_id {kind}, fp long")
 
 
-def shingled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = LOOSE_SHINGLE) -> DataFrame:
-    """(doc_id, row, exact, node, fp, fp1, ..., keys, shingles) for each row of docs: a number of the row's own, the 64-bit
-    fingerprint, a digest of the text's set of shingles, its min-hashes, and the set itself, sorted. Null text is empty."""
+def shingled(docs: DataFrame, row: str, text: str = "text", doc_id: str = "doc_id", shingle: int = LOOSE_SHINGLE) -> DataFrame:
+    """(row, doc_id, exact, node, fp, fp1, ..., keys, shingles) for each row of docs: its number, the 64-bit fingerprint, a
+    digest of the text's set of shingles, its min-hashes, and the set itself, sorted. Null text is empty."""
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 b = batch.slice(at, 250)
-                texts = [t or b"" for t in b.column(1).to_pylist()]
+                texts = [t or b"" for t in b.column(2).to_pylist()]
                 exact = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
                 made = [min_hashes(x) for x in sets]
                 fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
                 lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs).view(np.int64)))
                 nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                columns = [b.column(0), pa.array(np.arange(row, row + len(sets))), pa.array(exact), pa.array(nodes), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE)), lists([m[1] for m in made]), lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "exact", "node", *names, "keys", "shingles"])
-                row += len(sets)
+                columns = [b.column(0), b.column(1), pa.array(exact), pa.array(nodes), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE)), lists([m[1] for m in made]), lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "exact", "node", *names, "keys", "shingles"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, row long, exact long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>, shingles array<long>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), schema)
+    schema = f"row long, doc_id {kind}, exact long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>, shingles array<long>"
+    return docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), schema)
 
 
 def masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -199,14 +199,13 @@ def group_links(group: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits:
     return out
 
 
-def nearest_forest(label: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least spanning forest, by Boruvka's rounds, of the rows' pairs that differ in at most max_bits bits; rows of one
-    label are connected already."""
+def nearest_forest(nodes: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least spanning forest, by Boruvka's rounds, of the rows' pairs that differ in at most max_bits bits."""
     apart = np.zeros((len(fps), len(fps)), np.int16)
     for at in range(0, len(fps), 256):
         for k in range(fps.shape[1]):
             apart[at : at + 256] += np.bitwise_count(fps[at : at + 256, k, None] ^ fps[None, :, k])
-    label = np.unique(label, return_inverse=True)[1]
+    label = np.unique(nodes, return_inverse=True)[1]
     out, far = [], max_bits + 1
     while True:
         best, other = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64)
@@ -231,26 +230,23 @@ def nearest_forest(label: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[n
 
 
 class Candidates:
-    """Pairs of rows (node, component, words...) that differ in at most max_bits bits and in their component; components are
-    the nodes themselves at first. Of groups with more than `crowd` pairs a row a least spanning forest; None: all pairs."""
+    """Pairs of rows (node, words...) that differ in at most max_bits bits; of groups with more than `crowd` pairs a row a
+    least spanning forest, the group being told as crowded. Of tiles of one key only neighbours are compared."""
 
-    def __init__(self, max_bits: int, crowd: int | None):
+    neighbours = True
+
+    def __init__(self, max_bits: int, crowd: int):
         self.max_bits, self.crowd = max_bits, crowd
 
     def _chosen(self, group: np.ndarray, rows: np.ndarray, steps: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Nodes of the pairs that steps have; then `crowded` has the groups with too many."""
         sizes = np.bincount(group)
-        found, held, of = np.zeros(len(sizes), np.int64), [], 0
-        most = np.full(len(sizes), np.iinfo(np.int64).max) if self.crowd is None else self.crowd * sizes
+        found, held = np.zeros(len(sizes), np.int64), []
+        most = self.crowd * sizes
         for i, j in steps:
             found += np.bincount(group[i], minlength=len(sizes))
             few = found[group[i]] <= most[group[i]]
             held.append((i[few].astype(np.int32), j[few].astype(np.int32)))
-            of += len(held[-1][0])
-            if self.crowd is None and of > HELD_PAIRS:
-                i, j = (np.concatenate(x) for x in zip(*held))
-                yield rows[i, 0], rows[j, 0]
-                held, of = [], 0
         self.crowded = np.flatnonzero(found > most)
         if held:
             i, j = (np.concatenate(x) for x in zip(*held))
@@ -258,23 +254,21 @@ class Candidates:
             yield rows[i[few], 0], rows[j[few], 0]
         for g in self.crowded:
             some = rows[group == g]
-            i, j = nearest_forest(some[:, 1], np.ascontiguousarray(some[:, 2:]).view(np.uint64), self.max_bits)
+            i, j = nearest_forest(some[:, 0], np.ascontiguousarray(some[:, 1:]).view(np.uint64), self.max_bits)
             yield some[i, 0], some[j, 0]
 
-    def _near(self, rows: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        differ = rows[i, 1] != rows[j, 1]
-        i, j = i[differ], j[differ]
+    def _near(self, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = distance(fps[i], fps[j]) <= self.max_bits
         return i[keep], j[keep]
 
     def within(self, group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs inside each run of equal group numbers 0, 1, ..."""
-        fps, n = np.ascontiguousarray(rows[:, 2:]).view(np.uint64), len(rows)
+        fps, n = np.ascontiguousarray(rows[:, 1:]).view(np.uint64), len(rows)
 
         def steps():
             i, d = np.arange(n - 1), 1
             while len(i := i[(i + d < n) & (group[np.minimum(i + d, n - 1)] == group[i])]):
-                yield self._near(rows, fps, i, i + d)
+                yield self._near(fps, i, i + d)
                 d += 1
 
         return self._chosen(group, rows, steps())
@@ -282,12 +276,12 @@ class Candidates:
     def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs between two tiles of rows."""
         rows = np.concatenate((a, b))
-        fps = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        fps = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
 
         def steps():
             for at in range(0, len(a), 256):
                 i = np.repeat(np.arange(at, min(at + 256, len(a))), len(b))
-                yield self._near(rows, fps, i, len(a) + np.tile(np.arange(len(b)), len(i) // len(b)))
+                yield self._near(fps, i, len(a) + np.tile(np.arange(len(b)), len(i) // len(b)))
 
         return self._chosen(np.zeros(len(rows), np.int64), rows, steps())
 
@@ -296,6 +290,7 @@ class Forests:
     """Spanning forests of the links of rows (fingerprint), in place of all pairs."""
 
     crowded = np.zeros(0, np.int64)
+    neighbours = False
 
     def __init__(self, max_bits: int):
         self.max_bits = max_bits
@@ -392,16 +387,29 @@ def _cross(pairs: Forests | Candidates, columns: int):
 
 
 def _linked(keyed: DataFrame, columns: list[str], pairs: Forests | Candidates, tile: int) -> DataFrame:
-    """(choice, key, a, b) over keyed(choice, key, node, columns...): pairs of every key, and keys that have too many."""
+    """(choice, key, a, b) over keyed(choice, key, node, columns...): pairs of every key, and (without a pair) the keys that
+    have too many. Of keys of several tiles pairs of tile numbers are dealt out first; the tiles are joined to them, so
+    one key's pairs spread over tasks."""
     rows = keyed.select("choice", "key", "node", *columns)
     ordered = rows.repartitionByRange("choice", "key", "node").sortWithinPartitions("choice", "key", "node")
     found = written(ordered.mapInArrow(released(_scan(pairs, tile)), "choice int, key long, a long, b long, tile array<long>"), "simhash-links")
     tiles = found.where("tile is not null").select("choice", "key", "tile", F.col("tile")[0].alias("low"))
-    several = tiles.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice", "key")
-    tiles = tiles.join(several, ["choice", "key"])
-    both = tiles.alias("x").join(tiles.alias("y"), ["choice", "key"]).where("x.low < y.low").select("choice", "key", F.col("x.tile"), F.col("y.tile").alias("tile2"))
-    more = both.mapInArrow(released(_cross(pairs, 1 + len(columns))), "choice int, key long, a long, b long, tile array<long>")
-    return found.where("tile is null").union(more).drop("tile")
+    of_key = Window.partitionBy("choice", "key")
+    meta = tiles.select("choice", "key", "low", F.row_number().over(of_key.orderBy("low")).alias("k"), F.count(F.lit(1)).over(of_key).alias("n")).where("n > 1")
+    meta = written(meta, "simhash-tiles")
+    if not meta.count():
+        return found.where("tile is null").drop("tile")
+    last = F.least(F.col("k") + 1, F.col("n")) if pairs.neighbours else F.col("n")
+    numbers = meta.where("k < n").select("choice", "key", "low", F.explode(F.sequence(F.col("k") + 1, last.cast("int"))).alias("k"))
+    numbers = numbers.join(meta.select("choice", "key", "k", F.col("low").alias("low2")), ["choice", "key", "k"]).drop("k")
+    both = numbers.join(tiles, ["choice", "key", "low"]).join(tiles.select("choice", "key", F.col("low").alias("low2"), F.col("tile").alias("tile2")), ["choice", "key", "low2"])
+    spread = both.select("choice", "key", "tile", "tile2").repartition(F.xxhash64("choice", "key", "low", "low2"))
+    more = spread.mapInArrow(released(_cross(pairs, 1 + len(columns))), "choice int, key long, a long, b long, tile array<long>")
+    all_ = found.where("tile is null").union(more).drop("tile")
+    if pairs.neighbours:  # the rest of such keys is left to the cells
+        nothing = F.lit(None).cast("long")
+        all_ = all_.union(meta.select("choice", "key", nothing, nothing).distinct())
+    return all_
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
@@ -438,54 +446,136 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"), "simhash-alike")
 
 
-def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tile: int = TILE, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, component_id) of documents with an id: copies by the exact 64-bit links or with sets of five-word shingles
-    whose Jaccard similarity is 0.8 or more, and what these reach. The latter are verified; see BANDS for those missed."""
+def cell_links(left: tuple, right: tuple) -> list[tuple[int, int]]:
+    """Links between the rows of two sides, each (nodes, components, sets): pairs of different components whose sets have a
+    Jaccard similarity of LEAST or more, as a spanning forest of the components."""
+    flat = [np.concatenate(side[2]) if len(side[2]) else np.zeros(0, np.int64) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side[2])), [len(x) for x in side[2]]) for side in (left, right)]
+    shared = np.intersect1d(flat[0], flat[1])
+    common = np.zeros((len(left[0]), len(right[0])), np.float32)
+    places = []
+    for f, r in zip(flat, rows):
+        at = np.searchsorted(shared, f)
+        at[at == len(shared)] = 0
+        keep = shared[at] == f if len(shared) else np.zeros(len(f), bool)
+        o = np.argsort(at[keep], kind="stable")
+        places.append((at[keep][o], r[keep][o]))
+    for begin in range(0, len(shared), CELL_COLUMNS):
+        parts = []
+        for (at, r), n in zip(places, common.shape):
+            i, j = np.searchsorted(at, (begin, begin + CELL_COLUMNS))
+            m = np.zeros((n, CELL_COLUMNS), np.float32)
+            m[r[i:j], at[i:j] - begin] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    p, q = LEAST
+    sizes = [np.array([len(x) for x in side[2]], np.float64) for side in (left, right)]
+    close = (common * (p + q) >= (sizes[0][:, None] + sizes[1][None, :]) * p) & (common > 0)
+    close &= left[1][:, None] != right[1][None, :]
+    forest, out = _Forest(), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(close))):
+        if forest.join(int(left[1][i]), int(right[1][j])):
+            out.append((int(left[0][i]), int(right[0][j])))
+    return out
+
+
+def _rest(keyed: DataFrame, crowded: DataFrame, joined: DataFrame, sets: DataFrame, cell: int) -> DataFrame:
+    """(a, b): links between different components inside crowded keys, all pairs of which are looked at.
+
+    Keys that share nodes are one group. Of a group all rows outside its largest component are one side and all its rows
+    the other; both are cut into tiles by a digest of the node, and each pair of tiles is a cell, which one task holds.
+    """
+    k = keyed.join(crowded, ["choice", "key"], "left_semi").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    k = written(k, "simhash-crowds")
+    hubs = k.groupBy("choice", "key").agg(F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    members = written(k.join(hubs.select("choice", "key", "hub"), ["choice", "key"]).select("node", "component", "hub").distinct(), "simhash-members")
+    groups = connected_components(members, "node", "hub").withColumnsRenamed({"component": "g", "node": "own"})
+    nodes = members.select("node", "component").distinct().join(groups, F.col("node") == F.col("own")).drop("own")
+    nodes = written(nodes.join(sets.select("node", F.size("shingles").alias("size")), "node"), "simhash-crowd-nodes")
+    weight = F.col("size") + CELL_ROW
+    parts = nodes.groupBy("g", "component").agg(F.sum(weight.cast("long")).alias("w"))
+    of = parts.groupBy("g").agg(F.max(F.struct("w", "component")).alias("big"), F.sum("w").alias("w"))
+    tiles = lambda w: F.ceil(w / cell).cast("int")
+    of = of.select("g", F.col("big.component").alias("big"), tiles(F.col("w") - F.col("big.w")).alias("few"), tiles(F.col("w")).alias("all"))
+    rows = nodes.join(of, "g").join(sets.select("node", "shingles"), "node")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("component <> big").select("g", at("few").alias("i"), upto("all").alias("j"), F.lit(0).alias("side"), "node", "component", "shingles")
+    right = rows.where("few > 0").select("g", upto("few").alias("i"), at("all").alias("j"), F.lit(1).alias("side"), "node", "component", "shingles")
+
+    def run(t: pa.Table) -> pa.Table:
+        sides = []
+        for k in (0, 1):
+            own = t.filter(pa.compute.equal(t.column("side"), k))
+            sides.append((own.column("node").to_numpy(), own.column("component").to_numpy(), [x.values.to_numpy(zero_copy_only=False) for x in own.column("shingles")]))
+        found = cell_links(*sides)
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _loose(docs: DataFrame, row: str, text: str, doc_id: str, tile: int, crowd: int, cell: int) -> DataFrame:
+    """(row, doc_id, root) of numbered rows: equal roots for groups of near-duplicates."""
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    all_ = written(shingled(docs.where(F.col(doc_id).isNotNull()), text, doc_id), "simhash-sets")
-    distinct = written(all_.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    all_ = written(shingled(docs, row, text, doc_id), "simhash-sets")
+    distinct = written(all_.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     told = distinct.agg(F.count_if(F.col("n") > 1), F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).first()
     several = distinct.where("n > 1").select("node", "first")
     spare = all_.select("node", "row").join(F.broadcast(several) if told[0] <= MAX_BROADCAST_IDS else several, "node").where("row <> first").select("row")
     sets = all_.join(F.broadcast(spare) if told[1] <= MAX_BROADCAST_IDS else spare, "row", "left_anti")
     keyed = sets.select("node", *names, F.posexplode("keys").alias("choice", "key"))
-    found = written(_linked(keyed.withColumn("component", F.col("node")), ["component", *names], Candidates(LOOSE_BITS, crowd), tile), "simhash-candidates")
+    found = written(_linked(keyed, names, Candidates(LOOSE_BITS, crowd), tile), "simhash-candidates")
     edges = _alike(found.where("a is not null").select("a", "b"), sets)
     crowded = written(found.where("a is null").select("choice", "key").distinct(), "simhash-crowded")
     if many := crowded.count():
         joined = written(connected_components(edges), "simhash-joined")
-        keyed = keyed.join(F.broadcast(crowded) if many <= MAX_BROADCAST_IDS else crowded, ["choice", "key"], "left_semi")
-        keyed = keyed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = _linked(keyed, ["component", *names], Candidates(LOOSE_BITS, None), tile)
-        edges = edges.union(_alike(found.select("a", "b"), sets))
+        few = F.broadcast(crowded) if many <= MAX_BROADCAST_IDS else crowded
+        edges = edges.union(written(_rest(keyed.select("choice", "key", "node"), few, joined, sets, cell), "simhash-rest"))
     prints = written(all_.groupBy("exact", "node").agg(F.count(F.lit(1)).alias("n")), "simhash-prints")
     low = written(prints.groupBy("exact").agg(F.min("node").alias("low_node")), "simhash-low")
     ends = low.select(F.col("exact").alias("end"), "low_node")
     close = links(low.select(F.col("exact").alias("fp")))
     close = close.join(ends.withColumnsRenamed({"end": "a", "low_node": "x"}), "a").join(ends.withColumnsRenamed({"end": "b", "low_node": "y"}), "b").select("x", "y")
     same = prints.join(low, "exact").where("node <> low_node").select("node", "low_node")
-    joined = connected_components(edges.union(close).union(same))
-    members = written(distinct.join(joined, "node", "left").select("node", "low", F.coalesce("component", "node").alias("root")), "simhash-members")
-    lows = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    return all_.select("doc_id", "node").join(members.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    joined = connected_components(edges.union(close).union(same)).withColumnRenamed("node", "own")
+    out = all_.select("row", "doc_id", "node").join(joined, F.col("node") == F.col("own"), "left")
+    return out.select("row", "doc_id", F.coalesce("component", "node").alias("root"))
+
+
+def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tile: int = TILE, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id) of every row of docs: copies by the exact 64-bit links or with sets of five-word shingles whose
+    Jaccard similarity is 0.8 or more, and what these reach. The latter are verified; see BANDS for those missed.
+
+    component_id is the least id of the component; a null id is one only where all its rows have none. Null and wordless
+    texts are copies of each other. Ids may be of any orderable type and may repeat; an empty table gives none.
+    """
+    docs, row = numbered(docs.select(doc_id, text), "simhash-docs")
+    rows = written(_loose(docs, row, text, doc_id, tile, crowd, cell), "simhash-roots")
+    lows = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lows, "root").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loose: bool = True, **how) -> DataFrame:
-    """The rows of docs without those that are near-duplicates of a document with a smaller doc_id; columns as they were.
+    """One row of docs for each group of near-duplicates, columns as they were: that with the least doc_id, a null id last.
 
-    loose: near-duplicates as loose_groups has them, else as near_duplicates. Of rows that repeat a doc_id one stays, that
-    with the least text. Rows without a doc_id all stay: nothing names them.
+    loose: near-duplicates as loose_groups has them, else as near_duplicates. Rows are told apart by numbers of their own:
+    rows that repeat an id or have none stay unless their texts are near-duplicates, and of rows that agree in id and text
+    one stays. Ids may be of any orderable type. An empty table gives an empty one.
     """
-    groups = loose_groups(docs, text, doc_id) if loose else near_duplicates(docs, text, doc_id, **how).select("doc_id", "component_id")
-    found = written(groups, "simhash-groups")
-    told = found.agg(F.count_if(F.col("doc_id") != F.col("component_id")), F.count("doc_id") - F.count_distinct("doc_id")).first()
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(F.broadcast(gone) if told[0] <= MAX_BROADCAST_IDS else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    if told[1]:
-        (row,) = fresh(docs, "row")
-        first = kept.where(F.col(doc_id).isNotNull()).withColumn(row, F.row_number().over(Window.partitionBy(doc_id).orderBy(text)))
-        kept = first.where(F.col(row) == 1).drop(row).unionByName(kept.where(F.col(doc_id).isNull()))
-    return kept
+    docs, row = numbered(docs, "simhash-docs")
+    if loose:
+        how = {"tile": TILE, "crowd": CROWD, "cell": CELL} | how
+        found = _loose(docs, row, text, doc_id, **how)
+    else:
+        groups = near_duplicates(docs, text, row, **how).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+        found = groups.join(docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id")), "row")
+    found = written(found, "simhash-groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    gone = written(found.join(first, "root").where("row <> stays").select("row"), "simhash-gone")
+    (own,) = fresh(docs, "gone")
+    gone, n = gone.withColumnRenamed("row", own), gone.count()
+    kept = docs.join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, F.col(row) == F.col(own), "left_anti")
+    return kept.drop(row)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

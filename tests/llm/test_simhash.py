@@ -74,6 +74,13 @@ def test_odd_rows(spark):
         kept = simhash.representatives(docs, loose=loose)
         assert kept.columns == docs.columns
         assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 6, 8]
+    apart = [(None, "first text without an id " * 9, "a"), (None, "another one with quite different words " * 9, "b"), (1, "repeated id one " * 9, "c"), (1, "same id but nothing else in common " * 9, "d"), (None, "another one with quite different words " * 9, "e")]
+    docs = spark.createDataFrame(apart, "doc_id long, text string, fp string").selectExpr("*", "1 AS _gone", "2 AS _row", "3 AS row")
+    for loose in (True, False):
+        for ids in (docs, docs.withColumn("doc_id", F.concat(F.lit("id "), F.col("doc_id").cast("string")))):
+            kept = simhash.representatives(ids, loose=loose)
+            assert kept.columns == docs.columns
+            assert sorted(r.text for r in kept.collect()) == sorted({t for _, t, _ in apart})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -146,6 +153,6 @@ def test_loose_copies_in_crowded_keys(spark):
             break
         low = now
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for tile, crowd in ((2048, 8), (16, 1)):
-        got = {r.doc_id: r.component_id for r in simhash.loose_groups(docs, tile=tile, crowd=crowd).collect()}
+    for tile, crowd, cell in ((2048, 8, simhash.CELL), (16, 1, 9000), (64, 2, 2000)):
+        got = {r.doc_id: r.component_id for r in simhash.loose_groups(docs, tile=tile, crowd=crowd, cell=cell).collect()}
         assert [got[i] for i in range(len(texts))] == low
