@@ -2,15 +2,17 @@
 
 Learning: one pass counts words and (ORDER + 1)-byte strings of the training documents; both are summed by Spark. The
 counts of shorter contexts follow from the longest ones, since every position has a full one (documents begin with
-ORDER boundary bytes 0xFF, which no UTF-8 text holds, and end with one).
-
-The trie's capacity is a parameter: strings seen less often than the least count that keeps every order within MAX_NODES
-are left to escapes. That bounds what is sent to executors; all counts are taken over all training documents.
+ORDER boundary bytes 0xFF, which no UTF-8 text holds, and end with one). The trie is these tables, one for each order:
+every string that was seen is in them, however many there are, and they grow with the corpus.
 
 Coding: method C escapes with symbol exclusion. A symbol that its longest known context lacks is coded in the next
 shorter one without the symbols already excluded. As a context's symbols all occur in its suffix, what is excluded
-depends on the context alone, so each context stores its escape cost and its suffix's reduced total, and a whole batch
-of positions is scored by table look-ups: one for most positions, more only where a symbol escapes.
+depends on the context alone; so the code length of a symbol after ORDER bytes depends on these bytes and it alone, and
+a document's score is the sum over its strings of ORDER + 1 bytes. The code lengths of distinct strings are computed by
+joins of the tables, order by order: strings that training has seen end at the first, others go down and get fewer.
+
+The most frequent strings, SENT at most, are sent to the executors with their code lengths; a document's other strings
+are counted in it and joined with theirs. What is sent decides how much is shuffled and never a result.
 
 Base score: add-one word unigrams. The most frequent words, HEAVY at most, are sent to the executors; all other words of
 a document are joined with their counts by a shuffle without hot keys.
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import released, table, written
+from mentionlab.llm.common import forget, released, table, written
 
-ORDER, MAX_NODES, HEAVY = 5, 1_000_000, 80_000
+ORDER, SENT, HEAVY = 5, 500_000, 80_000
 #: Bytes of text that a worker counts or scores at once, words and strings it holds before it hands counts on.
 CHUNK, HELD_WORDS, HELD_GRAMS = 1 << 19, 120_000, 800_000
 EDGE = 0xFF
@@ -42,7 +44,7 @@ def lowered(text: bytes | None) -> bytes:
 
 
 class Trie:
-    """PPM over one growing byte history, plainly: for adaptive code lengths, and as the measure of the fast tables."""
+    """PPM over one growing byte history, plainly: for adaptive code lengths."""
 
     def __init__(self, order: int = ORDER):
         self.order = order
@@ -115,78 +117,26 @@ class _Index:
         return got
 
 
-class Tables:
-    """Look-up tables from the counts of all orders: grams[k] are (context of k bytes, symbol) as numbers."""
-
-    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.order = len(grams) - 1
-        self.log_count, self.grams, self.nodes, self.log_escape = [], [], [], []
-        self.log_own: list[np.ndarray] = []  # of a string whose context is the longest known: nothing is excluded
-        self.log_left: list[np.ndarray] = []  # of a context of k bytes: its suffix's total and symbols without its own
-        self.log_escape_left: list[np.ndarray] = []
-        totals, kinds = [], []
-        for k, (g, c) in enumerate(zip(grams, counts)):
-            g = g.astype(np.int64)
-            o = np.argsort(g)
-            g, c = g[o], c[o].astype(np.float64)
-            ctx, start, n = np.unique(g >> 8, return_index=True, return_counts=True)
-            total = np.add.reduceat(c, start) if len(c) else np.zeros(0)
-            self.grams.append(_Index(g))
-            self.nodes.append(_Index(ctx))
-            self.log_count.append(np.log10(c))
-            self.log_own.append(np.log10(c / np.repeat(total + n, n)))
-            self.log_escape.append(np.log10(n / (total + n)))
-            totals.append(total)
-            kinds.append(n)
-            if not k:
-                self.log_left.append(np.zeros(0))
-                self.log_escape_left.append(np.zeros(0))
-                continue
-            low = self.grams[k - 1].find(g & ((1 << 8 * k) - 1))
-            taken = np.add.reduceat(10 ** self.log_count[k - 1][low], start) if len(c) else np.zeros(0)
-            up = self.nodes[k - 1].find(ctx & ((1 << 8 * (k - 1)) - 1))
-            d = kinds[k - 1][up] - n
-            left = np.where(d > 0, np.rint(totals[k - 1][up] - taken) + d, 1)
-            self.log_left.append(np.log10(left))
-            self.log_escape_left.append(np.where(d > 0, np.log10(np.maximum(d, 1) / left), 0.0))
-        self.symbols = int(kinds[0][0]) if len(kinds[0]) else 0
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each (context of `order` bytes, symbol)."""
-        codes = codes.astype(np.int64)
-        out = np.zeros(len(codes))
-        i = np.arange(len(codes))
-        above = np.full(len(codes), -1, np.int64)  # the next longer known context, -1 if none is known
-        for k in range(self.order, -1, -1):
-            code = codes[i] & ((1 << 8 * (k + 1)) - 1)
-            gram = self.grams[k].find(code)
-            hit = np.flatnonzero(gram >= 0)
-            if len(hit):
-                got = self.log_own[k][gram[hit]]
-                reduced = np.flatnonzero(above[hit] >= 0)
-                if len(reduced):
-                    got[reduced] = self.log_count[k][gram[hit[reduced]]] - self.log_left[k + 1][above[hit[reduced]]]
-                out[i[hit]] += got
-            miss = np.flatnonzero(gram < 0)
-            i, code, above = i[miss], code[miss], above[miss]
-            node = self.nodes[k].find(code >> 8).astype(np.int64)
-            known = node >= 0
-            cost = np.where(known, self.log_escape[k][np.where(known, node, 0)] if len(self.log_escape[k]) else 0, 0.0)
-            if k < self.order and len(self.log_escape_left[k + 1]):
-                cost = np.where(above >= 0, self.log_escape_left[k + 1][np.where(above >= 0, above, 0)], cost)
-            out[i] += cost
-            above = node
-            if not len(i):
-                break
-        out[i] -= math.log10(max(1, 256 - self.symbols))
-        return out
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not texts:
-            return np.zeros(0)
+class Known:
+    """Code lengths (log10 probabilities) of strings by look-up; the others of a text are counted."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, order: int = ORDER):
+        self.order, self.index, self.logs = order, _Index(grams.astype(np.int64)), logs
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text, its end included: the sum over its known strings; and (text number, string, times) of the others."""
         codes, starts = gram_codes(texts, self.order)
-        return np.add.reduceat(self.log10(codes), starts)
+        codes = codes.astype(np.int64)
+        at = self.index.find(codes)
+        there = at >= 0
+        values = np.zeros(len(codes))
+        values[there] = self.logs[at[there]]
+        more = np.flatnonzero(~there)
+        of, code = np.searchsorted(starts, more, "right") - 1, codes[more]
+        o = np.lexsort((code, of))
+        of, code = of[o], code[o]
+        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (code[1:] != code[:-1])))) if len(of) else np.zeros(0, np.int64)
+        return np.add.reduceat(values, starts), of[first], code[first], np.diff(np.append(first, len(of)))
 
 
 def gram_codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -277,21 +227,74 @@ def _floor(rows: DataFrame, n: str, most: int) -> int:
     return 1
 
 
-def tables(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Tables:
-    """The model from count()'s rows: strings of every order are summed by Spark; those that capacity keeps are fetched."""
-    grams = written(counts.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    orders = [grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")) for k in range(order)] + [grams]
-    orders = [written(o, f"ppm-order{k}") for k, o in enumerate(orders[:-1])] + [grams]
-    least = max(_floor(o, "n", max_nodes) for o in orders)
-    got = [o.where(F.col("n") >= least).toArrow() for o in orders]
-    return Tables([g.column("gram").to_numpy() for g in got], [g.column("n").to_numpy() for g in got])
+def _mask(symbols: int) -> Column:
+    """Bits of the last `symbols` bytes of a string."""
+    return F.lit((1 << 8 * symbols) - 1)
+
 
+class Model:
+    """The trie as tables: for each order k the strings of k + 1 bytes, (gram, n), and their contexts."""
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, max_nodes: int = MAX_NODES, heavy: int = HEAVY) -> DataFrame:
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.order = order
+        top = written(counts.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+        self.grams = [top]
+        for k in range(order - 1, -1, -1):  # each from the next longer one
+            shorter = self.grams[0].groupBy(F.col("gram").bitwiseAND(_mask(k + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+            self.grams.insert(0, written(shorter, f"ppm-order{k}"))
+        whole = Window.partitionBy(F.shiftright("gram", 8))  # at most 256 rows
+        own = top.withColumn("log", F.log10(F.col("n") / (F.sum("n").over(whole) + F.count(F.lit(1)).over(whole))))
+        self.own = written(own, "ppm-own")
+
+    def contexts(self, k: int) -> DataFrame:
+        """(ctx, total, kinds, rest, rest_kinds): a context's count and symbols; those of its suffix without its symbols."""
+        at = F.shiftright("gram", 8).alias("ctx")
+        own = self.grams[k].groupBy(at).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        if not k:
+            return own.select("*", F.lit(0).cast("long").alias("rest"), F.lit(0).cast("long").alias("rest_kinds"))
+        shorter = self.grams[k - 1].withColumnsRenamed({"gram": "low", "n": "low_n"})
+        taken = self.grams[k].select("gram", F.col("gram").bitwiseAND(_mask(k)).alias("low")).join(shorter, "low").groupBy(at).agg(F.sum("low_n").alias("taken"))
+        above = self.grams[k - 1].groupBy(F.shiftright("gram", 8).alias("suffix")).agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("all_kinds"))
+        both = own.join(taken, "ctx").withColumn("suffix", F.col("ctx").bitwiseAND(_mask(k - 1))).join(above, "suffix")
+        return both.select("ctx", "total", "kinds", (F.col("whole") - F.col("taken")).alias("rest"), (F.col("all_kinds") - F.col("kinds")).alias("rest_kinds"))
+
+    def unseen(self, strings: DataFrame) -> DataFrame:
+        """(gram, log) of distinct strings(gram) that training has not seen: down through the orders, each join for those
+        that have not ended yet."""
+        none = F.lit(None).cast("long")
+        left = strings.select("gram", F.lit(0.0).alias("cost"), none.alias("rest"), none.alias("rest_kinds"))
+        ended = []
+        for k in range(self.order, -1, -1):
+            grams = self.grams[k].select(F.col("gram").alias("code"), "n")
+            contexts = self.contexts(k).withColumnsRenamed({"rest": "next_rest", "rest_kinds": "next_kinds"})
+            at = left.withColumn("code", F.col("gram").bitwiseAND(_mask(k + 1))).withColumn("ctx", F.shiftright("code", 8))
+            at = written(at.join(grams, "code", "left").join(contexts, "ctx", "left"), "ppm-unseen")
+            inside = F.col("rest").isNotNull()  # a longer context is known: its symbols are excluded
+            hit = F.when(inside, F.col("n") / (F.col("rest") + F.col("rest_kinds"))).otherwise(F.col("n") / (F.col("total") + F.col("kinds")))
+            ended.append(at.where("n is not null").select("gram", (F.col("cost") + F.log10(hit)).alias("log")))
+            out = F.when(inside & (F.col("rest_kinds") > 0), F.col("rest_kinds") / (F.col("rest") + F.col("rest_kinds")))
+            out = out.when(~inside & F.col("kinds").isNotNull(), F.col("kinds") / (F.col("total") + F.col("kinds"))).otherwise(1.0)
+            left = at.where("n is null").select("gram", (F.col("cost") + F.log10(out)).alias("cost"), F.col("next_rest").alias("rest"), F.col("next_kinds").alias("rest_kinds"))
+        symbols = self.grams[0].count()
+        ended.append(left.select("gram", (F.col("cost") - math.log10(max(1, 256 - symbols))).alias("log")))
+        all_ = ended[0]
+        for e in ended[1:]:
+            all_ = all_.union(e)
+        return all_
+
+    def sent(self, most: int) -> tuple[Known, int]:
+        """The most frequent strings, at most `most`, and the least count they have."""
+        least = _floor(self.own, "n", most)
+        got = self.own.where(F.col("n") >= least).select("gram", "log").toArrow()
+        return Known(got.column("gram").to_numpy(), got.column("log").to_numpy(), self.order), least
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, sent: int = SENT, heavy: int = HEAVY) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows that are not held out teach (a null held_out is not). Null text is empty: its end alone is scored. With nothing
-    to learn from every base probability is 1 and bytes are uniform. Repeated rows teach and are scored each.
+    to learn from every base probability is 1 and bytes are uniform. Repeated rows teach and are scored each. `sent` and
+    `heavy` bound what executors are sent; results do not depend on them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("t"))
     counts = count(rows.where(~F.col("held_out")), "t", order)
@@ -301,19 +304,21 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     n, v = total.n + taught, total.v + (taught > 0)
     floor = _floor(vocabulary, "c", heavy)
     frequent = {r.word: r.c for r in vocabulary.where(F.col("c") >= floor).collect()}
-    model = tables(counts, order, max_nodes)
-    shared = docs.sparkSession.sparkContext.broadcast((model, {bytes(w): math.log10(c + 1) for w, c in frequent.items()}))
+    model = Model(counts, order)
+    forget(counts)
+    known, least = model.sent(sent)
+    shared = docs.sparkSession.sparkContext.broadcast((known, {bytes(w): math.log10(c + 1) for w, c in frequent.items()}))
     end, end_known = (math.log10(taught + 1), 1) if taught else (0.0, 0)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables_, logs = shared.value
+        known, logs = shared.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = [lowered(t) for t in b.column(2).to_pylist()]
             for at, some in _chunks(texts):
-                scores = tables_.scores(some)
-                tokens, known, sums, words, times, offsets = [], [], [], [], [], [0]
+                scores, of, code, often = known.scores(some)
+                tokens, found, sums, words, times, offsets = [], [], [], [], [], [0]
                 for t in some:
                     own = Counter(t.split())
                     k, s = end_known, end
@@ -326,23 +331,33 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                             k += c
                             s += c * x
                     tokens.append(own.total() + 1)
-                    known.append(k)
+                    found.append(k)
                     sums.append(s)
                     offsets.append(len(words))
                 rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], names=["w", "c"]))
                 m = len(some)
+                ends = np.searchsorted(of, np.arange(m + 1))
+                strings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(code, pa.int64()), pa.array(often, pa.int32())], names=["g", "c"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), rare],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "rare"],
+                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), rare, strings],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "rare", "strings"],
                 )
                 row += m
 
-    done = written(rows.mapInArrow(released(run), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, sum double, score double, rare array<struct<w: binary, c: int>>"), "ppm-scores")
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, sum double, score double, rare array<struct<w: binary, c: int>>, strings array<struct<g: long, c: int>>"
+    done = written(rows.mapInArrow(released(run), schema), "ppm-scores")
     rare = done.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.c").alias("times"))
     found = rare.join(vocabulary.where(F.col("c") < floor), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_sum"))
-    all_ = done.drop("rare").join(found, "row", "left")
+    strings = done.select("row", F.explode("strings").alias("x")).select("row", F.col("x.g").alias("gram"), F.col("x.c").alias("times"))
+    seen = model.own.where(F.col("n") < least).select("gram", "log")
+    unseen = done.where("held_out").select(F.explode("strings").alias("x")).select(F.col("x.g").alias("gram")).distinct().join(seen, "gram", "left_anti")
+    codes = seen.union(model.unseen(written(unseen, "ppm-strings")))
+    longer = strings.join(codes, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rest"))
+    all_ = done.drop("rare", "strings").join(found, "row", "left").join(longer, "row", "left")
     base = F.col("sum") + F.coalesce("more_sum", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
-    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return all_.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score")
+    )
 
 
 def adaptive_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
