@@ -1,7 +1,8 @@
 """Operator 1: secret scans: three base patterns, and character Markov models for what has no pattern.
 
 Base kinds are regular expressions. Positions come from the same expression twice: the matches, and the gaps that
-splitting leaves; their lengths in code points add up to starts and ends.
+splitting leaves; running sums of their lengths in code points are starts and ends. Sums run in blocks of blocks, and
+overlaps are found by halving sorted spans, so a text takes time in proportion to its length and matches.
 
 Random strings and ordinary identifiers each have a first-order Markov model over ASCII characters, trained from
 labelled samples. A run of key characters that overlaps no base span is a secret of kind `markov` if the log-likelihood
@@ -23,6 +24,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Greedy runs: the least length in the pattern keeps the same runs as dropping shorter ones afterwards.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
+#: Elements of a block of running sums.
+BLOCK = 32
 #: Runs that the models judge; a run without a letter is a number.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Natural logarithm of the ratio from which a run counts as random: odds of a million to one.
@@ -31,21 +34,64 @@ MIN_RATIO = 14.0
 RANDOM_SAMPLES, ORDINARY_DOCUMENTS = 20_000, 2_000
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often the result mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in blocks of BLOCK elements and blocks of these."""
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    sums = lambda xs: F.transform(upto(F.size(xs)), lambda b: total(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+    head = lambda xs, i: total(F.slice(xs, i - i % BLOCK + 1, i % BLOCK))
+    down = lambda xs, above: F.transform(xs, lambda _, i: F.get(above, F.floor(i / BLOCK).cast("int")) + head(xs, i))
+    plain = lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i)))
+
+    def of(xs: Column) -> Column:
+        return _let(sums(xs), lambda one: _let(sums(one), lambda two: _let(sums(two), lambda three: _let(down(two, plain(three)), lambda t: _let(down(one, t), lambda o: down(xs, o))))))
+
+    return _let(sizes, of)
+
+
 def spans(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 0) -> Column:
-    """Array of (start, kind number, end, value) of the leftmost matches that don't overlap; value is a group's text."""
+    """Array of (start, kind number, end, value) of the leftmost matches that don't overlap, in order; value is a group's
+    text."""
     at = KINDS.index(kind)
+    empty = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0)).alias("value")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,value:string>>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(at).alias("k"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+
+        def spanned(starts: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                begin = F.get(starts, i) + F.length(x["gap"])
+                return F.struct(begin.alias("start"), F.lit(at).alias("k"), (begin + F.length(x["match"])).alias("end"), x["value"].alias("value"))
+
+            return F.filter(F.transform(found, one), lambda s: F.length(s["value"]) >= least)
+
+        return _let(before(sizes), spanned)
+
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(empty)
+
+
+def meets(c: Column, found: Column) -> Column:
+    """Does a span overlap any of an array of spans that are in order and apart? The last that starts before its end is
+    found by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.size(found).alias("high"))
+
+    def half(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        left = F.get(found, mid)["start"] < c["end"]
+        open_ = a["low"] < a["high"]
+        return F.struct(F.when(open_ & left, mid + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~left, mid).otherwise(a["high"]).alias("high"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, add, lambda a: a["out"])).otherwise(start["out"])
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(found) + 1)).cast("int"))
+    n = F.aggregate(steps, start, half, lambda a: a["low"])
+    return F.coalesce((n > 0) & (F.get(found, n - 1)["end"] > c["start"]), F.lit(False))
 
 
 def shown(found: Column) -> Column:
@@ -119,7 +165,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", names: list[st
     for part, (pattern, kind, group, least) in zip(parts, ((ASSIGN, "assign", 2, ASSIGN_MIN), (ACCESS, "access", None, 0), (HEX, "hex", None, 0))):
         df = df.withColumn(part, spans(F.col(t), pattern, kind, group, least))
     df = df.withColumn(base, F.concat(*parts)).withColumn(more, spans(F.col(t), CANDIDATE, "markov"))
-    apart = lambda c: ~F.exists(F.col(base), lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
+    apart = lambda c: ~meets(c, F.col(parts[0])) & ~meets(c, F.col(parts[1])) & ~meets(c, F.col(parts[2]))
     df = df.withColumn(more, F.filter(more, lambda c: c["value"].rlike("[A-Za-z]") & (ratio(c["value"], model) >= MIN_RATIO) & apart(c)))
     made = [*[F.size(p).cast("long") for p in parts], F.size(more).cast("long"), F.sha2(shown(F.col(base)), 256), shown(F.concat(base, more))]
     return df.select(*docs.columns, *[m.alias(n) for m, n in zip(made, names)])

@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import math
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -57,3 +61,75 @@ def test_models_tell_random_from_ordinary(spark, sf_dir):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs, secrets.train(secrets.samples(docs))).count() == 0
+
+
+def plain_markov(text, base, model):
+    """Spans of the models, plainly."""
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        steps = [max(0, min(95, ord(c) - 32)) for c in m[0]]
+        if re.search("[A-Za-z]", m[0]) and sum(model[a * 96 + b] for a, b in zip(steps, steps[1:])) >= secrets.MIN_RATIO:
+            if not any(m.start() < e and s < m.end() for s, e in base):
+                out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_model_spans_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(60)]
+    more = [(10**6 + i, f"see {base64.b64encode(k).decode()[:30]} and key-{k.hex()[:23]}Q password={base64.b64encode(k).decode()} x" * (1 + i % 3)) for i, k in enumerate(keys)]
+    docs = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    model = secrets.train(secrets.samples(docs))
+    n = 0
+    for r in secrets.scan(docs, model).collect():
+        own = [s for s in r.spans.split(",") if s]
+        base = [tuple(map(int, s.split(":")[1:])) for s in own if not s.startswith("markov")]
+        want = plain_markov(r.text, base, model)
+        assert [s for s in own if s.startswith("markov")] == want and r.n_markov == len(want)
+        n += len(want)
+    assert n > 100
+
+
+def test_training_is_counting(spark):
+    rows = [("abca", True), ("zz", True), ("abab", False), ("a", False), ("\u00e9a", False)]
+    model = secrets.train(spark.createDataFrame(rows, "value string, random boolean"))
+    logs = []
+    for kind in (True, False):
+        c = Counter()
+        for v, k in rows:
+            steps = [max(0, min(95, ord(x) - 32)) for x in v]
+            if k == kind:
+                c.update(zip(steps, steps[1:]))
+        logs.append([math.log((c[a, b] + 1) / (sum(n for (x, _), n in c.items() if x == a) + 96)) for a in range(96) for b in range(96)])
+    assert model == [round(x - y, 4) for x, y in zip(*logs)]
+
+
+def test_planted_secrets(spark):
+    """Precision and recall of the models on planted keys among ordinary words and identifiers."""
+    keys = [base64.b64encode(hashlib.sha256(f"k{i}".encode()).digest()).decode()[:28].replace("+", "-").replace("/", "_") for i in range(400)]
+    words = "configuration of internationalisation handlers in the application_settings_manager and get-user-permissions/default_values ThisIsSomeClassName".split()
+    rows = [(i, " ".join([*words[: i % 5 + 3], k, *words])) for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([(10**6 + i, " ".join(words)) for i in range(400)], "doc_id long, text string")
+    model = secrets.train(secrets.samples(more))
+    found = caught = 0
+    for r in secrets.scan(docs, model).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        at = r.text.index(keys[r.doc_id])
+        found += len(spans)
+        caught += (at, at + 28) in spans
+    assert caught >= 0.95 * len(keys) and caught >= 0.95 * found
+
+
+def test_time_is_linear_in_the_matches(spark, sf_dir):
+    model = secrets.train(secrets.samples(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "deadbeef0123456789abcdef secret=abcdefgh kJ8xQ2vLp0Zr7TnWc4Yb9Ue " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = secrets.scan(docs, model).first()
+        assert (r.n_hex, r.n_assign, r.n_markov) == (n, n, n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16000) <= 8 * max(took(2000), 0.5)
