@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlab.llm.common import table, written
@@ -132,27 +132,50 @@ def known_labels(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg((F.min("quality") > 0).cast("int").alias("quality"), (F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS) -> tuple[DataFrame, dict]:
+    """(quality, toxic, key, t): of each combination of labels at most per_class different labelled rows, those with the
+    smallest digests of id and text; and the labels' numbers for each combination.
+
+    Labels are thinned by the digest of their id before they are sent, and labelled rows by the digest of id and text
+    before they meet: a row that is repeated counts once, an id with many texts is thinned like any rows.
+    """
+    known = known_labels(labels).where("quality is not null and toxic is not null").withColumn("digest", F.substring(F.md5(F.col("label_id").cast("string")), 1, 8))
+    sizes = {(r.quality, r.toxic): r["count"] for r in known.groupBy("quality", "toxic").count().collect()}  # four rows
+
+    def thinned(df: DataFrame, digest: str, counts: dict) -> DataFrame:
+        """About twice per_class rows of each combination."""
+        cut = F.lit("")
+        for (q, t), c in counts.items():
+            cut = F.when((F.col("quality") == q) & (F.col("toxic") == t), format(min(0xFFFFFFFF, int(2 * per_class / max(1, c) * 0xFFFFFFFF)), "08x")).otherwise(cut)
+        return df.where(F.substring(digest, 1, 8) <= cut)
+
+    few = written(thinned(known, "digest", sizes), "eb-labels")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(few), F.col("id") == F.col("label_id"))
+    counts = {(r.quality, r.toxic): r["count"] for r in rows.groupBy("quality", "toxic").count().collect()}
+    key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.md5(F.coalesce("t", F.lit(b"")))))
+    some = thinned(rows.select("quality", "toxic", key.alias("key"), "t"), "key", counts)
+    once = some.groupBy("quality", "toxic", "key").agg(F.first("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("quality", "toxic").orderBy("key"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank"), sizes
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS) -> Model:
-    """A model from the labelled rows of docs: of each combination of labels about per_class at most, by the digests of
-    their ids, weighted back to the combinations' true shares."""
-    known = known_labels(labels).where("quality is not null and toxic is not null").withColumn("key", F.substring(F.md5(F.col("label_id").cast("string")), 1, 8))
-    sizes = {(r.quality, r.toxic): r["count"] for r in known.groupBy("quality", "toxic").count().collect()}
+    """A model from sample()'s rows, weighted back to the combinations' true shares. What reaches the driver are numbers of
+    features, 4 * per_class lists of at most SIZE."""
+    few, sizes = sample(docs, labels, text, doc_id, per_class)
     n = sum(sizes.values())
     rates = np.array([(sum(c for g, c in sizes.items() if g[k]) + 1) / (n + 2) for k in range(len(LABELS))])
-    cut = F.lit("")
-    for (q, t), c in sizes.items():
-        cut = F.when((F.col("quality") == q) & (F.col("toxic") == t), format(min(0xFFFFFFFF, int(per_class / c * 0xFFFFFFFF)), "08x")).otherwise(cut)
-    few = known.where(F.col("key") <= cut)  # about four times per_class rows at most
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(few), F.col("id") == F.col("label_id")).select("quality", "toxic", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t or b"") for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], names=["quality", "toxic", "f"])
+            found = pa.array([features(t or b"").astype(np.int32) for t in b.column(3).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), found], names=["quality", "toxic", "key", "f"])
 
-    rows = sorted(((r.quality, r.toxic, r.f) for r in sample.mapInArrow(run, "quality int, toxic int, f array<long>").toLocalIterator()))
-    y = np.array([[q, t] for q, t, _ in rows], np.float64).reshape(-1, len(LABELS))
-    seen = {g: max(1, sum(r[:2] == g for r in rows)) for g in sizes}
-    return Model([np.array(f) for _, _, f in rows], y, np.array([sizes[q, t] / seen[q, t] for q, t, _ in rows]), rates)
+    got = few.mapInArrow(run, "quality int, toxic int, key string, f array<int>").toArrow().sort_by([("quality", "ascending"), ("toxic", "ascending"), ("key", "ascending")])
+    of = list(zip(got.column("quality").to_pylist(), got.column("toxic").to_pylist()))
+    y = np.array(of, np.float64).reshape(-1, len(LABELS))
+    seen = {g: max(1, of.count(g)) for g in sizes}
+    return Model([x.values.to_numpy().astype(np.int64) for x in got.column("f")], y, np.array([sizes[g] / seen[g] for g in of]), rates)
 
 
 def evidence(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -216,8 +239,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     site_toxic (posterior mean of its path without the row), p_quality, p_toxic, kept (p_quality >= 0.5 > p_toxic).
 
     places(page_doc, page_host, page_path), one row for each id, gives host and path where it names a document; it is
-    joined after the texts are scored. Null host or path is a site of its own; null text is judged as an empty one. Without labels, or with one class only,
-    a label's classifier gives its global rate. Repeated rows are judged each. An empty table gives an empty result.
+    joined after the texts are scored. Null host or path is a site of its own; null text is judged as an empty one. Without
+    labels, or with one class only, a label's classifier gives its global rate. Repeated rows are judged each. An empty
+    table gives an empty result. Other columns of docs are not looked at.
     """
     model = fit(docs, labels, text, doc_id, per_class)
     scored = written(evidence(docs, model, host, path, text, doc_id), "eb-evidence")

@@ -7,7 +7,8 @@ leads to a suffix bucket; the bucket's patterns are compared with the text direc
 are patterns of their own length, with tables of their own; patterns of one word are looked up word by word.
 
 The tables are sent to the executors in chunks of at most chunk_words pattern words, counted beforehand: more test text
-means more passes over the documents, never a larger broadcast.
+means more passes over the documents, never a larger broadcast. A chunk's occurrences are written and the chunk is
+destroyed before the next one is sent, so executors hold one chunk at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, table, written
+from mentionlab.llm.common import fresh, numbered, table, written
 
 WINDOW = 13
 #: A document is contaminated if some word is hit and SHARE * hit words >= words.
@@ -147,8 +148,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{k}` {v}" for k, v in types.items())])
 
         def run(batches):
-            matcher = Matcher([(k, w) for k, (_, w) in enumerate(shared.value)], window)
-            ids = [i for i, _ in shared.value]
+            matcher, ids = _matcher(shared, window)
             for batch in batches:
                 rows = []
                 for t in batch.column(text).to_pylist():
@@ -162,40 +162,50 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
         return docs.mapInArrow(run, schema)
 
-    (row,) = fresh(docs, "row")
-    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-    parts = None
-    for chunk in [first, second]:
-        parts = _append(parts, _part(docs.select(row, F.col(text).alias("text")), row, chunk, window))
-    for chunk in chunks:
-        parts = _append(parts, _part(docs.select(row, F.col(text).alias("text")), row, chunk, window))
-    parts = parts.groupBy(row).agg(F.max("n").alias("n"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("of"))
+    docs, row = numbered(docs, "decontaminate")
+    only = docs.select(row, F.col(text).alias("text"))
+    parts = [_part(only, row, first, window, True), _part(only, row, second, window, False), *(_part(only, row, chunk, window, False) for chunk in chunks)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    of = F.array_sort(F.array_distinct(F.flatten(F.collect_list("of"))))
+    whole = whole.groupBy(row).agg(F.max("n").alias("n"), F.flatten(F.collect_list("ranges")).alias("ranges"), of.alias("of"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], a["end"]))).alias("n"), F.greatest(a["end"], x["b"]).alias("end"))
     hit = F.aggregate(F.array_sort("ranges"), start, step, lambda a: a["n"])
     made = [F.col("n"), hit, F.size("of").cast("long"), F.sha2(F.array_join("of", ","), 256), (hit > 0) & (share * hit >= F.col("n"))]
-    return docs.join(parts.select(row, *[c.alias(n) for c, n in zip(made, names)]), row).drop(row)
+    return docs.join(whole.select(row, *[c.alias(n) for c, n in zip(made, names)]), row).drop(row)
 
 
-def _append(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+#: The last chunk's matcher of a worker, with the chunk it was made from.
+_last: list[tuple[list, int, Matcher]] = []
 
 
-def _part(docs: DataFrame, row: str, chunk: list, window: int) -> DataFrame:
+def _matcher(shared, window: int) -> tuple[Matcher, list[str]]:
+    """Search tables of a chunk and its items' ids; built once in a worker, which gets a broadcast's value once."""
+    if not (_last and _last[0][0] is shared.value and _last[0][1] == window):
+        _last[:] = [(shared.value, window, Matcher([(k, w) for k, (_, w) in enumerate(shared.value)], window))]
+    return _last[0][2], [i for i, _ in shared.value]
+
+
+def _part(docs: DataFrame, row: str, chunk: list, window: int, first: bool) -> DataFrame:
+    """Occurrences of a chunk's items, written; rows without one are in the first part only."""
     shared = docs.sparkSession.sparkContext.broadcast(chunk)
 
     def run(batches):
-        matcher = Matcher([(k, w) for k, (_, w) in enumerate(shared.value)], window)
-        ids = [i for i, _ in shared.value]
+        matcher, ids = _matcher(shared, window)
         for batch in batches:
             out = []
             for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words(t)
                 ranges, found = matcher.hits(w)
-                out.append({row: r, "n": len(w), "ranges": [{"a": a, "b": b} for a, b in ranges], "of": [ids[k] for k in found]})
+                if first or ranges:
+                    out.append({row: r, "n": len(w), "ranges": [{"a": a, "b": b} for a, b in ranges], "of": [ids[k] for k in found]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([(row, pa.int64()), ("n", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("of", pa.list_(pa.string()))]))
 
-    return docs.mapInArrow(run, f"`{row}` long, n long, ranges array<struct<a: long, b: long>>, of array<string>")
+    part = written(docs.mapInArrow(run, f"`{row}` long, n long, ranges array<struct<a: long, b: long>>, of array<string>"), "decontaminate-part")
+    shared.destroy()
+    return part
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -72,7 +72,7 @@ def test_odd_tables(spark):
 def test_query(spark, sf_dir):
     got = {r.conv_id: r for r in chat.op3_chat(spark, sf_dir).collect()}
     rows = sorted((r.conv_id, r.turn, r.role, r.text or "") for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect())
-    rows = [tuple(x) for x in chat.TRIAL] + rows
+    rows = [(chat.TRIAL[0], 0, "user", chat.TRIAL[1]), (chat.TRIAL[0], 1, "assistant", chat.TRIAL[1])] + rows
     for c in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == c]
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in mine).encode()).hexdigest()

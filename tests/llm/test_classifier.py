@@ -76,3 +76,96 @@ def test_odd_rows(spark):
     assert all(0 <= r.p_quality <= 1 and not math.isnan(r.p_toxic) for r in got)
     assert cl.classify(docs.limit(0), labels.limit(0), F.col("source"), F.col("lang")).count() == 0
     assert cl.classify(docs, labels.limit(0), F.col("source"), F.col("lang")).count() == 5
+
+
+def test_sample_is_bounded(spark):
+    """Most rows repeat one id, some the whole row: still at most per_class rows of each combination."""
+    rows = [(1, f"text of hot id {i}") for i in range(6000)] + [(2, "same")] * 4000 + [(i, f"doc {i}") for i in range(3, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(1, 2000)], "doc_id long, quality int, toxic int")
+    few, sizes = cl.sample(docs, labels, per_class=100)
+    got = few.collect()
+    of = [(r.quality, r.toxic) for r in got]
+    assert sizes[1, 0] == 800 and len(set((r.quality, r.toxic, r.key) for r in got)) == len(got)
+    assert all(0 < of.count(g) <= 100 for g in sizes) and of.count((0, 0)) >= 60
+
+
+def squash(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def logit(p):
+    p = min(1 - 1e-9, max(1e-9, p))
+    return math.log(p / (1 - p))
+
+
+def prior(groups):
+    """Weight of the prior from (n, sum, centre) of groups."""
+    n, s, c = (np.array(x, float) for x in zip(*groups))
+    r, g, total = s / n, len(n), n.sum()
+    between = (n * (r - c) ** 2).sum() / max(1, g - 1)
+    within = (n * r * (1 - r)).sum() / max(1, total - g)
+    size = (total - (n * n).sum() / total) / max(1, g - 1)
+    share = (between - within) / max(1e-12, between + (size - 1) * within)
+    return min(1e6, max(1.0, (1 - share) / share if share > 1e-6 else 1e6))
+
+
+def test_query_against_plain_posteriors(spark, sf_dir):
+    """The whole query: sites from URLs, group sums, prior weights and each document's posterior, in plain Python."""
+    import re
+
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "labels", "pages")}
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    model = cl.fit(frames["documents"], frames["labels"])
+    place = {}
+    for p in sorted(tables["pages"], key=lambda p: p.page_id):
+        m = re.search(r"/(\d+)(\.html|/)?([?#].*)?$", p.url or "")
+        h = re.match(r"[a-z]+://([^/?#]+)", p.url or "")
+        q = re.match(r"[a-z]+://[^/?#]+(/[^?#]*)/\d+", p.url or "")
+        if m and h:
+            place.setdefault(int(m[1]), (h[1], q[1] if q else ""))
+    known = {}
+    for r in tables["labels"]:
+        a = known.get(r.doc_id, (1, 0))
+        known[r.doc_id] = (min(a[0], int(r.quality > 0)), max(a[1], int(r.toxic > 0)))
+    docs = {}
+    for d in tables["documents"]:
+        own = model.logits((d.text or "").encode())
+        docs[d.doc_id] = (*place.get(d.doc_id, (d.source, d.lang)), own)
+    want = {}
+    for k in range(2):
+        value = {d: float(known[d][k]) if d in known else squash(x[2][k]) for d, x in docs.items()}
+        paths, hosts = {}, {}
+        for d, (h, p, _) in docs.items():
+            for at, key in ((paths, (h, p)), (hosts, h)):
+                n, s = at.get(key, (0, 0.0))
+                at[key] = (n + 1, s + value[d])
+        mean = sum(value.values()) / len(value)
+        wide = prior([(n, s, mean) for n, s in hosts.values()])
+        narrow = prior([(n, s, hosts[h][1] / hosts[h][0]) for (h, _), (n, s) in paths.items()])
+        for d, (h, p, x) in docs.items():
+            above = (hosts[h][1] - value[d] + wide * mean) / (hosts[h][0] - 1 + wide)
+            rate = min(1.0, max(0.0, (paths[h, p][1] - value[d] + narrow * above) / (paths[h, p][0] - 1 + narrow)))
+            want.setdefault(d, []).append((squash(x[k]), rate, squash(x[k] - logit(mean) + logit(rate))))
+    got = cl.op9_classifier(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        (dq, sq, pq), (dt, st, pt) = want[r.doc_id]
+        assert (r.host, r.path) == docs[r.doc_id][:2]
+        assert (r.doc_quality, r.site_quality, r.p_quality, r.doc_toxic, r.site_toxic, r.p_toxic) == pytest.approx((dq, sq, pq, dt, st, pt), abs=1e-6)
+        assert r.kept == (r.p_quality >= 0.5 > r.p_toxic)
+
+
+def test_features_against_plain_words():
+    """A text's words are its runs of ASCII letters, digits and bytes beyond; equal words, equal numbers."""
+    import re
+
+    texts = ["One two, two THREE!", "É1 x_y 42|#*", "", "a" * 5000 + " b"]
+    numbers = {}
+    for t in texts:
+        f = cl.features(t.encode())
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower()))
+        assert (f < 1 << cl.HASH_BITS).sum() == len(words)
+        for w in words:
+            (n,) = [x for x in cl.features(w) if x < 1 << cl.HASH_BITS]
+            assert n in f and numbers.setdefault(w, n) == n
