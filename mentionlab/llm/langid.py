@@ -31,6 +31,8 @@ BITS = 23
 RIDGE = 1e-3
 #: Documents and n-gram positions that a worker handles at once.
 BATCH_DOCS, BATCH_BYTES = 256, 2 << 20
+#: Numbers that a product gathers at once.
+CELLS = 4 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,7 +96,9 @@ class Model:
         penalty = ridge * len(rows) * np.eye(phi.shape[1])
         penalty[-1, -1] = 0
         w = np.linalg.solve(phi.T @ phi + penalty, phi.T @ target)
-        self.weights, self.bias = z.astype(np.float64) @ (root @ w[:-1]), w[-1]
+        by = root @ w[:-1]
+        self.weights = np.concatenate([z[at : at + (1 << 14)].astype(np.float64) @ by for at in range(0, len(z), 1 << 14)])
+        self.bias = w[-1]
 
     def products(self, rows: list[np.ndarray], by: np.ndarray) -> np.ndarray:
         """Presence rows of unit length, times a matrix with a row for each used n-gram."""
@@ -102,11 +106,26 @@ class Model:
             self.place = np.full(1 << BITS, -1, np.int32)
             self.place[self.used] = np.arange(len(self.used))
         out = np.zeros((len(rows), by.shape[1]), by.dtype)
-        at = [p[p >= 0] for p in (self.place[r] for r in rows)]
-        some = [k for k, p in enumerate(at) if len(p)]
-        if some:
-            starts = np.cumsum([0, *(len(at[k]) for k in some[:-1])])
-            out[some] = np.add.reduceat(by[np.concatenate([at[k] for k in some])], starts, axis=0)
+        most, held, n = max(1, CELLS // by.shape[1]), [], 0
+
+        def sums() -> None:
+            if held:
+                starts = np.cumsum([0, *(len(p) for _, p in held[:-1])])
+                out[[k for k, _ in held]] = np.add.reduceat(by[np.concatenate([p for _, p in held])], starts, axis=0)
+
+        for k, r in enumerate(rows):
+            p = self.place[r]
+            p = p[p >= 0]
+            if len(p) > most:
+                for at in range(0, len(p), most):
+                    out[k] += by[p[at : at + most]].sum(axis=0)
+            elif len(p):
+                if n + len(p) > most:
+                    sums()
+                    held, n = [], 0
+                held.append((k, p))
+                n += len(p)
+        sums()
         return out / np.sqrt(np.maximum([len(r) for r in rows], 1)).astype(by.dtype)[:, None]
 
     def __getstate__(self) -> dict:
