@@ -570,8 +570,10 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         groups = near_duplicates(docs, text, row, **how).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
         found = groups.join(docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id")), "row")
     found = written(found, "simhash-groups")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
-    gone = written(found.join(first, "root").where("row <> stays").select("row"), "simhash-gone")
+    several = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = written(several, "simhash-several")
+    several = F.broadcast(several) if several.count() <= MAX_BROADCAST_IDS else several
+    gone = written(found.join(several, "root").where("row <> stays").select("row"), "simhash-gone")
     (own,) = fresh(docs, "gone")
     gone, n = gone.withColumnRenamed("row", own), gone.count()
     kept = docs.join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, F.col(row) == F.col(own), "left_anti")
