@@ -12,8 +12,14 @@ Z95 = 1.959963985
 #: Quantiles used exactly where a table gives them.
 QUANTILES = {0.80: 0.8416212336, 0.90: 1.2815515655, 0.95: 1.6448536270, 0.975: 1.9599639845}
 #: Coefficients of Acklam's rational approximation of the normal quantile.
-ACKLAM_CENTRE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00), (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
-ACKLAM_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00), (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+ACKLAM_CENTRE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+ACKLAM_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -97,10 +103,19 @@ def fisher_column(a: Column, b: Column, c: Column, d: Column, logs: Column) -> C
     return F.least(F.lit(1.0), F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.when(at(x) <= at(a) + math.log1p(1e-9), F.exp(at(x))).otherwise(0.0)))
 
 
-def detectable_rate(p0: Column, n: Column, alpha: Column, power: Column, steps: int = 60) -> Column:
-    """Least rate above p0 that n observations an arm detect, by bisection on [p0, 1]; null if not even 1 is detected."""
-    start = F.struct(p0.cast("double").alias("low"), F.lit(0.999999).alias("high"))
-    mid = lambda a: (a["low"] + a["high"]) / 2
-    step = lambda a, _: F.when(n_per_arm(p0, mid(a), alpha, power) <= n, F.struct(a["low"].alias("low"), mid(a).alias("high"))).otherwise(F.struct(mid(a).alias("low"), a["high"].alias("high")))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: a["high"])
-    return F.when(n_per_arm(p0, F.lit(0.999999), alpha, power) <= n, found)
+def clusters_per_arm(p0: Column, p1: Column, m: Column, rho: Column, alpha: Column, power: Column) -> Column:
+    """Clusters of m observations per arm to detect p1 against p0."""
+    return F.ceil(n_per_arm(p0, p1, alpha, power) * design_effect(m, rho) / m).cast("long")
+
+
+def detectable_rate(p0: Column, clusters: Column, m: Column, rho: Column, alpha: Column, power: Column, steps: int = 200) -> Column:
+    """Least rate above p0 that so many clusters an arm detect, by bisection between p0 + 1e-5 and 0.999; 0.999 where not
+    even that is detected."""
+    start = F.struct((p0 + 1e-5).alias("low"), F.lit(0.999).alias("high"))
+
+    def step(a: Column, _: Column) -> Column:
+        mid = (a["low"] + a["high"]) / 2
+        short = clusters_per_arm(p0, mid, m, rho, alpha, power) > clusters
+        return F.struct(F.when(short, mid).otherwise(a["low"]).alias("low"), F.when(short, a["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: a["high"])

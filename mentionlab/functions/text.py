@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that a headline token must not be, besides those of the vocabularies.
+#: Words that a headline token must not be, besides those of the vocabularies. Place names that a study
+#: wants left out are a vocabulary of their own, given to stop_words().
 STOP_WORDS = """
 a an the and or of in on at to for with from by as is are was were be been being this that
 after before over under into out up down off near amid says said say new man woman boy girl
@@ -29,7 +30,14 @@ OUTCOME_TERMS = (
 #: Query parameters that carry no identity, by the beginning of their lower-cased name.
 TRACKING = ("utm_", "fbclid", "gclid", "cmpid", "icid", "ito")
 #: Formats of publication times, tried in order.
-TIME_FORMATS = ("yyyyMMdd'T'HHmmss'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+TIME_FORMATS = ("yyyyMMdd'T'HHmmss'Z'", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd")
+#: Patterns of the loss-of-control narrative, any of which is enough, in either case.
+NARRATIVE = (
+    r"\bploughs? into\b", r"\bplowed into\b", r"\bcrash(?:es|ed)? into\b", r"\bsmash(?:es|ed)? into\b", r"\bcrashed through\b", r"\bploughed through\b",
+    r"\bairborne\b", r"\bout of control\b", r"\brunaway\b", r"\blos(?:es|t) control\b", r"\bloss of control\b", r"\brolled\b", r"\brollover\b", r"\bflipped\b",
+    r"\bmounts? (?:the )?(?:footpath|kerb|curb)\b", r"\bmounted (?:the )?(?:footpath|kerb|curb)\b",
+    r"\binto (?:a |the )?(?:shop|store|building|house|home|restaurant|cafe|bar|pub|wall|fence|pole|bollard|shopfront|shopping centre|shopping center)\b",
+)
 #: A word character as Python's str patterns have it; Java's \w is ASCII.
 WORD = r"[\p{L}\p{N}_]"
 
@@ -56,17 +64,29 @@ def keyword(text: Column, terms: tuple[str, ...]) -> Column:
     return F.coalesce(text.rlike("(?i)" + "|".join(re.escape(t) for t in terms)), F.lit(False))
 
 
+def _decoded(part: Column) -> Column:
+    """A form-encoded string as it was meant; a per cent sign without two hex digits stands for itself."""
+    return F.try_url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(part: Column) -> Column:
+    """Form encoding; letters, digits and _.-~ stay."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme, lower-cased authority, path and the kept query; no fragment, no trailing slash. Blank and tracking
-    parameters go."""
-    bare = F.regexp_extract(url, "^([^#]*)", 1)
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
+    """Scheme and authority in lower case, the path without slashes at its end, and the kept parameters, encoded anew; no
+    fragment. Blank and tracking parameters go."""
+    bare = F.regexp_extract(url, "(?s)^([^#]*)", 1)
+    query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
     base = F.regexp_extract(bare, r"^([^?]*)", 1)
     start = F.lower(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1))
-    path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$", 1)
-    keep = lambda p: p.rlike("^[^=]+=.+") & ~F.lower(p).rlike("^(" + "|".join(TRACKING) + ")")
-    kept = F.array_join(F.filter(F.split(query, "&"), keep), "&")
-    return F.when(kept != "", F.concat(start, path, F.lit("?"), kept)).otherwise(F.regexp_replace(F.concat(start, path), "/+$", ""))
+    path = F.regexp_replace(F.regexp_extract(base, "(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$", 1), "/+$", "")
+    some = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]*=.+"))
+    pairs = F.transform(some, lambda p: F.struct(_decoded(F.regexp_extract(p, "(?s)^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.+)$", 1)).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike("^(" + "|".join(TRACKING) + ")"))
+    shown = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.concat(start, path, F.when(shown != "", F.concat(F.lit("?"), shown)).otherwise(""))
 
 
 def url_hash(canonical: Column) -> Column:
@@ -77,7 +97,7 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", "")
 
 
-#: Grammars of slugs by kind: what is taken as the title, and what is cut from its end.
+#: Grammars of slugs by kind: what is taken as the title, and what is cut from its end.
 SLUGS = {
     "trailing": (r"(?i)/([a-z0-9][a-z0-9-]{5,})(?:\.html)?/?$", r"(?i)-\d{8}-p[a-z0-9]+$"),
     "dated": (r"/news/\d{4}-\d{2}-\d{2}/([^/]+)/\d+$", None),
@@ -107,16 +127,13 @@ def lastmod_date(text: Column) -> Column:
     return F.when(F.length(text) >= 10, F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
-def page_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+def narrative(text: Column, patterns: tuple[str, ...] = NARRATIVE) -> Column:
+    """Does a text match any of the patterns, in either case? Null says no."""
+    return F.coalesce(text.rlike("(?iU)" + "|".join(patterns)), F.lit(False))
 
 
-def page_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and frame elements go with their content, then comments and tags."""
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(body, "(?s)<[^>]*>", " "), r"\s+", " "))
+def page_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
 def sitemap_items(xml: Column) -> Column:

@@ -37,7 +37,8 @@ def classify_batches(df: DataFrame, text: str, classifier: Callable[[list[str]],
 
 def route_units(articles: DataFrame, key: str, entities: str) -> DataFrame:
     """Per unit: at most one entity named in its blinded texts is coded mechanically, more are escalated to a coder."""
-    g = articles.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(entities)))).alias("entities"))
+    each = articles.select(key, F.explode_outer(entities).alias("entity"))  # a unit's set is of entities, however many its texts
+    g = each.groupBy(key).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     return g.select(key, "entities", F.when(F.size("entities") <= 1, "mechanical").otherwise("escalate").alias("route"), F.when(F.size("entities") == 1, F.col("entities")[0]).alias("entity"))
 
 
@@ -61,3 +62,16 @@ def projection(rate: Column, count: Column, factor: float, shrink: float = 0.8)
 def decision(found: Column, go: int, limited: int, stop: int) -> Column:
     """Four-way rule on a projected number of exposed units."""
     return F.when(found >= go, "go").when(found >= limited, "go, limited").when(found >= stop, "widen").otherwise("stop")
+
+
+def gold_sample(units: DataFrame, key: str, exposed: Column, size: int = 28, seed: int = 20260825) -> DataFrame:
+    """All exposed units, and others in the order of seeded digests up to `size` in all; a null exposure is none."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    hot = F.coalesce(exposed, F.lit(False))
+    first = units.where(hot)
+    return first.unionByName(units.where(~hot).orderBy(digest, key).limit(max(0, size - first.count())))
+
+
+def shuffled(units: DataFrame, key: str, seed: int = 20260825) -> DataFrame:
+    """Units in an order that says nothing of their kind."""
+    return units.orderBy(F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col(key).cast("string"))), key)

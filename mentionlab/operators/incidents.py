@@ -6,7 +6,7 @@ by incident first; incident frames are much smaller than article frames.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionlab.functions.stats import newcombe, wilson
@@ -18,11 +18,13 @@ def known(entity: Column) -> Column:
 
 def rollup(articles: DataFrame) -> DataFrame:
     """One row for each incident: k (outcomes), n (articles whose outcome is known), outlets, exposed, entity, tier, prop,
-    n_null (articles left out because their outcome is null)."""
+    n_null (articles left out because their outcome is null). An article without an outlet counts by its outlet_group, if
+    there is such a column."""
+    outlet = F.coalesce(F.when(F.col("outlet").cast("string") != "", F.col("outlet").cast("string")), F.col("outlet_group").cast("string")) if "outlet_group" in articles.columns else F.col("outlet")
     return articles.groupBy("incident_id").agg(
         F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"),
         F.count("outcome").alias("n"),
-        F.count_distinct("outlet").alias("outlets"),
+        F.count_distinct(outlet).alias("outlets"),
         F.max("exposed").cast("int").alias("exposed"),
         F.min("entity").alias("entity"),
         F.min("tier").alias("tier"),
@@ -90,9 +92,11 @@ def rates(articles: DataFrame, *by: str) -> DataFrame:
 
 def leave_one_out(articles: DataFrame, column: str) -> DataFrame:
     """Arm rates without each value of a column: totals less the value's own, one pass for all values."""
-    own = articles.where(F.col(column).isNotNull() & F.col("outcome").isNotNull()).groupBy(F.col(column).alias("left_out")).agg(*[F.sum(F.when(F.col("exposed") == x, v).otherwise(0)).cast("long").alias(f"{c}{x}") for x in (1, 0) for c, v in (("k", F.col("outcome")), ("n", F.lit(1)))])
-    whole = Window.partitionBy()
-    return own.select("left_out", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("k1", "n1", "k0", "n0")]).withColumns({"rate1": F.when(F.col("n1") > 0, F.col("k1") / F.col("n1")), "rate0": F.when(F.col("n0") > 0, F.col("k0") / F.col("n0"))})
+    sums = [F.sum(F.when(F.col("exposed") == x, v).otherwise(0)).cast("long").alias(f"{c}{x}") for x in (1, 0) for c, v in (("k", F.col("outcome")), ("n", F.lit(1)))]
+    own = articles.where(F.col(column).isNotNull() & F.col("outcome").isNotNull()).groupBy(F.col(column).alias("left_out")).agg(*sums)
+    whole = own.agg(*[F.sum(c).alias(c) for c in ("k1", "n1", "k0", "n0")]).first()  # one row
+    rest = own.select("left_out", *[(F.lit(whole[c]) - F.col(c)).alias(c) for c in ("k1", "n1", "k0", "n0")])
+    return rest.withColumns({f"rate{x}": F.when(F.col(f"n{x}") > 0, F.col(f"k{x}") / F.col(f"n{x}")) for x in (1, 0)})
 
 
 def table_one(incidents: DataFrame, numeric: tuple[str, ...]) -> DataFrame:

@@ -15,15 +15,30 @@ SEED = 20260101
 _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
 
 
+#: Tests of one family at most.
+MAX_TESTS = 10_000
+#: Rows that resampling by digests may deal; a large frame is resampled from its strata.
+MAX_DEALT, MAX_INCIDENTS = 50_000_000, 200_000
+#: Replicates that are drawn at once, times strata.
+SLICE = 4_000_000
+
+
+def _small(incidents: int, times: int) -> None:
+    if incidents > MAX_INCIDENTS or incidents * times > MAX_DEALT:
+        raise ValueError(f"{incidents} incidents times {times} are too many to deal: resample from strata")
+
+
 def _digest(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("incident_id").cast("string")))
 
 
 def permutation_by_hash(incidents: DataFrame, times: int, seed: int = SEED) -> DataFrame:
     """Cluster permutation test: exposure is dealt anew over incidents, the statistic is the pooled difference; two-sided,
-    add-one. The order of digests is the permutation, so reruns agree. Rows are incidents x times: for small frames;
-    permutation_by_strata has the same distribution for large ones."""
-    m = incidents.agg(F.count_if(F.col("exposed") == 1)).first()[0]
+    add-one. The order of digests is the permutation, so reruns agree. Rows are incidents x times, and a replicate's
+    incidents are in one task: a frame beyond MAX_DEALT is refused; permutation_by_strata has the same distribution."""
+    told = incidents.agg(F.count_if(F.col("exposed") == 1), F.count(F.lit(1))).first()
+    _small(told[1], times)
+    m = told[0]
     dealt = incidents.select("incident_id", "k", "n", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep"))
     placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(_digest(seed), "incident_id")))
     rate = lambda on: F.sum(F.when(on, F.col("k"))) / F.sum(F.when(on, F.col("n")))
@@ -59,13 +74,48 @@ def permutation_by_strata(incidents: DataFrame, times: int = 20_000, seed: int =
         weight = [math.prod(math.comb(c, j) for c, j in zip(size.tolist(), v)) for v in vectors]
         extreme = sum(w for v, w in zip(vectors, weight) if abs(stat(np.array(v))) >= abs(seen) - 1e-12)
         return {"p": extreme / sum(weight), "exact": True, "observed": seen}
-    x = np.random.default_rng(seed).multivariate_hypergeometric(size, m, size=times)
-    d = x @ k / (x @ n) - ((size - x) @ k) / ((size - x) @ n)
-    return {"p": (1 + int((np.abs(d) >= abs(seen) - 1e-12).sum())) / (1 + times), "exact": False, "observed": seen}
+    rng, extreme = np.random.default_rng(seed), 0
+    for some in _slices(times, len(size)):
+        x = rng.multivariate_hypergeometric(size, m, size=some)
+        extreme += int((np.abs(stat(x)) >= abs(seen) - 1e-12).sum())
+    return {"p": (1 + extreme) / (1 + times), "exact": False, "observed": seen}
+
+
+def _slices(times: int, width: int):
+    """times in parts, so that a part of that width stays bounded."""
+    step = max(1, SLICE // max(1, width))
+    for at in range(0, times, step):
+        yield min(step, times - at)
+
+
+def bootstrap_by_strata(incidents: DataFrame, times: int = 1000, seed: int = SEED) -> dict:
+    """Percentile intervals over incidents drawn with replacement, from (k, n, exposed) strata: drawing incidents is drawing
+    how often each stratum comes, a multinomial vector. low and high of the odds ratio, as the model without covariates
+    has it on each replicate, and of the rate difference. A replicate with an empty arm, and for the odds ratio one with
+    an empty cell, fails; where half of them fail there is no interval."""
+    s = [tuple(r) for r in incidents.groupBy("k", "n", "exposed").agg(F.count(F.lit(1))).orderBy("k", "n", "exposed").collect()]
+    k, n, x, size = (np.array(c, np.float64) for c in zip(*s)) if s else (np.zeros(0),) * 4
+    odds, diffs = [], []
+    rng = np.random.default_rng(seed)
+    for some in _slices(times, len(s)) if s else ():
+        w = rng.multinomial(int(size.sum()), size / size.sum(), size=some)
+        k1, n1, k0, n0 = w @ (k * x), w @ (n * x), w @ (k * (1 - x)), w @ (n * (1 - x))
+        with np.errstate(all="ignore"):
+            o, d = (k1 * (n0 - k0)) / (k0 * (n1 - k1)), k1 / n1 - k0 / n0
+        odds.append(o[np.isfinite(o) & (o > 0)])
+        diffs.append(d[np.isfinite(d)])
+    out = {"replicates": times}
+    for name, found in (("odds", odds), ("diff", diffs)):
+        got = np.concatenate(found) if found else np.zeros(0)
+        enough = len(got) >= times * 0.5 and len(got) > 0
+        out |= {f"{name}_failed": times - len(got), f"{name}_low": float(np.percentile(got, 2.5)) if enough else None, f"{name}_high": float(np.percentile(got, 97.5)) if enough else None}
+    return out
 
 
 def bootstrap_by_hash(incidents: DataFrame, times: int, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the rate difference over Poisson-weighted incidents; replicates with an empty arm fail."""
+    """Percentile interval of the rate difference over Poisson-weighted incidents; replicates with an empty arm fail. Rows
+    are incidents x times: a frame beyond MAX_DEALT is refused, bootstrap_by_strata takes any."""
+    _small(incidents.count(), times)
     u = F.conv(F.substring(_digest(seed), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     w = F.lit(7)
     for j in range(6, -1, -1):
@@ -79,8 +129,8 @@ def bootstrap_by_hash(incidents: DataFrame, times: int, seed: int = SEED) -> Dat
 
 def against_rest(by: DataFrame) -> DataFrame:
     """Rows with k1, n1 completed by k0, n0 of all other rows."""
-    whole = Window.partitionBy()
-    return by.withColumn("k0", F.sum("k1").over(whole) - F.col("k1")).withColumn("n0", F.sum("n1").over(whole) - F.col("n1"))
+    whole = by.agg(F.sum("k1").alias("k1"), F.sum("n1").alias("n1")).first()  # one row
+    return by.withColumn("k0", F.lit(whole.k1) - F.col("k1")).withColumn("n0", F.lit(whole.n1) - F.col("n1"))
 
 
 def odds_ratios(rows: DataFrame) -> DataFrame:
@@ -102,9 +152,14 @@ def two_sided(z: Column) -> Column:
 
 
 def holm(rows: DataFrame, name: str, p: str = "p") -> DataFrame:
-    """Step-down adjustment keyed by name: running maximum of (tests - rank + 1) * p, at most 1."""
-    order = Window.orderBy(F.desc("chi"), name)
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("multiplier", F.count(F.lit(1)).over(Window.partitionBy()) - F.col("rank") + 1)
+    """Step-down adjustment keyed by name: running maximum of (tests - rank + 1) * p, at most 1. Null p values are no tests.
+    Tests are ranked in one task: a family of tests is small, and one beyond MAX_TESTS is refused."""
+    rows = rows.where(F.col(p).isNotNull())
+    tests = rows.count()
+    if tests > MAX_TESTS:
+        raise ValueError(f"{tests} tests are no family")
+    order = Window.orderBy(F.desc("chi") if "chi" in rows.columns else F.col(p), name)
+    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("multiplier", F.lit(tests) - F.col("rank") + 1)
     so_far = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max(F.col("multiplier") * F.col(p)).over(so_far)))
 
@@ -127,12 +182,39 @@ def discordance(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return t.select("a", "b", "c", "d", F.when(c > 0, b / c).alias("odds_ratio"), F.when(some, F.exp(log_or - stats.Z95 * se)).alias("low"), F.when(some, F.exp(log_or + stats.Z95 * se)).alias("high"), F.lit(round(stats.mcnemar_exact(r.b, r.c), 7)).alias("p"))
 
 
+#: Sizes of both arms up to which the test is exact, if no value is tied.
+EXACT_RANKS = 8
+
+
+def u_counts(n1: int, n0: int) -> list[int]:
+    """Of all orders of n1 and n0 rows how many give U = 0, 1, ...: coefficients of the Gaussian binomial."""
+    out = [1]
+    for i in range(1, n1 + 1):  # times (1 - q^(n0 + i)) / (1 - q^i)
+        longer = out + [0] * (n0 + i)
+        for j in range(len(longer) - 1, n0 + i - 1, -1):
+            longer[j] -= longer[j - n0 - i]
+        for j in range(i, len(longer)):
+            longer[j] += longer[j - i]
+        out = longer[: i * n0 + 1]
+    return out
+
+
 def mann_whitney(rows: DataFrame, value: str, arm: str) -> DataFrame:
-    """U of arm 1 and its tie-corrected z. Values are counted first, so ranking sorts distinct values only."""
-    g = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(arm) == 1).alias("t1"))
+    """U of arm 1, its tie-corrected z with and p after continuity correction, two-sided; exact p for small arms without
+    ties. Values are counted first, so ranking sorts distinct values only, by few rows for each."""
+    g = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(arm) == 1).alias("t1"))
     before = F.coalesce(F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = g.withColumn("rank", before + (F.col("t") + 1) / 2)
-    s = r.agg(F.sum("t1").alias("n1"), (F.sum("t") - F.sum("t1")).alias("n0"), F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
+    tied = (F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")
+    s = r.agg(F.sum("t1").alias("n1"), (F.sum("t") - F.sum("t1")).alias("n0"), F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(tied).alias("ties"))
     n1, n0 = F.col("n1"), F.col("n0")
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    return s.select("n1", "n0", u.alias("u"), ((u - n1 * n0 / 2) / F.sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - F.col("ties") / ((n1 + n0) * (n1 + n0 - 1))))).alias("z"))
+    sd = F.sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - F.col("ties") / ((n1 + n0) * (n1 + n0 - 1))))
+    out = s.select("n1", "n0", "ties", u.alias("u"), F.when(sd > 0, (u - n1 * n0 / 2) / sd).alias("z"), sd.alias("sd"))
+    told = out.first()
+    p = F.least(F.lit(1.0), two_sided(F.greatest(F.lit(0.0), F.abs(F.col("u") - n1 * n0 / 2) - 0.5) / F.col("sd")))
+    if told.n1 and told.n0 and not told.ties and min(told.n1, told.n0) <= EXACT_RANKS and told.n1 * told.n0 <= 10**6:
+        counts = u_counts(told.n1, told.n0)
+        low = min(told.u, told.n1 * told.n0 - told.u)
+        p = F.lit(min(1.0, 2 * sum(counts[: int(low) + 1]) / sum(counts)))
+    return out.withColumn("p", F.when(F.col("sd") > 0, p)).drop("ties", "sd")

@@ -12,9 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mentionlab.functions.stats import normal_quantile
 from mentionlab.session import written
 
 
+#: Bound of a linear predictor: fits whose arms are separated stay finite.
+MAX_LOGIT = 30.0
+
+
 def _dot(beta: np.ndarray, x: list[str]) -> Column:
     out = F.lit(float(beta[0]))
     for b, c in zip(beta[1:], x):
@@ -22,6 +27,11 @@ def _dot(beta: np.ndarray, x: list[str]) -> Column:
     return out
 
 
+def _bounded(step: np.ndarray) -> np.ndarray:
+    """A Newton step of at most 2 in any coefficient: from a rare outcome's mean a full one overshoots."""
+    return step * min(1.0, 2.0 / max(1e-300, float(np.abs(step).max())))
+
+
 def _names(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -33,7 +43,7 @@ def _matrix(row, p: int, prefix: str) -> np.ndarray:
     return m
 
 
-def gee(rows: DataFrame, x: list[str], cluster: str = "incident_id", y: str = "y", exchangeable: bool = True, rounds: int = 50, tolerance: float = 1e-10) -> dict:
+def gee(rows: DataFrame, x: list[str], cluster: str = "incident_id", y: str = "y", exchangeable: bool = True, rounds: int = 80, tolerance: float = 1e-10) -> dict:
     """Logit GEE of y on x and an intercept: coefficients, robust standard errors, working correlation, clusters.
 
     With an exchangeable correlation a, V^-1 of a cluster of n is (I - a / (1 + (n - 1) a) J) / (1 - a) in the scaled
@@ -42,20 +52,20 @@ def gee(rows: DataFrame, x: list[str], cluster: str = "incident_id", y: str = "y
     cols = ["_one", *x]
     p = len(cols)
     data = written(rows.select(F.col(cluster).alias("c"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("_one"), *[F.col(k).cast("double").alias(k) for k in x]), "gee")
-    beta, alpha, meat, bread = np.zeros(p), 0.0, None, None
+    beta, alpha, meat, bread, settled = np.zeros(p), 0.0, None, None, not exchangeable
     mean = data.agg(F.avg("y")).first()[0]
     if mean is None or not 0 < mean < 1:
         return {"beta": [None] * p, "se": [None] * p, "alpha": None, "clusters": data.select("c").distinct().count()}
     beta[0] = math.log(mean / (1 - mean))
     for _ in range(rounds):
-        mu = 1 / (1 + F.exp(-_dot(beta, x)))
+        mu = 1 / (1 + F.exp(-F.least(F.lit(MAX_LOGIT), F.greatest(F.lit(-MAX_LOGIT), _dot(beta, x)))))
         s = F.sqrt(mu * (1 - mu))
         scaled = data.select("c", ((F.col("y") - mu) / s).alias("r"), *[(F.col(k) * s).alias(f"d{i}") for i, k in enumerate(cols)])
         per = scaled.groupBy("c").agg(
             F.count(F.lit(1)).alias("n"), F.sum("r").alias("sr"), F.sum(F.col("r") ** 2).alias("srr"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(p)],
             *[F.sum(F.col(f"d{i}") * F.col("r")).alias(f"u{i}") for i in range(p)], *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"m{i}_{j}") for i, j in _names(p)],
         )
-        if exchangeable:
+        if exchangeable and settled:
             pairs = per.agg(F.sum((F.col("sr") ** 2 - F.col("srr")) / 2).alias("a"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("b"), F.sum("srr").alias("f"), F.sum("n").alias("n")).first()
             phi = pairs.f / max(1, pairs.n - p)
             alpha = max(-0.1, min(0.95, pairs.a / max(1.0, pairs.b - p) / phi)) if pairs.b else 0.0
@@ -67,10 +77,12 @@ def gee(rows: DataFrame, x: list[str], cluster: str = "incident_id", y: str = "y
             *[F.sum(score[i] * score[j]).alias(f"e{i}_{j}") for i, j in _names(p)], F.count(F.lit(1)).alias("clusters"),
         ).first()
         bread, meat = _matrix(sums, p, "b"), _matrix(sums, p, "e")
-        step = np.linalg.lstsq(bread, np.array([sums[f"g{i}"] for i in range(p)]), rcond=None)[0]
+        step = _bounded(np.linalg.lstsq(bread, np.array([sums[f"g{i}"] for i in range(p)]), rcond=None)[0])
         beta = beta + step
-        if np.abs(step).max() < tolerance:
-            break
+        if np.abs(step).max() < (tolerance if settled else 1e-3):
+            if settled:
+                break
+            settled = True  # the working correlation is estimated from a fit without it onwards
     inverse = np.linalg.pinv(bread)
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
     return {"beta": beta.tolist(), "se": se.tolist(), "alpha": alpha, "clusters": sums.clusters}
@@ -83,12 +95,12 @@ def glm(rows: DataFrame, x: list[str], k: str = "k", n: str = "n", rounds: int =
     data = written(rows.where(F.col(n) > 0).select(F.col(k).cast("double").alias("k"), F.col(n).cast("double").alias("n"), F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in x]), "glm")
     beta = np.zeros(p)
     for _ in range(rounds):
-        mu = 1 / (1 + F.exp(-_dot(beta, x)))
+        mu = 1 / (1 + F.exp(-F.least(F.lit(MAX_LOGIT), F.greatest(F.lit(-MAX_LOGIT), _dot(beta, x)))))
         w = F.col("n") * mu * (1 - mu)
         r = F.col("k") - F.col("n") * mu
         s = data.agg(*[F.sum(F.col(c) * r).alias(f"g{i}") for i, c in enumerate(cols)], *[F.sum(F.col(cols[i]) * F.col(cols[j]) * w).alias(f"b{i}_{j}") for i, j in _names(p)], F.sum(r * r / w).alias("x2"), F.count(F.lit(1)).alias("rows")).first()
         bread = _matrix(s, p, "b")
-        step = np.linalg.lstsq(bread, np.array([s[f"g{i}"] or 0.0 for i in range(p)]), rcond=None)[0]
+        step = _bounded(np.linalg.lstsq(bread, np.array([s[f"g{i}"] or 0.0 for i in range(p)]), rcond=None)[0])
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
@@ -113,10 +125,33 @@ def glm_frame(spark: SparkSession, rows: DataFrame, x: list[str]) -> DataFrame:
     return spark.createDataFrame([(n, b, s, *effect(b, s), g["scale"]) for n, b, s in zip(["intercept", *x], g["beta"], g["se"])], "term string, beta double, se double, odds_ratio double, low double, high double, p double, scale double")
 
 
+def _uniform(seed: int, name: str, *columns: str) -> Column:
+    """A number in (0, 1) from a digest of a name and columns: the same on any layout of the rows."""
+    of = F.md5(F.concat_ws("|", F.lit(f"{seed}|{name}"), *[F.col(c).cast("string") for c in columns]))
+    return (F.conv(F.substring(of, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
 def simulate(spark: SparkSession, exposed: int, other: int, seed: int = 1, base: float = -1.4, effect: float = 1.0, sd: float = 1.0, mean_articles: float = 8.0) -> DataFrame:
-    """Articles of incidents with a random intercept each: incident_id, article, exposed, outcome, outlet."""
-    i = spark.range(exposed + other).select(F.col("id").alias("incident_id"), (F.col("id") < exposed).cast("int").alias("exposed"), (F.randn(seed) * sd).alias("u"), F.rand(seed + 1).alias("v"))
-    size = F.greatest(F.lit(1), F.round(-F.log(1 - F.col("v")) * (mean_articles - 1)).cast("int") + 1)
-    a = i.select("incident_id", "exposed", "u", F.explode(F.sequence(F.lit(1), size)).alias("article"))
-    p = 1 / (1 + F.exp(-(F.lit(base) + effect * F.col("exposed") + F.col("u"))))
-    return a.select("incident_id", "article", "exposed", (F.rand(seed + 2) < p).cast("int").alias("outcome"), F.floor(F.rand(seed + 3) * 9).cast("int").alias("outlet"))
+    """Articles of incidents with a random intercept each: incident_id, article, exposed, outcome, outlet, and covariates of
+    the incident (year, deaths, kind, child, age_band, multi, remoteness) and of the outlet (register). Every number is
+    drawn from a digest of its row's ids, so a seed gives the same frame on any cluster."""
+    ids = spark.range(exposed + other).select(F.col("id").alias("incident_id"), (F.col("id") < exposed).cast("int").alias("exposed"))
+    pick = lambda name, values: F.get(F.array(*[F.lit(v) for v in values]), F.floor(_uniform(seed, name, "incident_id") * len(values)).cast("int"))
+    i = ids.withColumns(
+        {
+            "u": normal_quantile(_uniform(seed, "u", "incident_id")) * sd,
+            "size": F.greatest(F.lit(1), F.round(-F.log(1 - _uniform(seed, "size", "incident_id")) * (mean_articles - 1)).cast("int") + 1),
+            "year": pick("year", (2023, 2024, 2025)),
+            "deaths": pick("deaths", (0, 0, 0, 1, 1, 2)),
+            "kind": pick("kind", ("collision", "fire", "pedestrian")),
+            "child": pick("child", (0, 0, 0, 1)),
+            "age_band": pick("age_band", ("<=2y", "3-9y", ">=10y")),
+            "multi": pick("multi", (0, 1)),
+            "remoteness": pick("remoteness", ("metro", "metro", "regional")),
+        }
+    )
+    a = i.select("*", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("article")).drop("size")
+    a = a.withColumn("outlet", F.floor(_uniform(seed, "outlet", "incident_id", "article") * 9).cast("int"))
+    p = 1 / (1 + F.exp(-(F.lit(base) + effect * F.col("exposed") + F.col("u") + 0.3 * F.col("deaths"))))
+    outcome = (_uniform(seed, "outcome", "incident_id", "article") < p).cast("int")
+    return a.withColumns({"outcome": outcome, "register": F.when(F.col("outlet") < 5, "tabloid").otherwise("broadsheet")}).drop("u")

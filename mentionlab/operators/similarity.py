@@ -80,6 +80,28 @@ def rare_pairs(counts: DataFrame, band: DataFrame, n_docs: int, shared: int = RA
     return _candidates(keys, band, days).groupBy("a", "b").agg(F.count(F.lit(1)).alias("rare")).where(F.col("rare") >= shared)
 
 
+def rare_links(counts: DataFrame, band: DataFrame, n_docs: int, days: int | None = DAYS) -> DataFrame:
+    """(a, b): enough links of rare_pairs (two shared tokens) to connect all that these connect.
+
+    Keys are pairs of rare tokens of one document. Documents of a key in order of their days: who is in reach of one is in
+    reach of its neighbour or reached through it, so neighbours alone are linked, and rows do not grow with pairs.
+    """
+    rare = document_frequency(counts).where(F.col("df") <= rare_limit(n_docs)).select("token")
+    own = counts.join(rare, "token").select("doc", "token").join(band, "doc")
+    keys = own.alias("x").join(own.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.token") < F.col("y.token"))).select("x.doc", "x.band", F.col("x.token").alias("t1"), F.col("y.token").alias("t2"))
+    group = ["t1", "t2"] if days is not None else ["t1", "t2", "band"]
+    order = Window.partitionBy(*group).orderBy("band", "doc")
+    near = keys.select("doc", F.lag("doc").over(order).alias("other"), (F.col("band") - F.lag("band").over(order)).alias("gap") if days is not None else F.lit(0).alias("gap"))
+    return near.where(F.col("other").isNotNull() & (F.col("gap") <= (days or 0))).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def dense_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of numbers of one length; null where one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm)
+
+
 def clusters(docs: DataFrame, doc: str, tokens: Column, band: Column, theta: float = THETA, days: int | None = DAYS, rare: bool = True) -> DataFrame:
     """(doc, cluster, size): components of the linkage "cosine >= theta or enough shared rare tokens, in reach". Every row's
     doc is in the result; documents without a band or links are clusters of their own."""
@@ -91,7 +113,7 @@ def clusters(docs: DataFrame, doc: str, tokens: Column, band: Column, theta: flo
     reps = bands.join(same.where("doc = rep").select("doc"), "doc", "left_semi")
     links = similar_pairs(weights, reps, theta, days).select("a", "b")
     if rare:
-        links = links.union(rare_pairs(counts, reps, n, days=days).select("a", "b"))
+        links = links.union(rare_links(counts, reps, n, days=days))
     weighty = weights.where("w <> 0").select("doc").distinct()  # a vector of zeros is not even like its copy
     links = links.union(same.where("doc <> rep").join(weighty, "doc", "left_semi").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     found = connected_components(links)

@@ -11,8 +11,8 @@ DIGITS = 9
 _ARMS = ("p1", "p1_low", "p1_high", "p0", "p0_low", "p0_high", "diff", "diff_low", "diff_high", "ratio")
 ROUNDED = {
     "two_arm_primary": _ARMS, "threshold_sweep": _ARMS, "incident_rollup": ("prop",), "by_make": ("rate",), "incident_level_summary": ("median", "mean", "share_half"), "outlet_rates": ("rate",), "leave_one_outlet_out": ("rate1", "rate0"),
-    "register_rates": ("rate",), "narrative_cube": ("rate",), "odds_contrasts": ("log_or", "se", "chi"), "permutation_p": ("p", "observed"), "cluster_bootstrap": ("low", "high"), "matched_discordance": ("odds_ratio", "low", "high"),
-    "mann_whitney": ("z",), "table_one": ("n_mean", "n_sd", "outlets_mean", "outlets_sd", "prop_mean", "prop_sd"), "power_grid": ("n_plain", "n_clustered"), "coder_kappa": ("exact", "kappa"), "agreement_by_variable": ("exact", "kappa"),
+    "register_rates": ("rate",), "narrative_cube": ("rate",), "odds_contrasts": ("log_or", "se", "chi", "p", "p_holm"), "permutation_p": ("p", "observed"), "cluster_bootstrap": ("low", "high"), "matched_discordance": ("odds_ratio", "low", "high"),
+    "mann_whitney": ("z", "p"), "table_one": ("n_mean", "n_sd", "outlets_mean", "outlets_sd", "prop_mean", "prop_sd"), "power_grid": ("n_plain", "n_clustered"), "coder_kappa": ("exact", "kappa"), "agreement_by_variable": ("exact", "kappa"),
     "recall_by_entity": ("recall", "differential"), "harvest_stream": ("total",),
 }
 #: Sums of many large values keep fewer digits.

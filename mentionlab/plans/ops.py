@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mentionlab.functions import text as t
 from mentionlab.operators import agreement as ag
+from mentionlab.operators import coding
 from mentionlab.operators import corrections as co
 from mentionlab.operators import incidents as inc
 from mentionlab.operators import models
@@ -117,10 +118,10 @@ def recall(spark, sf):
     return ag.recall(d, machine, "doc_id", "lang", F.col("lang") == "de")
 
 
-def gold_sample(spark, sf, size: int = 28):
-    """All toxic documents' share of the sample first, topped up by digest order: the sample's size is its feature."""
-    lab = table(spark, sf, "labels")
-    return lab.select("doc_id", "toxic", F.md5(F.concat_ws("|", F.lit("7"), F.col("doc_id").cast("string"))).alias("key")).orderBy(F.desc(F.col("toxic") * 1), "key").limit(size).select("doc_id", "toxic")
+def gold_sample(spark, sf):
+    """All toxic documents, and others by digest up to 28: the sample's size is its feature."""
+    lab = table(spark, sf, "labels").select("doc_id", "toxic")
+    return coding.gold_sample(lab, "doc_id", F.col("toxic") == 1, size=28, seed=7).select("doc_id", "toxic")
 
 
 def flags(spark, sf):
@@ -248,7 +249,7 @@ QUERIES = {
         p AS (SELECT entity, count(*) AS n, sum(hit)::BIGINT AS hits, max(exposed) AS exposed FROM j GROUP BY 1)
         SELECT entity, n, hits, hits / n AS recall, sum(hits) FILTER (exposed = 1) OVER () / sum(n) FILTER (exposed = 1) OVER () - sum(hits) FILTER (exposed = 0) OVER () / sum(n) FILTER (exposed = 0) OVER () AS differential FROM p""",
     ),
-    "gold_sample": (gold_sample, "SELECT doc_id, toxic FROM labels ORDER BY toxic DESC, md5('7|' || doc_id) LIMIT 28"),
+    "gold_sample": (gold_sample, "WITH k AS (SELECT *, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) FILTER (toxic = 1) OVER () AS hot FROM labels) SELECT doc_id, toxic FROM k WHERE toxic = 1 OR k <= 28 - hot"),
     "review_flags": (
         flags,
         """SELECT event_id, concat_ws('|', CASE WHEN value > 90 THEN 'ambiguous' END, CASE WHEN coalesce(event_type, '') <> '' AND event_id % 2 <> 0 THEN 'entity_without_quote' END,

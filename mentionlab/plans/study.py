@@ -78,21 +78,46 @@ q AS (SELECT entity, k1::BIGINT k1, n1::BIGINT n1, k0::BIGINT k0, n0::BIGINT n0,
 m AS (SELECT *, log_or / se AS z FROM q), m2 AS (SELECT *, z * z AS chi FROM m)"""
 
 
+def two_sided_sql(z):
+    """P(|N(0,1)| >= z) by the same fit of erfc that the library has."""
+    t = f"(1 / (1 + ({z}) / sqrt(2) / 2))"
+    power = "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        power = f"({power} * {t} + ({c}))"
+    return f"({t} * exp(-({z}) * ({z}) / 2 + {power}))"
+
+
 def odds_contrasts_sql():
     return f"""WITH {ART}, {CONTRASTS},
-h AS (SELECT *, row_number() OVER (ORDER BY chi DESC, entity) AS rank, count(*) OVER () AS tests FROM m2)
-SELECT entity, k1, n1, k0, n0, log_or, se, chi, rank, tests - rank + 1 AS multiplier FROM h"""
+h AS (SELECT *, {two_sided_sql("abs(z)")} AS p, row_number() OVER (ORDER BY chi DESC, entity) AS rank, count(*) OVER () AS tests FROM m2)
+SELECT entity, k1, n1, k0, n0, log_or, se, chi, p, rank, tests - rank + 1 AS multiplier, least(1.0, max((tests - rank + 1) * p) OVER (ORDER BY rank)) AS p_holm FROM h"""
+
+
+#: As published: replicates of the permutation test and of the bootstrap. They are dealt over few clusters here: an
+#: incident is all that customers of one nation ordered, exposed is a nation of one region.
+PERMUTATIONS, BOOTSTRAPS, EXPOSED_REGION = 20_000, 1_000, 1
+
+
+def nations(spark, sf):
+    """Nations as clusters: k and n over all their articles."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("outcome"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_regionkey") == EXPOSED_REGION).cast("int").alias("exposed"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy(F.col("n_nationkey").alias("incident_id"), "exposed").agg(F.sum("outcome").cast("long").alias("k"), F.count("outcome").alias("n"))
 
 
-PERMUTATIONS, BOOTSTRAPS = 200, 200
+NATIONS = f"""i AS (SELECT n_nationkey AS incident_id, (n_regionkey = {EXPOSED_REGION})::INT AS exposed, sum((l_returnflag = 'R')::INT)::BIGINT AS k, count(l_returnflag) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
 
 
 def permutation(spark, sf):
-    return inference.permutation_by_hash(inc.to_incidents(articles(spark, sf)), PERMUTATIONS)
+    return inference.permutation_by_hash(nations(spark, sf), PERMUTATIONS)
 
 
 def bootstrap(spark, sf):
-    return inference.bootstrap_by_hash(inc.to_incidents(articles(spark, sf)), BOOTSTRAPS)
+    return inference.bootstrap_by_hash(nations(spark, sf), BOOTSTRAPS)
 
 
 def fisher(spark, sf):
@@ -110,25 +135,35 @@ def mann_whitney(spark, sf):
     return inference.mann_whitney(inc.to_incidents(articles(spark, sf)), "prop", "exposed")
 
 
-GRID = [(p0, p1, m, rho) for p0 in (0.1, 0.3) for p1 in (0.35, 0.5) for m in (1.0, 4.0, 8.0, 12.0) for rho in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)]
+GRID = [(p0, p1, m, rho) for p0 in (0.1, 0.3) for p1 in (0.35, 0.5) for m in (4.0, 6.0, 8.0, 12.0) for rho in (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)]
+ARMS = [(p0, n, m, rho) for p0 in (0.05, 0.1) for n in (10, 15, 20, 25, 30, 40, 60) for m, rho in ((8.0, 0.5), (4.0, 0.2))]
 
 
 def power_grid(spark, sf):
     g = spark.createDataFrame(GRID, "p0 double, p1 double, m double, rho double")
-    n = stats.n_per_arm(F.col("p0"), F.col("p1"), F.lit(0.05), F.lit(0.8))
-    return g.withColumn("n_plain", n).withColumn("n_clustered", n * stats.design_effect(F.col("m"), F.col("rho"))).withColumn("clusters", F.ceil(F.col("n_clustered") / F.col("m")).cast("long"))
+    level = F.lit(0.05), F.lit(0.8)
+    n = stats.n_per_arm(F.col("p0"), F.col("p1"), *level)
+    deff = stats.design_effect(F.col("m"), F.col("rho"))
+    return g.withColumns({"n_plain": n, "n_clustered": n * deff, "clusters": stats.clusters_per_arm(F.col("p0"), F.col("p1"), F.col("m"), F.col("rho"), *level)})
 
 
 def detectable(spark, sf):
-    g = spark.createDataFrame([(p0, n) for p0 in (0.05, 0.1, 0.3) for n in (20, 43, 100, 400)], "p0 double, n int")
-    return g.withColumn("rate", F.round(stats.detectable_rate(F.col("p0"), F.col("n"), F.lit(0.05), F.lit(0.8)), 6))
+    """What is detectable with a given number of incidents an arm, and its odds ratio."""
+    g = spark.createDataFrame(ARMS, "p0 double, incidents int, m double, rho double")
+    rate = stats.detectable_rate(F.col("p0"), F.col("incidents"), F.col("m"), F.col("rho"), F.lit(0.05), F.lit(0.8))
+    g = g.withColumn("rate", rate)
+    odds = (F.col("rate") / (1 - F.col("rate"))) / (F.col("p0") / (1 - F.col("p0")))
+    return g.select("p0", "incidents", "m", "rho", F.round("rate", 6).alias("rate"), F.round(odds, 5).alias("odds_ratio"))
 
 
 def appendix(spark, sf):
-    """Entity, its incidents and their articles, nested and in order: one row for each entity, as digests."""
+    """Entities by their number of incidents, and a digest of their incidents and articles that needs no order between
+    incidents: no entity's rows meet in one task."""
     a = articles(spark, sf)
-    i = a.groupBy("entity", "incident_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "outlet", "outcome"))), ",").alias("arts"))
-    return i.groupBy("entity").agg(F.count(F.lit(1)).alias("incidents"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("incident_id", "arts"))), lambda x: F.concat_ws("=", x["incident_id"], x["arts"])), ";")).alias("digest"))
+    one = F.concat_ws(":", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "outlet", "outcome")
+    i = a.groupBy("entity", "incident_id").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("arts"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("=", F.col("incident_id").cast("string"), "arts")), 1, 13), 16, 10).cast("decimal(38,0)")
+    return i.groupBy("entity").agg(F.count(F.lit(1)).alias("incidents"), F.sum(digest).cast("string").alias("digest"))
 
 
 def outlet_report(spark, sf):
@@ -180,17 +215,17 @@ QUERIES = {
         coverage_window,
         f"WITH {ART}, c AS (SELECT *, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS day FROM a) SELECT exposed, count(*) AS articles, count(DISTINCT incident_id) AS incidents, sum(day)::BIGINT AS days FROM c WHERE day BETWEEN 0 AND 14 GROUP BY 1",
     ),
-    "odds_contrasts": (lambda s, d: contrasts(s, d).drop("p", "p_holm"), odds_contrasts_sql()),
+    "odds_contrasts": (contrasts, odds_contrasts_sql()),
     "permutation_p": (
         permutation,
-        f"""WITH {ART}, x AS (SELECT count(*) FILTER (exposed = 1) AS m, sum(k) FILTER (exposed = 1) / sum(n) FILTER (exposed = 1) - sum(k) FILTER (exposed = 0) / sum(n) FILTER (exposed = 0) AS seen FROM i),
+        f"""WITH {NATIONS}, x AS (SELECT count(*) FILTER (exposed = 1) AS m, sum(k) FILTER (exposed = 1) / sum(n) FILTER (exposed = 1) - sum(k) FILTER (exposed = 0) / sum(n) FILTER (exposed = 0) AS seen FROM i),
         p AS (SELECT rep, k, n, row_number() OVER (PARTITION BY rep ORDER BY md5('20260101|' || rep || '|' || incident_id), incident_id) AS place FROM i, range(1, {PERMUTATIONS + 1}) AS v(rep)),
         d AS (SELECT rep, sum(k) FILTER (place <= m) / sum(n) FILTER (place <= m) - sum(k) FILTER (place > m) / sum(n) FILTER (place > m) AS diff FROM p, x GROUP BY rep)
         SELECT count(*) AS permutations, count(*) FILTER (abs(diff) >= abs(seen) - 1e-12) AS as_extreme, (1 + count(*) FILTER (abs(diff) >= abs(seen) - 1e-12)) / (1 + count(*)) AS p, max(seen) AS observed FROM d, x""",
     ),
     "cluster_bootstrap": (
         bootstrap,
-        f"""WITH {ART}, u AS (SELECT rep, exposed, k, n, ('0x' || md5('20260101|' || rep || '|' || incident_id)[1:8])::BIGINT / 4294967296 AS u FROM i, range(1, {BOOTSTRAPS + 1}) AS v(rep)),
+        f"""WITH {NATIONS}, u AS (SELECT rep, exposed, k, n, ('0x' || md5('20260101|' || rep || '|' || incident_id)[1:8])::BIGINT / 4294967296 AS u FROM i, range(1, {BOOTSTRAPS + 1}) AS v(rep)),
         w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3
           WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 ELSE 7 END AS c FROM u),
         d AS (SELECT rep, sum(c * k) FILTER (exposed = 1) / nullif(sum(c * n) FILTER (exposed = 1), 0) - sum(c * k) FILTER (exposed = 0) / nullif(sum(c * n) FILTER (exposed = 0), 0) AS diff FROM w GROUP BY rep)
@@ -216,8 +251,9 @@ QUERIES = {
         mann_whitney,
         f"""WITH {ART}, g AS (SELECT prop AS v, count(*) AS t, count(*) FILTER (exposed = 1) AS t1 FROM i GROUP BY 1),
         k AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM g),
-        s AS (SELECT sum(t1)::BIGINT AS n1, (sum(t) - sum(t1))::BIGINT AS n0, sum(t1 * rank) AS r1, sum(t * t * t - t)::DOUBLE AS ties FROM k)
-        SELECT n1, n0, r1 - n1 * (n1 + 1) / 2 AS u, (r1 - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM s""",
+        s AS (SELECT sum(t1)::BIGINT AS n1, (sum(t) - sum(t1))::BIGINT AS n0, sum(t1 * rank) AS r1, sum(t * t * t - t)::DOUBLE AS ties FROM k),
+        q AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM s)
+        SELECT n1, n0, u, (u - n1 * n0 / 2) / sd AS z, least(1.0, {two_sided_sql("greatest(0, abs(u - n1 * n0 / 2) - 0.5) / sd")}) AS p FROM q""",
     ),
     "table_one": (
         lambda s, d: inc.table_one(inc.to_incidents(articles(s, d)), ("n", "outlets", "prop")),
@@ -225,16 +261,17 @@ QUERIES = {
     ),
     "detectable_rate": (
         detectable,
-        """WITH RECURSIVE g(p0, n) AS (SELECT p0::DOUBLE, n FROM (VALUES (0.05), (0.1), (0.3)) AS a(p0), (VALUES (20), (43), (100), (400)) AS b(n)),
-        s(p0, n, k, low, high) AS (SELECT p0, n, 0, p0, 0.999999::DOUBLE FROM g UNION ALL SELECT p0, n, k + 1,
-          CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (SELECT *, ((1.9599639845 * sqrt(2 * ((p0 + mid) / 2) * (1 - (p0 + mid) / 2)) + 0.8416212336 * sqrt(p0 * (1 - p0) + mid * (1 - mid))) / (mid - p0)) ** 2 <= n AS ok
-          FROM (SELECT *, (low + high) / 2 AS mid FROM s WHERE k < 60) x) y)
-        SELECT p0, n, CASE WHEN high < 0.9999989 THEN round(high, 6) END AS rate FROM s WHERE k = 60""",
+        f"""WITH RECURSIVE g(p0, incidents, m, rho) AS (SELECT p0::DOUBLE, incidents::INT, m::DOUBLE, rho::DOUBLE FROM (VALUES {_values(ARMS)}) AS v(p0, incidents, m, rho)),
+        s(p0, incidents, m, rho, k, low, high) AS (SELECT p0, incidents, m, rho, 0, p0 + 1e-5, 0.999::DOUBLE FROM g UNION ALL SELECT p0, incidents, m, rho, k + 1,
+          CASE WHEN short THEN mid ELSE low END, CASE WHEN short THEN high ELSE mid END FROM (SELECT *, ceil(((1.9599639845 * sqrt(2 * ((p0 + mid) / 2) * (1 - (p0 + mid) / 2))
+            + 0.8416212336 * sqrt(p0 * (1 - p0) + mid * (1 - mid))) / (mid - p0)) ** 2 * (1 + (m - 1) * rho) / m) > incidents AS short
+          FROM (SELECT *, (low + high) / 2 AS mid FROM s WHERE k < 200) x) y)
+        SELECT p0, incidents, m, rho, round(high, 6) AS rate, round((high / (1 - high)) / (p0 / (1 - p0)), 5) AS odds_ratio FROM s WHERE k = 200""",
     ),
     "appendix_grouping": (
         appendix,
         f"""WITH {ART}, x AS (SELECT entity, incident_id, string_agg(lpad(l_linenumber::VARCHAR, 3, '0') || ':' || outlet || ':' || outcome, ',' ORDER BY lpad(l_linenumber::VARCHAR, 3, '0') || ':' || outlet || ':' || outcome) AS arts FROM a GROUP BY 1, 2)
-        SELECT entity, count(*) AS incidents, md5(string_agg(incident_id || '=' || arts, ';' ORDER BY incident_id)) AS digest FROM x GROUP BY 1""",
+        SELECT entity, count(*) AS incidents, sum(('0x' || md5(incident_id || '=' || arts)[1:13])::BIGINT)::HUGEINT::VARCHAR AS digest FROM x GROUP BY 1""",
     ),
     "outlet_report": (outlet_report, f"WITH {ART} SELECT outlet, count(*) AS articles, count(DISTINCT incident_id) AS incidents FROM a GROUP BY 1 ORDER BY articles DESC, outlet LIMIT 15"),
     "power_grid": (

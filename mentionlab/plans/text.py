@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from mentionlab.functions import text as t
 from mentionlab.operators import lexicon as lx
+from mentionlab.operators import pages
 from mentionlab.operators import similarity as sim
 from mentionlab.session import table
+from mentionlab.sources import harvest
 
 #: A lexicon for part names: entities are kinds of goods, models qualify one of them.
 GOODS = lx.Lexicon((lx.Entity("Widget", "turned", ("widget", "gizmo")), lx.Entity("Bolt", "turned", ("bolt",), ("hot",)), lx.Entity("Gear", "cut", ("gear", "cog"), ("small", "large"))))
 #: A lexicon for documents.
 WORDS = lx.Lexicon((lx.Entity("The", "en", ("the",), ("of",)), lx.Entity("Die", "de", ("die", "der"), ("und",)), lx.Entity("Que", "fr", ("que",))))
 STOP = t.stop_words(t.EVENT_TERMS, t.OUTCOME_TERMS)
-NARRATIVE = ("the", "was edha", "und", "que")
 _W = r"[\p{L}\p{N}_]"
 
 
@@ -54,31 +55,93 @@ def first_position(spark, sf):
 
 
 def html_text(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "html")
-    return p.select("page_id", t.page_title(F.col("html")).alias("title"), F.length(t.page_text(F.col("html"))).cast("long").alias("chars"), F.sha2(t.page_text(F.col("html")), 256).alias("text_sha256"))
+    """Title and body of each page, and whether the extraction is kept."""
+    p = pages.extracted(table(spark, sf, "pages").select("page_id", "html"))
+    body = F.col("body")
+    return p.select("page_id", "title", F.length(body).cast("long").alias("chars"), F.sha2(body, 256).alias("text_sha256"), pages.substantial(F.col("title"), body).alias("kept"))
 
 
-def urls(spark, sf):
+def _resolved(x):
+    for name, char in (("amp", "&"), ("copy", "©"), ("middot", "·"), ("quot", '"')):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+HTML_SQL = (
+    "WITH b0 AS (SELECT page_id, html, regexp_replace(html, '(?is)<!--.*?-->', chr(1), 'g') AS x FROM pages), "
+    + ", ".join(f"b{i + 1} AS (SELECT page_id, html, regexp_replace(x, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(1), 'g') AS x FROM b{i})" for i, tag in enumerate((*pages.SKIPPED, "title")))
+    + f""", r AS (SELECT page_id, html, list_transform(string_split(regexp_replace(x, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))) AS runs FROM b8),
+    f AS (SELECT page_id, {_resolved("array_to_string(list_filter(runs, lambda s: s <> ''), chr(10))")} AS x, {_resolved("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title FROM r)
+    SELECT page_id, title, length(x)::BIGINT AS chars, sha256(x) AS text_sha256, title <> '' AND length(x) >= 200 AS kept FROM f"""
+)
+
+#: Ends that URLs are tried with: slashes, encoded, blank, unnamed and tracking parameters, a stray per cent sign, a fragment.
+ENDS = ("", "/?ID=7&q=a%20b+c%7E*&utm_source=x&empty=&=v", "//?x=1%zz&Fbclid=3&y=%C3%A9=1&novalue#top", "/a/b/?icid=1")
+
+
+def _tried(spark, sf):
+    """Pages' URLs as they are, and cut before their query with each of the ends."""
     p = table(spark, sf, "pages").select("page_id", "url")
+    bare = F.regexp_extract("url", "^([^?#]*)", 1)
+    return p.select("page_id", F.posexplode(F.array(F.col("url"), *[F.concat(bare, F.lit(e)) for e in ENDS[1:]])).alias("variant", "url"))
+
+
+def urls(spark, sf):
+    p = _tried(spark, sf)
     c = t.canonical_url(F.col("url"))
-    return p.select("page_id", c.alias("canonical"), t.url_hash(c).alias("url_hash"), t.host(F.col("url")).alias("host"), t.slug_title(F.col("url"), "trailing").alias("slug"))
+    slugs = [t.slug_title(F.col("url"), k).alias(f"slug_{k}") for k in t.SLUGS]
+    return p.select("page_id", "variant", c.alias("canonical"), t.url_hash(c).alias("url_hash"), t.host(F.col("url")).alias("host"), *slugs)
+
+
+def _decoded(x):
+    """A per cent sign that begins no code stands for itself."""
+    return f"url_decode(array_to_string(list_transform(string_split(replace({x}, '+', ' '), '%'), lambda y, i: CASE WHEN i > 1 AND NOT regexp_matches(y, '^[0-9A-Fa-f]{{2}}') THEN '25' || y ELSE y END), '%'))"
+
 
+def canon_sql(source="SELECT page_id, url FROM pages", keys="page_id"):
+    """CTEs that end in u(keys, url, canonical)."""
+    return rf"""c AS (SELECT {keys}, url, regexp_extract(url, '(?s)^([^#]*)', 1) AS bare FROM ({source}) AS raw),
+b AS (SELECT *, regexp_extract(bare, '(?s)^[^?]*\?(.*)$', 1) AS q, regexp_extract(bare, '^([^?]*)', 1) AS base FROM c),
+k AS (SELECT *, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) AS start, rtrim(regexp_extract(base, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/') AS path,
+  list_filter(string_split(q, '&'), lambda p: regexp_matches(p, '(?s)^[^=]*=.+')) AS parts FROM b),
+d AS (SELECT *, list_transform(parts, lambda p: {{'k': {_decoded("p[1:strpos(p, '=') - 1]")}, 'v': {_decoded("p[strpos(p, '=') + 1:]")}}}) AS pairs FROM k),
+e AS (SELECT *, array_to_string(list_transform(list_filter(pairs, lambda x: NOT regexp_matches(lower(x.k), '^(utm_|fbclid|gclid|cmpid|icid|ito)')),
+  lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS kept FROM d),
+u AS (SELECT {keys}, url, start || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM e)""".replace("\\\\", "\\")
 
-CANON = r"""c AS (SELECT page_id, url, regexp_extract(url, '^([^#]*)', 1) AS bare FROM pages),
-b AS (SELECT *, regexp_extract(bare, '\?(.*)$', 1) AS q, regexp_extract(bare, '^([^?]*)', 1) AS base FROM c),
-k AS (SELECT *, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) AS start, regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1) AS path,
-  array_to_string(list_filter(string_split(q, '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT regexp_matches(lower(p), '^(utm_|fbclid|gclid|cmpid|icid|ito)')), '&') AS kept FROM b),
-u AS (SELECT page_id, url, CASE WHEN kept <> '' THEN start || path || '?' || kept ELSE regexp_replace(start || path, '/+$', '') END AS canonical FROM k)"""
+
+CANON = canon_sql()
+_CUT = "regexp_extract(url, '^([^?#]*)', 1)"
+TRIED = canon_sql("SELECT page_id, 0 AS variant, url FROM pages" + "".join(f" UNION ALL SELECT page_id, {k}, {_CUT} || '{e}' FROM pages" for k, e in enumerate(ENDS) if k), "page_id, variant")
+HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"
+
+
+def _slug(kind):
+    pattern, cut = t.SLUGS[kind]
+    found = f"regexp_extract(regexp_extract(url, '^([^?]*)', 1), '{pattern}', 1)"
+    found = f"regexp_replace({found}, '{cut}', '')" if cut else found
+    return f"replace({found}, '-', ' ') AS slug_{kind}"
+
+
+URLS_SQL = f"WITH {TRIED} SELECT page_id, variant, canonical, substr(sha1(canonical), 1, 16) AS url_hash, {HOST} AS host, {', '.join(_slug(k) for k in t.SLUGS)} FROM u"
+
+
+def url_days(spark, sf):
+    """Pages under the dated grammar: the day in their URL, and whether it lies in a window."""
+    day = F.lpad((F.col("page_id") % 14 + 1).cast("string"), 2, "0")
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://n.example/news/2025-"), day, F.lit("-10/some-words/"), F.col("page_id").cast("string")).alias("url"))
+    day = t.url_date(F.col("url"))
+    return p.select("page_id", F.date_format(day, "yyyy-MM-dd").alias("day"), F.coalesce(day.between("2025-03-10", "2025-09-09"), F.lit(False)).alias("inside"))
+
+
+OUTLETS = (("tionsh.example.net", "Alpha"), ("tionble.example.com", "Beta"), ("example.org", "Gamma"), ("example.com", "Delta"))
 
 
 def outlet_match(spark, sf):
-    """Pages by outlet domain, exact or as a subdomain: an equi-join on the host's suffixes, not a scan of all domains."""
+    """Pages by outlet, those of no listed domain under the default."""
     p = table(spark, sf, "pages").select("page_id", t.host(F.col("url")).alias("host"))
-    n = F.size(F.split("host", r"\."))
-    suffixes = p.select("page_id", "host", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, n), "."))).alias("domain"))
-    outlets = spark.createDataFrame([("tionsh.example.net", "Alpha", 1), ("tionble.example.com", "Beta", 2), ("example.org", "Gamma", 3), ("example.com", "Delta", 4)], "domain string, brand string, place int")
-    best = suffixes.join(F.broadcast(outlets), "domain").groupBy("page_id").agg(F.min(F.struct("place", "brand")).alias("x"))
-    return best.select("page_id", F.col("x.brand").alias("brand"))
+    outlets = spark.createDataFrame([(d, b, k) for k, (d, b) in enumerate(OUTLETS)], "domain string, brand string, place int")
+    return harvest.match_outlets(p, "host", outlets, default="unlisted").select("page_id", "brand")
 
 
 def sitemap(spark, sf):
@@ -88,10 +151,13 @@ def sitemap(spark, sf):
 
 
 def dates(spark, sf):
-    """Event times written in four formats, parsed back."""
+    """Event times written in the four formats, in another, and not at all; parsed back."""
     e = table(spark, sf, "events").select("event_id", "ts")
-    k = F.pmod("event_id", F.lit(5))
-    shown = F.when(k == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 3, F.date_format("ts", "yyyy-MM-dd")).otherwise("no date")
+    k = F.pmod("event_id", F.lit(6))
+    formats = ("yyyyMMdd'T'HHmmss'Z'", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+    shown = F.lit("no date")
+    for i, f in enumerate(formats):
+        shown = F.when(k == i, F.date_format("ts", f)).otherwise(shown)
     return e.select("event_id", F.date_format(t.publication_date(shown), "yyyy-MM-dd").alias("day"))
 
 
@@ -214,23 +280,15 @@ QUERIES = {
         e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), g(doc, reach) AS (SELECT page_id, page_id FROM pages UNION SELECT g.doc, e.b FROM g JOIN e ON g.reach = e.a),
         k AS (SELECT doc, min(reach) AS cluster FROM g GROUP BY 1) SELECT doc, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM k""",
     ),
-    "canonical_urls": (
-        urls,
-        f"""WITH {CANON} SELECT page_id, canonical, substr(sha1(canonical), 1, 16) AS url_hash, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host,
-        replace(regexp_replace(regexp_extract(regexp_extract(url, '^([^?]*)', 1), '(?i)/([a-z0-9][a-z0-9-]{{5,}})(?:\\.html)?/?$', 1), '(?i)-\\d{{8}}-p[a-z0-9]+$', ''), '-', ' ') AS slug FROM u""",
-    ),
+    "canonical_urls": (urls, URLS_SQL),
+    "url_days": (url_days, "SELECT page_id, strftime(day, '%Y-%m-%d') AS day, coalesce(day BETWEEN DATE '2025-03-10' AND DATE '2025-09-09', false) AS inside FROM (SELECT page_id, make_date(2025, CAST(page_id % 14 + 1 AS INT), 10) AS day FROM pages WHERE page_id % 14 < 12 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 14 >= 12) AS d"),
     "outlet_match": (
         outlet_match,
-        """WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages),
-        m AS (SELECT page_id, brand, row_number() OVER (PARTITION BY page_id ORDER BY place) AS k FROM h JOIN (VALUES ('tionsh.example.net', 'Alpha', 1), ('tionble.example.com', 'Beta', 2), ('example.org', 'Gamma', 3), ('example.com', 'Delta', 4)) AS o(domain, brand, place)
-          ON host = domain OR ends_with(host, '.' || domain)) SELECT page_id, brand FROM m WHERE k = 1""".replace("\\\\", "\\"),
-    ),
-    "html_text": (
-        html_text,
-        "WITH b AS (SELECT page_id, html, regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g') AS x FROM pages), "
-        + ", ".join(f"b{i + 1} AS (SELECT page_id, html, regexp_replace(x, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g') AS x FROM b{i or ''})" for i, tag in enumerate(("script", "style", "nav", "header", "footer", "aside", "noscript")))
-        + ", f AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS x FROM b7) SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(x)::BIGINT AS chars, sha256(x) AS text_sha256 FROM f",
+        f"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages), o(domain, brand, place) AS (VALUES {", ".join(f"('{d}', '{b}', {k})" for k, (d, b) in enumerate(OUTLETS))}),
+        m AS (SELECT page_id, brand, row_number() OVER (PARTITION BY page_id ORDER BY place) AS k FROM h LEFT JOIN o ON host = domain OR ends_with(host, '.' || domain))
+        SELECT page_id, coalesce(brand, 'unlisted') AS brand FROM m WHERE k = 1""",
     ),
+    "html_text": (html_text, HTML_SQL),
     "sitemap_explode": (sitemap, "SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host, url AS loc, '2025-09-01' AS day FROM pages WHERE url IS NOT NULL"),
-    "multi_format_dates": (dates, "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events"),
+    "multi_format_dates": (dates, "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events"),
 }

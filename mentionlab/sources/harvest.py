@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionlab.functions import text as t
+from mentionlab.session import fresh
 
 #: Rows of a search answer from which it counts as cut off.
 CAP = 250
@@ -61,3 +62,20 @@ def open_windows(windows: DataFrame, ledger: DataFrame, key: str = "k") -> DataF
 def search_strings(terms: tuple[str, ...], size: int) -> list[str]:
     """Disjunctions of at most `size` quoted terms."""
     return ["(" + " OR ".join(f'"{x}"' if " " in x else x for x in terms[i : i + size]) + ")" for i in range(0, len(terms), size)]
+
+
+def match_outlets(rows: DataFrame, host: str, outlets: DataFrame, default: str | None = None) -> DataFrame:
+    """rows with the brand of their host: outlets(domain, brand, place) match exactly or as a parent domain, the first by
+    place wins; hosts of no outlet have the default, or go where that is None.
+
+    Hosts are looked up once each, by their suffixes: an equi-join, whatever the number of domains.
+    """
+    n = F.size(F.split("host", r"\."))
+    suffix = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, n), "."))
+    hosts = rows.select(F.col(host).alias("host")).where("host is not null").distinct()
+    found = hosts.select("host", F.explode(suffix).alias("domain")).join(outlets.select("domain", "brand", "place"), "domain")
+    best = found.groupBy("host").agg(F.min(F.struct("place", "brand"))["brand"].alias("brand"))
+    own, brand = fresh(rows, "host", "brand")
+    best = best.select(F.col("host").alias(own), F.col("brand").alias(brand))
+    joined = rows.join(best, F.col(host) == F.col(own), "inner" if default is None else "left")
+    return joined.withColumn("brand", F.coalesce(F.col(brand), F.lit(default))).drop(own, brand)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mentionlab.functions import text as t
-from mentionlab.operators import agreement, corrections, lexicon
+from mentionlab.operators import agreement, corrections, lexicon, pages
 from mentionlab.operators import similarity as sim
 from mentionlab.operators.components import connected_components
 from mentionlab.sources import harvest
@@ -31,6 +31,7 @@ CARS = lexicon.Lexicon(
         "shark": (r"\bshark\s+(attack|bite)\b",),
     },
 )
+#: Headlines with what they name, as expected.
 GOLDEN = [
     ("Teslas recalled after Sydney crash", "Tesla", True), ("Merc driver charged after Perth crash", "Mercedes-Benz", True), ("Range Rover ploughs into cafe", "Land Rover", True),
     ("Model-Y bursts into flames in Chatswood carpark", "Tesla", True), ("HiLux ploughs into shopfront", "Toyota", True), ("Tesla’s driver dies", "Tesla", True), ("New models arrive", "Tesla", True),
@@ -75,7 +76,15 @@ def one(spark, column, value=None):
 
 
 def test_urls(spark):
-    assert one(spark, t.canonical_url, "HTTPS://WWW.News.example/A/b/?utm_source=x&id=7&blank=&FBCLID=9#top") == "https://www.news.example/A/b/?id=7"
+    assert one(spark, t.canonical_url, "HTTPS://WWW.News.example/A/b/?utm_source=x&id=7&blank=&FBCLID=9#top") == "https://www.news.example/A/b?id=7"
+    for url, want in (
+        ("https://A.example/A/b//?id=7", "https://a.example/A/b?id=7"),
+        ("http://a.example/x?q=a%20b+c&r=%C3%A9*~", "http://a.example/x?q=a+b+c&r=%C3%A9%2A~"),
+        ("http://a.example/x?=v&n&y=1=2&z=", "http://a.example/x?=v&y=1%3D2"),
+        ("http://a.example/x?p=100%&q=%zz", "http://a.example/x?p=100%25&q=%25zz"),
+        ("http://a.example?UTM_x=1#f", "http://a.example"),
+    ):
+        assert one(spark, t.canonical_url, url) == want
     assert one(spark, t.canonical_url, "http://a.example/x/?utm_medium=y") == "http://a.example/x"
     assert one(spark, lambda u: t.slug_title(u, "trailing"), "https://a.example/some-headline-slug-20240101-p5eugr.html") == "some headline slug"
     assert one(spark, lambda u: t.slug_title(u, "numbered"), "https://a.example/grand-slam-c-13078812") == "grand slam"
@@ -86,8 +95,9 @@ def test_urls(spark):
 
 
 def test_dates(spark):
-    for x in ("20260102T030405Z", "2026-01-02T03:04:05Z", "2026-01-02 03:04:05", "2026-01-02"):
+    for x in ("20260102T030405Z", "20260102030405", "2026-01-02T03:04:05Z", "2026-01-02"):
         assert str(one(spark, t.publication_date, x)) == "2026-01-02"
+    assert one(spark, t.publication_date, "2026-01-02 03:04:05") is None
     assert one(spark, t.publication_date, "soon") is None and one(spark, t.lastmod_date, "2026") is None
 
 
@@ -105,8 +115,57 @@ def test_headlines_are_stripped(spark):
 
 
 def test_html(spark):
-    html = "<html><head><title>A b</title><style>x{}</style></head><body><nav>menu</nav><p>One <b>two</b></p><script>z()</script><!-- no --></body></html>"
-    assert one(spark, t.page_title, html) == "A b" and one(spark, t.page_text, html) == "A b One two"
+    page = "<html><head><title>A &amp;amp; b</title><style>x{}</style></head><body><header><nav>menu<p>x</nav> more</header><p>One <b>two</b>\n three &eacute;</p><script>z('</p>')</script><!-- no -->four</body>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>" + "word " * 60)], "id int, html string")
+    got = {r.id: (r.title, r.body) for r in pages.extracted(df).collect()}
+    assert got[1] == ("A & b", "One\ntwo\nthree é\nfour") and got[2] == got[3] == ("", "") and len(got[4][1]) == 299
+    kept = pages.extracted(df.withColumn("html", F.concat(F.lit("<title>t</title>"), "html"))).where(pages.substantial(F.col("title"), F.col("body")))
+    assert [r.id for r in kept.collect()] == [4]
+
+
+def test_narrative(spark):
+    for x, want in (("Car ploughs into shop", True), ("LOST CONTROL of ute", True), ("ute rolled", True), ("trolled online", False), ("drove into the pub", True), (None, False), ("mounts kerb", True)):
+        assert one(spark, t.narrative, x) == want
+
+
+def test_corrections_take_any_columns(spark):
+    """Columns that have the names of helpers or of the other side."""
+    rows = spark.createDataFrame([(1, 1, 0, None, "r"), (2, 2, 1, "x", "s"), (3, 3, 1, "y", "t")], "article_id long, incident_id long, eligible int, entity string, reason string")
+    rows = rows.selectExpr("*", "9 AS source", "8 AS article", "7 AS _id", "6 AS _d", "5 AS _key", "4 AS _n", "3 AS _day", "2 AS target")
+    m = spark.createDataFrame([(1, 2), (3, 3), (2, 77)], "source long, target long")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "incident_id long")
+    assert [r.incident_id for r in corrections.merge(rows, m, ids).orderBy("article_id").collect()] == [2, 2, 3]
+    assert [r.incident_id for r in corrections.split(rows, spark.createDataFrame([(2, 50)], "article long, target long")).orderBy("article_id").collect()] == [1, 50, 3]
+    d = spark.createDataFrame([(1, "accept", "z", None)], "incident_id long, verdict string, entity string, why string")
+    assert corrections.adjudicate(rows, d).where("incident_id = 1").first().entity == "z"
+    assert corrections.exclude(rows, rows.where("article_id = 2").select("article_id")).agg(F.sum("excluded")).first()[0] == 1
+    assert corrections.insert_ignore(rows, None, "incident_id", ["article_id"]).columns == rows.columns
+    assert corrections.latest(rows, ["incident_id"], ["article_id"]).count() == 3
+
+
+def test_merges_and_splits_of_incidents(spark):
+    inc = spark.createDataFrame([(1, "d", 1, "a", None, 0, "x", None), (2, "d", 1, "b", None, 0, "x", None), (3, "d", 1, "c", None, 1, "x", None)], "incident_id long, day string, eligible int, entity string, second string, multi int, coded_by string, reason string")
+    merged = {r.incident_id: r for r in corrections.merged_incidents(inc, spark.createDataFrame([(1, 2, "q"), (3, 3, None), (9, 2, None), (3, 99, None)], "source long, target long, second string")).collect()}
+    assert (merged[1].eligible, merged[1].coded_by, merged[1].reason) == (0, corrections.BY_HAND, "merged into 2")
+    assert (merged[2].eligible, merged[2].second, merged[3].eligible, merged[3].reason) == (1, "q", 1, None)
+    s = spark.createDataFrame([(3, 30, "e", "n", "m", True), (3, 2, "e", "n", None, True), (8, 31, "e", None, None, False)], "source long, target long, day string, entity string, second string, eligible boolean")
+    got = {r.incident_id: r for r in corrections.split_incidents(inc, s).collect()}
+    assert set(got) == {1, 2, 3, 30}
+    assert (got[30].eligible, got[30].entity, got[30].multi, got[30].coded_by) == (1, "n", 1, corrections.BY_HAND)
+    assert (got[3].eligible, got[3].entity, got[3].multi, got[3].coded_by) == (0, None, 0, corrections.RECODE) and got[1].coded_by == "x"
+
+
+def test_rare_links_connect_what_rare_pairs_connect(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, rng.randrange(12), [f"t{rng.randrange(40)}" for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc long, band int, w array<string>")
+    counts = sim.token_counts(df.withColumnRenamed("doc", "d"), "d", F.col("w"))
+    band = df.select("doc", "band")
+    for days in (3, None):
+        both = [{r.node: r.component for r in connected_components(f(counts, band, 5000, days=days).select("a", "b")).collect()} for f in (sim.rare_pairs, sim.rare_links)]
+        assert both[0] == both[1] and both[0]
 
 
 def test_components(spark):
