@@ -56,7 +56,11 @@ def strata(incidents: DataFrame) -> list[tuple[int, int, int, int]]:
 def permutation_by_strata(incidents: DataFrame, times: int = 20_000, seed: int = SEED, exact_up_to: int = 200_000) -> dict:
     """The same test from (k, n) strata: drawing which incidents are exposed is drawing how many of each stratum are, a
     multivariate hypergeometric vector. All vectors are enumerated with their weights where there are few enough."""
-    s = strata(incidents)
+    return permutation_of(strata(incidents), times, seed, exact_up_to)
+
+
+def permutation_of(s: list[tuple[int, int, int, int]], times: int = 20_000, seed: int = SEED, exact_up_to: int = 200_000) -> dict:
+    """permutation_by_strata on strata that are known."""
     k, n, size, hot = (np.array(x, np.int64) for x in zip(*s)) if s else (np.zeros(0, np.int64),) * 4
     m = int(hot.sum())
     if not m or m == size.sum():

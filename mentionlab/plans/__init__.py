@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from mentionlab.plans import ops, study, text
+from mentionlab.plans import ops, study, text, view
 
-_ALL = (study, text, ops)
+_ALL = (study, text, ops, view)
 
 #: Digits of computed doubles in registered queries: two engines add floating-point numbers in different orders.
 DIGITS = 9
@@ -13,7 +13,7 @@ ROUNDED = {
     "two_arm_primary": _ARMS, "threshold_sweep": _ARMS, "incident_rollup": ("prop",), "by_make": ("rate",), "incident_level_summary": ("median", "mean", "share_half"), "outlet_rates": ("rate",), "leave_one_outlet_out": ("rate1", "rate0"),
     "register_rates": ("rate",), "narrative_cube": ("rate",), "odds_contrasts": ("log_or", "se", "chi", "p", "p_holm"), "permutation_p": ("p", "observed"), "cluster_bootstrap": ("low", "high"), "matched_discordance": ("odds_ratio", "low", "high"),
     "mann_whitney": ("z", "p"), "table_one": ("n_mean", "n_sd", "outlets_mean", "outlets_sd", "prop_mean", "prop_sd"), "power_grid": ("n_plain", "n_clustered"), "coder_kappa": ("exact", "kappa"), "agreement_by_variable": ("exact", "kappa"),
-    "recall_by_entity": ("recall", "differential"), "harvest_stream": ("total",),
+    "recall_by_entity": ("recall", "differential"), "two_arm_view": _ARMS, "harvest_stream": ("total",),
 }
 #: Sums of many large values keep fewer digits.
 FEWER = {"harvest_stream": 4, "power_grid": 6}

@@ -247,7 +247,8 @@ QUERIES = {
         recall,
         """WITH j AS (SELECT lang AS entity, coalesce(quality = 1, false)::INT AS hit, (lang = 'de')::INT AS exposed FROM documents LEFT JOIN labels USING (doc_id) WHERE lang <> ''),
         p AS (SELECT entity, count(*) AS n, sum(hit)::BIGINT AS hits, max(exposed) AS exposed FROM j GROUP BY 1)
-        SELECT entity, n, hits, hits / n AS recall, sum(hits) FILTER (exposed = 1) OVER () / sum(n) FILTER (exposed = 1) OVER () - sum(hits) FILTER (exposed = 0) OVER () / sum(n) FILTER (exposed = 0) OVER () AS differential FROM p""",
+        SELECT entity, n, hits, hits / n AS recall, d AS differential, coalesce(abs(d) <= 0.1, false) AS within
+        FROM (SELECT *, sum(hits) FILTER (exposed = 1) OVER () / sum(n) FILTER (exposed = 1) OVER () - sum(hits) FILTER (exposed = 0) OVER () / sum(n) FILTER (exposed = 0) OVER () AS d FROM p) AS q""",
     ),
     "gold_sample": (gold_sample, "WITH k AS (SELECT *, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) FILTER (toxic = 1) OVER () AS hot FROM labels) SELECT doc_id, toxic FROM k WHERE toxic = 1 OR k <= 28 - hot"),
     "review_flags": (

@@ -54,6 +54,12 @@ def fixed_windows(span: DataFrame, start: Column, end: Column, days: int) -> Dat
     return w.select("k", F.expr(f"date_add(a, k * {days})").alias("start"), F.expr(f"least(date_add(a, k * {days} + {days - 1}), b)").alias("end"))
 
 
+def month_range(span: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(month yyyy-MM, first, last) of each month from start's to end's."""
+    first = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("first")
+    return span.select(first).select(F.date_format("first", "yyyy-MM").alias("month"), "first", F.last_day("first").alias("last"))
+
+
 def open_windows(windows: DataFrame, ledger: DataFrame, key: str = "k") -> DataFrame:
     """Windows that the ledger(key, status) has not as done; failed ones are open again."""
     return windows.join(ledger.where(F.col("status").isin("ok", "absent")).select(key), key, "left_anti")
