@@ -155,7 +155,7 @@ def strip_headlines(body: Column, *headlines: Column) -> Column:
         out = F.when(F.size(words) > 0, F.regexp_replace(out, F.concat(F.lit("(?iu)"), loose), F.lit(" "))).otherwise(out)
     first = F.regexp_extract(out, r"^([^\n]*)", 1)
     shout = (F.upper(first) == first) & first.rlike("[A-Z]") & (F.size(F.split(F.trim(first), r"\s+")) <= 20)
-    return F.trim(F.when(shout, F.regexp_replace(out, r"^[^\n]*\n?", "")).otherwise(out))
+    return F.regexp_replace(F.when(shout, F.regexp_replace(out, r"^[^\n]*\n?", "")).otherwise(out), r"^\s+|\s+$", "")
 
 
 def first_mention(mentions, headline: Column, standfirst: Column, body: Column) -> Column:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlab.operators.population import without
+
 #: Titles of one call of an external classifier.
 BATCH = 80
 
@@ -75,3 +77,28 @@ def gold_sample(units: DataFrame, key: str, exposed: Column, size: int = 28, see
 def shuffled(units: DataFrame, key: str, seed: int = 20260825) -> DataFrame:
     """Units in an order that says nothing of their kind."""
     return units.orderBy(F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col(key).cast("string"))), key)
+
+
+def sweep(linkages: Callable[[float], DataFrame], thresholds: tuple[float, ...]) -> DataFrame:
+    """linkages(theta) gives (cluster, size): for each threshold its clusters, those of several members, and the largest."""
+    out = None
+    for theta in thresholds:
+        c = linkages(theta).select("cluster", "size").distinct()
+        one = c.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("size") > 1).alias("linked"), F.max("size").alias("largest")).select(F.lit(theta).alias("theta"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def drawn(units: DataFrame, key: str, size: int = 60, seed: int = 7) -> DataFrame:
+    """A sample of `size` units for a look by hand, the first in the order of seeded digests."""
+    return units.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(size)
+
+
+def validated(answers: DataFrame, required: list[str], allowed: dict[str, list] | None = None) -> DataFrame:
+    """A model's answers after its schema: without forbidden fields, values outside a field's list as null, and `missing`,
+    the required fields that have none."""
+    out = without(answers)
+    for c, values in (allowed or {}).items():
+        out = out.withColumn(c, F.when(F.col(c).isin(values), F.col(c)))
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    return out.withColumn("missing", missing)

@@ -116,3 +116,18 @@ def canonical(text: Column, lexicon: Lexicon) -> Column:
 def leaks(vocabularies: tuple[str, ...], lexicon: Lexicon) -> list[tuple[str, str]]:
     """(term, token) for each lexicon token that occurs as a word in a vocabulary term."""
     return [(t, token) for t in vocabularies for _, token in lexicon.tokens() if re.search(lexicon.pattern(token), normalise(t))]
+
+
+def assert_neutral(vocabularies: tuple[str, ...], lexicon: Lexicon) -> None:
+    """Raises ValueError where a search vocabulary names an entity of the lexicon: the search would pick its own outcome."""
+    if found := leaks(vocabularies, lexicon):
+        raise ValueError(f"vocabulary names entities: {found}")
+
+
+def with_group(df: DataFrame, entity: str, lexicon: Lexicon, default: str, name: str = "entity_group") -> DataFrame:
+    """df with the group of its entity; entities that the lexicon has not, and null, have the default."""
+    groups = [(e.name, e.group) for e in lexicon.entities if e.group]
+    out = F.lit(default)
+    for n, g in groups:
+        out = F.when(F.col(entity) == n, g).otherwise(out)
+    return df.withColumn(name, out)
