@@ -13,27 +13,31 @@ from mentionlab.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; cutoffs from the labelled ones among them."""
+    """Documents that the quality rules keep; cutoffs from the labelled ones among them. Null and empty texts are short and
+    go; rows that repeat an id are judged each; a null language is a stratum; an empty table gives an empty one."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id."""
+    """One document of each group of near-duplicates, that with the least doc_id, a null id last. Rows are told apart by
+    numbers of their own: those that repeat an id, or have none, stay unless their texts are near-duplicates."""
     return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items. A text without words is not; repeated rows are judged each."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix of their source takes them, rows that repeat an id or have none each for itself; a null
+    source is one of its own, last. Each source's words are what op10's mix takes of it."""
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files; returns doc_id, start, n_tokens, ids_crc32 as read back from them."""
+    """Writes the token files; returns doc_id, start, n_tokens, ids_crc32 as read back from them, a row for each document,
+    in ascending doc_id, null first, equal ids in order of text."""
     return tokens.read_tokens(tokens.write_tokens(docs))
 
 
