@@ -14,11 +14,19 @@ from mentionlab.session import forget, fresh, shared_dir, table, written  # noqa
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """docs, written, with a number of each row's own, and that column's name: rows that repeat an id or have none can
-    be told apart afterwards."""
+def identified(docs: DataFrame, doc_id: str, name: str) -> tuple[DataFrame, str]:
+    """docs with a column that tells each row from all others, and that column's name: the id where every row has one of
+    its own, else a number, for which docs are written. So rows that repeat an id or have none can be told apart."""
     (row,) = fresh(docs, "row")
-    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+    told = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(doc_id).alias("ids")).first()
+    if told.n == told.ids:
+        return docs.withColumn(row, F.col(doc_id)), row
+    return numbered(docs, name, row), row
+
+
+def numbered(docs: DataFrame, name: str, row: str | None = None) -> DataFrame:
+    """docs, written, with a number of each row's own."""
+    return written(docs.withColumn(row or fresh(docs, "row")[0], F.monotonically_increasing_id()), name)
 
 
 def text_of(col: str | Column) -> Column:

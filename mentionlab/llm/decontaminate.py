@@ -162,7 +162,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
         return docs.mapInArrow(run, schema)
 
-    docs, row = numbered(docs, "decontaminate")
+    (row,) = fresh(docs, "row")
+    docs = numbered(docs, "decontaminate", row)
     only = docs.select(row, F.col(text).alias("text"))
     parts = [_part(only, row, first, window, True), _part(only, row, second, window, False), *(_part(only, row, chunk, window, False) for chunk in chunks)]
     whole = parts[0]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, n_words_of, numbered, table, text_of, written
+from mentionlab.llm.common import fresh, identified, n_words_of, table, text_of, written
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -90,10 +90,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows_per_range: int = 200_000, seed: int = 0, size: Column | None = None) -> DataFrame:
     """The rows of docs, each repeated as often as the mix takes it; columns as they were.
 
-    Rows are told apart by a number of their own, whatever their ids are: each source's words are the sum of what mix()
+    Rows are told apart whatever their ids are: each source's words are the sum of what mix()
     takes, also where ids repeat or are null. Rows without a word come as often as their whole source fits.
     """
-    docs, row = numbered(docs, "mix-docs")
+    docs, row = identified(docs, doc_id, "mix-docs")
     own, n = fresh(docs, "mix_row", "mix_copies")
     taken = _shares(docs, row, text, source, doc_id, weights, max_epochs, rows_per_range, seed, size)
     taken = taken.where("copies > 0").select(F.col("row").alias(own), F.col("copies").cast("int").alias(n))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, table, text_of, words_of, written
+from mentionlab.llm.common import fresh, identified, table, text_of, words_of, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -36,6 +36,8 @@ JOINT = "any"
 PATHS = (*RULES, JOINT)
 #: A table of strata up to this many rows is sent to every executor; beyond, it is joined.
 MAX_BROADCAST_STRATA = 10_000
+#: Rows that go, sent to the executors up to this many.
+MAX_BROADCAST_IDS = 500_000
 
 
 def with_counts(docs: DataFrame, text: str, out: dict[str, str]) -> DataFrame:
@@ -169,16 +171,19 @@ def rate(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str =
 def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that the rules keep, columns as they were; odd rows as in rate().
 
-    Counts are taken once and written beside the documents; the cutoffs read the counts alone, and documents are judged
-    where they lie.
+    Counts are taken once and written without the texts, by what tells rows apart; the cutoffs read them, and the rows that
+    go are taken out of docs: sent to the executors if counted to be few, else joined.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps")
-    own = dict(zip(names, fresh(docs, *names)))
-    counted = written(with_counts(docs, text, own), "quality-counted")
-    only = counted.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), *[F.col(own[n]).alias(n) for n in names])
-    labelled = only.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
-    (kept,) = fresh(counted, "kept")
-    return _judged(counted, thresholds(labelled, **how), lambda n: F.col(own[n]), F.col(stratum), kept).where(kept).select(*docs.columns)
+    docs, row = identified(docs, doc_id, "quality-docs")
+    only = docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
+    counts = written(with_counts(only, "text", {n: n for n in names}).drop("text"), "quality-counts")
+    labelled = counts.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select("stratum", "good", *[s.alias(r) for r, s in scores(F.col).items()])
+    (own,) = fresh(docs, "gone")
+    gone = _judged(counts, thresholds(labelled, **how), F.col, F.col("stratum"), "kept").where(~F.col("kept")).select(F.col("row").alias(own))
+    gone = written(gone, "quality-gone")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    return docs.join(gone, F.col(row) == F.col(own), "left_anti").drop(row)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlab.llm.common import fresh, numbered, released, table, written
+from mentionlab.llm.common import forget, fresh, identified, released, table, written
 from mentionlab.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -111,8 +111,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
 
 def shingled(docs: DataFrame, row: str, text: str = "text", doc_id: str = "doc_id", shingle: int = LOOSE_SHINGLE) -> DataFrame:
-    """(row, doc_id, exact, node, fp, fp1, ..., keys, shingles) for each row of docs: its number, the 64-bit fingerprint, a
-    digest of the text's set of shingles, its min-hashes, and the set itself, sorted. Null text is empty."""
+    """(row, doc_id, exact, node, fp, fp1, ..., keys) for each row of docs: what tells it apart, the 64-bit fingerprint, a
+    digest of the text's set of shingles, and its min-hashes. Null text is empty."""
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +124,34 @@ def shingled(docs: DataFrame, row: str, text: str = "text", doc_id: str = "doc_i
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
                 made = [min_hashes(x) for x in sets]
                 fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
-                lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs).view(np.int64)))
-                nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                columns = [b.column(0), b.column(1), pa.array(exact), pa.array(nodes), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE)), lists([m[1] for m in made]), lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "exact", "node", *names, "keys", "shingles"])
+                columns = [b.column(0), b.column(1), pa.array(exact), pa.array(_nodes(sets)), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE)), _lists([m[1] for m in made])]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "exact", "node", *names, "keys"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, exact long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>, shingles array<long>"
+    kinds = [docs.schema[c].dataType.simpleString() for c in (row, doc_id)]
+    schema = f"row {kinds[0]}, doc_id {kinds[1]}, exact long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>"
     return docs.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(released(run), schema)
 
 
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+
+
+def _lists(xs: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs).view(np.int64)))
+
+
+def shingle_sets(texts: DataFrame, shingle: int = LOOSE_SHINGLE) -> DataFrame:
+    """(node, shingles) of texts(t): sets of shingles, sorted, and their digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in batch.slice(at, 250).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets)), _lists(sets)], names=["node", "shingles"])
+
+    return texts.select("t").mapInArrow(released(run), "node long, shingles array<long>")
+
+
 def masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
     """Bits of each choice of blocks - max_bits parts, as signed 64-bit numbers."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -437,10 +455,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of those pairs whose sets of shingles have a Jaccard similarity of LEAST or more."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "simhash-ends")
-    sets = sets.select("node", "shingles").join(F.broadcast(ends) if ends.count() <= MAX_BROADCAST_IDS else ends, "node", "left_semi")
+    """(a, b) of those distinct pairs whose sets of shingles have a Jaccard similarity of LEAST or more."""
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     common, (p, q) = F.size(F.array_intersect("x", "y")), LEAST
     return written(both.where(common * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"), "simhash-alike")
@@ -515,22 +530,35 @@ def _rest(keyed: DataFrame, crowded: DataFrame, joined: DataFrame, sets: DataFra
 
 
 def _loose(docs: DataFrame, row: str, text: str, doc_id: str, tile: int, crowd: int, cell: int) -> DataFrame:
-    """(row, doc_id, root) of numbered rows: equal roots for groups of near-duplicates."""
+    """(row, doc_id, root) of rows that `row` tells apart: equal roots for groups of near-duplicates."""
     names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
-    all_ = written(shingled(docs, row, text, doc_id), "simhash-sets")
+    all_ = written(shingled(docs, row, text, doc_id), "simhash-rows")
     distinct = written(all_.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     told = distinct.agg(F.count_if(F.col("n") > 1), F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).first()
     several = distinct.where("n > 1").select("node", "first")
     spare = all_.select("node", "row").join(F.broadcast(several) if told[0] <= MAX_BROADCAST_IDS else several, "node").where("row <> first").select("row")
-    sets = all_.join(F.broadcast(spare) if told[1] <= MAX_BROADCAST_IDS else spare, "row", "left_anti")
-    keyed = sets.select("node", *names, F.posexplode("keys").alias("choice", "key"))
+    once = all_.join(F.broadcast(spare) if told[1] <= MAX_BROADCAST_IDS else spare, "row", "left_anti")
+    keyed = once.select("node", *names, F.posexplode("keys").alias("choice", "key"))
     found = written(_linked(keyed, names, Candidates(LOOSE_BITS, crowd), tile), "simhash-candidates")
-    edges = _alike(found.where("a is not null").select("a", "b"), sets)
+    pairs = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "simhash-pairs")
     crowded = written(found.where("a is null").select("choice", "key").distinct(), "simhash-crowded")
-    if many := crowded.count():
+    many = crowded.count()
+    few = F.broadcast(crowded) if many <= MAX_BROADCAST_IDS else crowded
+    keyed = keyed.select("choice", "key", "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    if many:
+        wanted = wanted.union(keyed.join(few, ["choice", "key"], "left_semi").select("node"))
+    wanted = written(wanted.distinct().join(distinct, "node").select(F.col("first").alias("row_")), "simhash-wanted")
+    # sets are made again for the texts that have a candidate: writing those of all texts would take more than the texts
+    some = docs.select(F.col(row).alias("row_"), F.col(text).cast("binary").alias("t"))
+    sets = some.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, "row_", "left_semi")
+    sets = written(shingle_sets(sets), "simhash-sets")
+    edges = _alike(pairs, sets)
+    if many:
         joined = written(connected_components(edges), "simhash-joined")
-        few = F.broadcast(crowded) if many <= MAX_BROADCAST_IDS else crowded
-        edges = edges.union(written(_rest(keyed.select("choice", "key", "node"), few, joined, sets, cell), "simhash-rest"))
+        edges = edges.union(written(_rest(keyed, few, joined, sets, cell), "simhash-rest"))
+    forget(sets, found)
     prints = written(all_.groupBy("exact", "node").agg(F.count(F.lit(1)).alias("n")), "simhash-prints")
     low = written(prints.groupBy("exact").agg(F.min("node").alias("low_node")), "simhash-low")
     ends = low.select(F.col("exact").alias("end"), "low_node")
@@ -549,7 +577,7 @@ def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ti
     component_id is the least id of the component; a null id is one only where all its rows have none. Null and wordless
     texts are copies of each other. Ids may be of any orderable type and may repeat; an empty table gives none.
     """
-    docs, row = numbered(docs.select(doc_id, text), "simhash-docs")
+    docs, row = identified(docs.select(doc_id, text), doc_id, "simhash-docs")
     rows = written(_loose(docs, row, text, doc_id, tile, crowd, cell), "simhash-roots")
     lows = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(lows, "root").select("doc_id", "component_id")
@@ -558,11 +586,11 @@ def loose_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ti
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loose: bool = True, **how) -> DataFrame:
     """One row of docs for each group of near-duplicates, columns as they were: that with the least doc_id, a null id last.
 
-    loose: near-duplicates as loose_groups has them, else as near_duplicates. Rows are told apart by numbers of their own:
+    loose: near-duplicates as loose_groups has them, else as near_duplicates. Rows are told apart whatever their ids are:
     rows that repeat an id or have none stay unless their texts are near-duplicates, and of rows that agree in id and text
     one stays. Ids may be of any orderable type. An empty table gives an empty one.
     """
-    docs, row = numbered(docs, "simhash-docs")
+    docs, row = identified(docs, doc_id, "simhash-docs")
     if loose:
         how = {"tile": TILE, "crowd": CROWD, "cell": CELL} | how
         found = _loose(docs, row, text, doc_id, **how)
