@@ -181,13 +181,13 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     sizes = np.array([lengths[i] for i in order], np.int64)
     n, longest = len(blocks), int(sizes[0])
     words = [np.frombuffer(blocks[i], "<u2") for i in order]
-    data = np.zeros((n, max(map(len, words)) + 4), _U)
+    data = np.zeros((n, max(map(len, words)) + 4), np.uint16)
     for k, w in enumerate(words):
         data[k, : len(w)] = w
     low, rng, code, pos = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U), np.full(n, 4, np.int64)
     for k in range(4):
         code = code << _U(16) | data[:, k]
-    ids = np.zeros((longest, n), np.int64)
+    ids = np.zeros((longest, n), _I)
     model = _Model(n)
     last, eight = data.shape[1] - 1, np.arange(1, 9)[None, :]
 
@@ -234,7 +234,7 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             take(m, (f0 << _EXTRA) + inside * size, size, unit)
         model.update(a, x, isA, isB, miss)
         ids[t, :a] = x
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    out: list[np.ndarray] = [np.zeros(0, _I)] * n
     for k, i in enumerate(order):
         out[i] = ids[: lengths[i], k].copy()
     return out

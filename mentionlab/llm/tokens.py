@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from mentionlab.llm.common import released, table, text_of, written
 END_ID = 0
 #: Ids from which a segment is closed (whole documents), and blocks that are coded side by side.
 SEGMENT_IDS, SIDE_BY_SIDE = 1 << 18, 1536
-#: Texts tokenised at once, in characters.
-TOKENISE_CHARS = 2_000_000
+#: Bytes of texts tokenised at once: a tokenizer's results take about twenty times the text.
+TOKENISE_BYTES = 250_000
 _MAGIC, _HEAD = b"MLTC", struct.Struct("<4sIIII")
 
 
@@ -55,7 +56,9 @@ class Segment:
         self.n += len(ids)
 
     def blocks(self) -> list[np.ndarray]:
+        """The blocks; the segment gives its documents' own arrays up."""
         whole = np.concatenate(self.ids)
+        self.ids = []
         return [whole[i : i + rangecoder.BLOCK] for i in range(0, len(whole), rangecoder.BLOCK)]
 
     def payload(self, blocks: list[np.ndarray], coded: list[bytes]) -> bytes:
@@ -100,7 +103,7 @@ def decode_segments(payloads: list[bytes]) -> Iterator[tuple[list[int | None], n
             own.append(next(blocks))
             if crc(own[-1]) != want:
                 raise ValueError("a block's checksum differs")
-        yield keys, lengths, np.concatenate(own) if own else np.zeros(0, np.int64)
+        yield keys, lengths, np.concatenate(own) if own else np.zeros(0, np.int32)
 
 
 def _sides(items, count):
@@ -139,11 +142,11 @@ def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
             for b in batches:
                 keys = b.column(0).to_pylist()
                 texts = b.column(1)
-                sizes = np.cumsum([len(x) if x else 0 for x in texts.to_pylist()]) // TOKENISE_CHARS
+                sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // TOKENISE_BYTES
                 for at in np.unique(sizes, return_index=True)[1].tolist():
                     to = int(np.searchsorted(sizes, sizes[at], "right"))
                     for k, e in zip(keys[at:to], tok.encode_batch_fast(texts.slice(at, to - at).to_pylist(), add_special_tokens=False)):
-                        yield k, np.array([*e.ids, end_id], np.int64)
+                        yield k, np.array([*e.ids, end_id], np.uint32)
 
         def segments() -> Iterator[Segment]:
             seg = Segment(0)
