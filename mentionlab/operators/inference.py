@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlab.functions import stats
+from mentionlab.operators import permutation
 
 SEED = 20260101
 #: Poisson(1) probabilities summed: weights of a bootstrap replicate by the digest's uniform number.
@@ -48,41 +49,10 @@ def permutation_by_hash(incidents: DataFrame, times: int, seed: int = SEED) -> D
     return diffs.agg(F.count(F.lit(1)).alias("permutations"), extreme.alias("as_extreme")).select("permutations", "as_extreme", ((1 + F.col("as_extreme")) / (1 + F.col("permutations"))).alias("p"), F.lit(seen).cast("double").alias("observed"))
 
 
-def strata(incidents: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(k, n, incidents, exposed incidents): all that the pooled statistic depends on; as many rows as kinds of incident."""
-    return [tuple(r) for r in incidents.groupBy("k", "n").agg(F.count(F.lit(1)), F.count_if(F.col("exposed") == 1)).orderBy("k", "n").collect()]
-
-
-def permutation_by_strata(incidents: DataFrame, times: int = 20_000, seed: int = SEED, exact_up_to: int = 200_000) -> dict:
-    """The same test from (k, n) strata: drawing which incidents are exposed is drawing how many of each stratum are, a
-    multivariate hypergeometric vector. All vectors are enumerated with their weights where there are few enough."""
-    return permutation_of(strata(incidents), times, seed, exact_up_to)
-
-
-def permutation_of(s: list[tuple[int, int, int, int]], times: int = 20_000, seed: int = SEED, exact_up_to: int = 200_000) -> dict:
-    """permutation_by_strata on strata that are known."""
-    k, n, size, hot = (np.array(x, np.int64) for x in zip(*s)) if s else (np.zeros(0, np.int64),) * 4
-    m = int(hot.sum())
-    if not m or m == size.sum():
-        return {"p": None, "exact": None, "observed": None}
-    stat = lambda x: x @ k / (x @ n) - ((size - x) @ k) / ((size - x) @ n)
-    seen = float(stat(hot))
-    ways = {(): 1}
-    for c in size.tolist():  # numbers of vectors, pruned by what is left to deal
-        ways = {v + (j,): 0 for v in ways for j in range(min(c, m - sum(v)) + 1)}
-        if len(ways) > exact_up_to:
-            ways = {}
-            break
-    vectors = [v for v in ways if sum(v) == m]
-    if vectors:
-        weight = [math.prod(math.comb(c, j) for c, j in zip(size.tolist(), v)) for v in vectors]
-        extreme = sum(w for v, w in zip(vectors, weight) if abs(stat(np.array(v))) >= abs(seen) - 1e-12)
-        return {"p": extreme / sum(weight), "exact": True, "observed": seen}
-    rng, extreme = np.random.default_rng(seed), 0
-    for some in _slices(times, len(size)):
-        x = rng.multivariate_hypergeometric(size, m, size=some)
-        extreme += int((np.abs(stat(x)) >= abs(seen) - 1e-12).sum())
-    return {"p": (1 + extreme) / (1 + times), "exact": False, "observed": seen}
+def permutation_by_strata(incidents: DataFrame, times: int = 20_000, seed: int = SEED, exact_up_to: int = permutation.EXACT_STATES) -> dict:
+    """The same test from (k, n) strata, in bounded memory for any number of incidents: see permutation.permutation_frames."""
+    r = permutation.permutation_frames(incidents.withColumn("frame", F.lit("all")), "frame", times, seed, exact_up_to).first()
+    return {"p": r.p, "exact": r.exact, "observed": r.observed} if r else {"p": None, "exact": None, "observed": None}
 
 
 def _slices(times: int, width: int):

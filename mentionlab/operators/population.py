@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlab.functions import text as t
+from mentionlab.operators import ranks
 from mentionlab.session import fresh
 
 #: What a unit's coder is called once a person has decided, and the mark of hand-coded units in their notes.
@@ -95,16 +96,12 @@ def one_per_group(articles: DataFrame, group: str = "syndication", order: tuple[
 
 
 def numbered_clusters(clusters: DataFrame, size: str = "size", least: str = "cluster") -> DataFrame:
-    """clusters with cluster_id C0001, C0002, ... by falling size, ties by their least member.
-
-    Sizes are counted first, so what is ranked in one task are distinct sizes; clusters of one size are numbered in theirs.
-    """
-    (own, at) = fresh(clusters, "size", "at")
-    sizes = clusters.groupBy(F.col(size).alias(own)).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(own, F.coalesce(F.sum("n").over(Window.orderBy(F.desc(own)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(at))
-    place = F.col(at) + F.row_number().over(Window.partitionBy(size).orderBy(least))
-    joined = clusters.join(before, F.col(size) == F.col(own)).withColumn("cluster_id", place)
-    return joined.withColumn("cluster_id", F.concat(F.lit("C"), F.lpad(F.col("cluster_id").cast("string"), F.greatest(F.lit(4), F.length(F.col("cluster_id").cast("string"))), "0"))).drop(own, at)
+    """clusters with cluster_id C0001, C0002, ... by falling size, ties by their least member; clusters of one size are spread
+    over all tasks like others."""
+    (place,) = fresh(clusters, "place")
+    out = ranks.numbered(clusters, place, F.desc(size), F.col(least))
+    text = F.col(place).cast("string")
+    return out.withColumn("cluster_id", F.concat(F.lit("C"), F.lpad(text, F.greatest(F.lit(4), F.length(text)), "0"))).drop(place)
 
 
 def candidate_clusters(clusters: DataFrame, members: DataFrame, brands: DataFrame, min_brands: int) -> DataFrame:

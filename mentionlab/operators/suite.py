@@ -1,9 +1,9 @@
 """The study's models over one frame: contrasts, controls, sensitivities, subgroups, mediators.
 
+The study's effects are adjusted and exchangeable: all frames of a family are fitted by the same jobs (frames.effects).
 Without covariates and with an independence working correlation the model of a cluster-constant exposure is closed: its
-log odds ratio is that of the pooled 2 x 2 table, and its robust variance the sum over clusters of squared residuals. So
-all frames of a family are fitted by one grouped aggregation, however many they are. Adjusted and exchangeable models run
-through models.gee, one after another.
+log odds ratio is that of the pooled 2 x 2 table, and its robust variance the sum over clusters of squared residuals;
+robust_odds and what rests on it give this plainer form, by one grouped aggregation.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlab.functions.stats import Z95
-from mentionlab.operators import inference, models
+from mentionlab.operators import frames, inference, models, permutation
+from mentionlab.session import written
 
 #: Least rows of a contrast's and of a subgroup's frame, and least exposed incidents of a subgroup.
 CONTRAST_ROWS, SUBGROUP_ROWS, SUBGROUP_EXPOSED = 30, 40, 5
@@ -90,6 +91,55 @@ def adjusted(rows: DataFrame, outcome: str, exposure: str, numeric: tuple[str, .
     return {"odds_ratio": odds, "low": low, "high": high, "p": p, "alpha": g["alpha"]}
 
 
+def _first_columns(rows: DataFrame, outcome: Column, exposed: Column, frame: str) -> DataFrame:
+    return rows.withColumns({"frame": F.lit(frame), "outcome": outcome.cast("int"), "exposed": exposed.cast("int")})
+
+
+def adjusted_contrasts(rows: DataFrame, pairs: dict[str, tuple[str, ...]], numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = (), group: str = "entity_group", matched: DataFrame | None = None) -> DataFrame:
+    """The family of secondary comparisons: the exposed arm against other groups, adjusted and exchangeable, and the matched
+    pairs within incidents (matched: the row of inference.discordance). frame, n, log_or, se, odds_ratio, low, high, p,
+    p_holm; a frame below the gate or without an estimate is no test of the family and has no numbers."""
+    data, names = design(framed(rows, {n: F.col(group).isin(*g) for n, g in pairs.items()}), numeric, categorical)
+    fits = frames.effects(data, "exposed", names, least_rows=CONTRAST_ROWS).select("frame", "n", "log_or", "se", "odds_ratio", "low", "high", "p")
+    if matched is not None:
+        own = matched.select(F.lit("within incidents").alias("frame"), sum((F.col(c) for c in "bcd"), F.col("a")).cast("long").alias("n"), F.log("odds_ratio").alias("log_or"), F.sqrt(1 / F.when(F.col("b") > 0, F.col("b")) + 1 / F.when(F.col("c") > 0, F.col("c"))).alias("se"), "odds_ratio", "low", "high", F.when(F.col("a") + F.col("b") + F.col("c") + F.col("d") > 0, F.col("p")).alias("p"))
+        fits = fits.unionByName(own)
+    found = {r.frame: r for r in fits.collect()}  # a row for each comparison
+    fits = rows.sparkSession.createDataFrame([tuple(r) for r in found.values()], fits.schema)
+    return fits.join(inference.holm(fits, "frame").select("frame", "p_holm"), "frame", "left")
+
+
+def adjusted_controls(rows: DataFrame, outcome: str, other: Column, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> DataFrame:
+    """Negative controls, adjusted and exchangeable: another outcome with the study's exposure, and another exposure among
+    the unexposed."""
+    a = _first_columns(rows, F.col(outcome), F.col("exposed"), "outcome control")
+    b = _first_columns(rows.where("exposed = 0"), F.col("outcome"), F.coalesce(other, F.lit(False)), "exposure control")
+    data, names = design(a.unionByName(b), numeric, categorical)
+    return frames.effects(data, "exposed", names)
+
+
+def adjusted_sensitivities(rows: DataFrame, conditions: dict[str, Column], numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = (), outcomes: dict[str, str] | None = None, wire: DataFrame | None = None) -> DataFrame:
+    """The adjusted model on parts of the rows (conditions), with other outcomes ({frame: column}), on `wire` (one article of
+    each wire group), with an independence working correlation and without covariates: a frame each, in one fit."""
+    both = {"independence": F.lit(True), "unadjusted": F.lit(True)}
+    named = framed(rows, conditions | {n: F.lit(True) for n in outcomes or {}} | both)
+    chosen = F.col("outcome")
+    for n, c in (outcomes or {}).items():
+        chosen = F.when(F.col("frame") == n, F.col(c)).otherwise(chosen)
+    named = named.withColumn("outcome", chosen)
+    if wire is not None:
+        named = named.unionByName(wire.withColumn("frame", F.lit("one per wire group")))
+    data, names = design(named, numeric, categorical)
+    uses = {f: names for f in [*conditions, *(outcomes or {}), *(["one per wire group"] if wire is not None else []), "independence"]} | {"unadjusted": []}
+    return frames.effects(data, "exposed", uses, independent={"independence"})
+
+
+def exchangeable_subgroups(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each level of each column behind the gates, unadjusted and exchangeable; levels without an estimate stay."""
+    levels = F.explode(F.array(*[F.concat(F.lit(f"{c} = "), F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in columns]))
+    return frames.effects(rows.withColumn("frame", levels), "exposed", [], least_rows=SUBGROUP_ROWS, least_exposed=SUBGROUP_EXPOSED)
+
+
 def model_suite(spark: SparkSession, rows: DataFrame, exposure: str, numeric: tuple[str, ...], categorical: tuple[str, ...], mediators: tuple[str, ...]) -> DataFrame:
     """The adjusted model, with mediators added, with independence, and without covariates: one row each."""
     plans = {
@@ -102,14 +152,16 @@ def model_suite(spark: SparkSession, rows: DataFrame, exposure: str, numeric: tu
     return spark.createDataFrame(found, "model string, odds_ratio double, low double, high double, p double, alpha double")
 
 
-def sweep_with_tests(spark: SparkSession, incidents: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
-    """incidents(k, n, outlets, exposed): at each outlet threshold the arms, their difference and the permutation p; one
-    roll-up serves all thresholds."""
-    out = []
-    for least in thresholds:
-        frame = incidents.where(F.col("outlets") >= least)
-        s = inference.strata(frame)
-        k1, n1, k0, n0 = (sum(f(k, n, c, x) for k, n, c, x in s) for f in (lambda k, n, c, x: k * x, lambda k, n, c, x: n * x, lambda k, n, c, x: k * (c - x), lambda k, n, c, x: n * (c - x)))
-        test = inference.permutation_of(s)
-        out.append((least, k1, n1, k0, n0, k1 / n1 - k0 / n0 if n1 and n0 else None, test["p"]))
-    return spark.createDataFrame(out, "min_outlets int, k1 long, n1 long, k0 long, n0 long, diff double, p double")
+def sweep_with_tests(spark: SparkSession, incidents: DataFrame, thresholds: tuple[int, ...], times: int = permutation.TIMES) -> DataFrame:
+    """incidents(k, n, outlets, exposed): at each outlet threshold the arms, their difference and the permutation p, and
+    whether it is exact. One roll-up serves all thresholds: it is counted by (threshold, k, n, exposed) once."""
+    passed = F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("outlets")))
+    kinds = incidents.groupBy("outlets", "k", "n", "exposed").agg(F.count(F.lit(1)).alias("c"))
+    kinds = written(kinds.select("*", passed.alias("min_outlets")).groupBy("min_outlets", "k", "n", "exposed").agg(F.sum("c").alias("c")), "sweep")
+    of = lambda c, x: F.coalesce(F.sum(F.when(F.col("exposed") == x, F.col(c) * F.col("c"))), F.lit(0)).alias(f"{c}{x}")
+    arms = kinds.groupBy("min_outlets").agg(*[of(c, x) for x in (1, 0) for c in "kn"])
+    every = spark.createDataFrame([(t,) for t in thresholds], "min_outlets int")
+    tests = permutation.permutation_frames(kinds, "min_outlets", times, count="c").select(F.col("frame").cast("int").alias("min_outlets"), "p", "exact")
+    out = every.join(arms, "min_outlets", "left").join(tests, "min_outlets", "left")
+    rate = lambda x: F.when(F.col(f"n{x}") > 0, F.col(f"k{x}") / F.col(f"n{x}"))
+    return out.select("min_outlets", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("k1", "n1", "k0", "n0")], (rate(1) - rate(0)).alias("diff"), "p", "exact")
