@@ -308,19 +308,21 @@ def _found(base: DataFrame, window: int, block: int, filter_bits: int) -> DataFr
     known = blocks.where("doc_id IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(_bitmap(known, filter_bits))
     probes = base.mapInArrow(_marked("probe", block, bitmap, filter_bits), _MARK)
-    firsts = known.groupBy("h").agg(F.min("doc_id").alias("first"))
-    fulls = known.where("c IS NOT NULL").groupBy("h", "c").agg(F.min("doc_id").alias("full_first"))
+    # sums are written before they are joined: an exchange that feeds a join alone can be split where a block is hot
+    firsts = written(known.groupBy("h").agg(F.min("doc_id").alias("first")), "repeat-firsts")
+    fulls = written(known.where("c IS NOT NULL").groupBy("h", "c").agg(F.min("doc_id").alias("full_first")), "repeat-fulls")
     hits = probes.join(firsts, "h").where(_smaller("first", "doc_id"))
     hits = hits.join(fulls, ["h", "c"], "left").select("row", "p", "h", F.coalesce(F.col("full_first").isNotNull() & _smaller("full_first", "doc_id"), F.lit(False)).alias("whole"))
     hits = written(hits, "repeat-hits")
     bitmap.destroy()
     edges = hits.where("NOT whole")
-    near = known.join(edges.select("h").distinct(), "h", "left_semi")
+    near = known.join(written(edges.select("h").distinct(), "repeat-live"), "h", "left_semi")
     places = edges.select("row", "p", F.lit(True).alias("probe")).unionByName(near.select("row", "p", F.lit(False).alias("probe")))
     places = written(places.groupBy("row").agg(F.collect_list(F.when(F.col("probe"), F.col("p"))).alias("probes"), F.collect_list(F.when(~F.col("probe"), F.col("p"))).alias("known")), "repeat-places")
     texts = _only(base, places.select("row"), "left_semi").join(places, "row").select("row", "doc_id", "probes", "known", "text")
     windows = written(texts.mapInArrow(_windows(window, block), _WINDOW), "repeat-windows")
     seen = windows.where("known AND doc_id IS NOT NULL").groupBy("w", "v").agg(F.min("doc_id").alias("first"))
+    seen = written(seen, "repeat-seen")
     found = windows.where("probe").join(seen, ["w", "v"]).where(_smaller("first", "doc_id")).select("row", (F.col("s").cast("long") * 256 + window).alias("span"))
     inner = hits.where("whole").select("row", ((F.col("p") - block).cast("long") * 256 + 3 * block).alias("span"))
     spans = found.unionByName(inner).groupBy("row").agg(F.collect_list("span").alias("found"))
@@ -336,6 +338,7 @@ def _judged(docs: DataFrame, text: str, doc_id: str, row: str, window: int, filt
     meta = written(plain.mapInArrow(released(_whole), "row long, doc_id long, n_words long, sha string"), "repeat-docs")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = meta.where(F.col("n_words") >= window).groupBy("sha").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(groups, "repeat-groups")
     meta = meta.join(groups, "sha", "left")
     gone = F.coalesce(F.col("least.doc_id").isNotNull() & _smaller("least.doc_id", "doc_id"), F.lit(False))
     meta = written(meta.select("row", "doc_id", "n_words", "sha", gone.alias("gone"), F.coalesce("least.row", "row").alias("twin")), "repeat-meta")
