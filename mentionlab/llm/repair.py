@@ -210,12 +210,12 @@ class Repair:
         last = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
         fault = F.when(last == "", "b").when(place > F.col("first"), "d").when(~last.isin(".", "!", "?"), "t").otherwise("o")
         judged = own.join(firsts, ["k", "role", "digest"]).select("k", "turn", "role", "text", "digest", "uid", F.concat(fault, F.left("role", F.lit(1))).alias("code"))
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = self.tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         order = ("k", F.col("turn").asc_nulls_first(), "role", "digest", "uid")
         laid = judged.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("k", "turn", "role", "text", "code")
         self.rows = written(laid.mapInArrow(_chunked(chunk), "k string, turn long, role string, text string, code string, chunk long, i int"), "repair-rows")
         chunks = self.rows.groupBy("k", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "code"))).alias("found"))
-        paths = chunks.repartition("k").sortWithinPartitions("k", "chunk").select("k", "chunk", "found")
+        paths = chunks.repartition(tasks, "k").sortWithinPartitions("k", "chunk").select("k", "chunk", "found")
         self.paths = written(paths.mapInArrow(_combined, _PATH), "repair-paths")
 
     @property
@@ -237,7 +237,7 @@ class Repair:
         counts = self.rows.groupBy("k").agg(gaps, fault("b", "blank"), fault("d", "duplicate"), fault("t", "truncated"))
         labels = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "label"))), lambda x: x["label"]), "").alias("audit")
         paths = self.paths.groupBy("k").agg(F.max("illegal").alias("illegal"), F.max("cost").alias("cost"), labels)
-        digests = self._repaired().repartition("k").sortWithinPartitions("k", "position").select("k", "role", "text").mapInArrow(_digested, "k string, sha string")
+        digests = self._repaired().repartition(self.tasks, "k").sortWithinPartitions("k", "position").select("k", "role", "text").mapInArrow(_digested, "k string, sha string")
         out = self.ids.join(counts, "k", "left").join(paths, "k", "left").join(digests, "k", "left")
         longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
         return out.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(_EMPTY)).alias("repaired_sha256"))
