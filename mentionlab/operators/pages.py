@@ -1,64 +1,90 @@
-"""Article text out of web pages, over Arrow batches: HTML has no expression in Spark."""
+"""Article text out of web pages, by Spark expressions alone.
+
+A page is cut down in steps, each a regular expression that never goes back: comments and raw elements (scripts, styles)
+first, then skipped elements from the innermost outwards, then titles; what is left between tags are the body's runs.
+"""
 
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from html.entities import name2codepoint
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlab.session import fresh
+
 #: Elements that go with all they hold, and the least length of a body.
 SKIPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript")
 LEAST_BODY = 200
 
-
-class _Reader(HTMLParser):
-    """Keeps a page's runs of text, as (inside the title, text)."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.runs: list[tuple[bool, str]] = []
-        self.depth, self.titled = 0, False
-
-    def _moved(self, tag: str, step: int) -> None:
-        if tag in SKIPPED:
-            self.depth = max(0, self.depth + step)
-        elif tag == "title":
-            self.titled = step > 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._moved(tag, 1)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._moved(tag, -1)
-
-    def handle_data(self, data: str) -> None:
-        if not self.depth and (run := data.strip()):
-            self.runs.append((self.titled, run))
-
-
-def read_page(page: str | None) -> tuple[str, str]:
-    """Title and body of a page: runs of text outside the skipped elements (nested ones too), the title's joined by spaces,
-    the body's by line ends, character references resolved. Null has neither."""
-    reader = _Reader()
-    reader.feed(page or "")
-    parts = {kind: sep.join(run for t, run in reader.runs if t == kind) for kind, sep in ((True, " "), (False, "\n"))}
-    return html.unescape(parts[True]).strip(), html.unescape(parts[False]).strip()
-
-
-def extracted(pages: DataFrame, column: str = "html", names: tuple[str, str] = ("title", "body")) -> DataFrame:
-    """pages with title and body of a column of HTML."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), *(f"`{n}` string" for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [read_page(x) for x in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[*b.schema.names, *names])
-
-    return pages.mapInArrow(run, schema)
+#: Stands where something was cut out: text before and after it are two runs.
+_CUT = "\x01"
+_REST = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+>"""  # of a tag, from its name on; quoted values may hold >
+_NAMES = "|".join(SKIPPED)
+_HIDDEN = rf"(?is)<!--.*?-->|<(script|style)\b{_REST}.*?(?:</\1\b[^>]*+>|\z)"
+_INNERMOST = rf"(?i)<(?:{_NAMES})\b{_REST}[^<]*+(?:<(?!/?(?:{_NAMES})\b)[^<]*+)*+</(?:{_NAMES})\b[^>]*+>"
+_OPENED = rf"(?i)<(?:{_NAMES})\b{_REST}"
+_UNCLOSED = rf"(?is)<(?:{_NAMES})\b{_REST}.*"
+_TITLE = rf"(?is)<title\b{_REST}(.*?)(?:</title\b[^>]*+>|\z)"
+_TAG = rf"(?s)</?[A-Za-z]{_REST}|<[!?/][^>]*+>"
+_REFERENCE = r"&(#?[A-Za-z0-9]+;?)"
+#: Names of references that HTML 4 knows, all with a semicolon.
+_HTML4 = [f"{n};" for n in name2codepoint]
+
+
+def _without_skipped(page: Column) -> Column:
+    """Skipped elements cut out. An end tag of any of them closes the innermost that is open, one without such is nothing,
+    and one that stays open holds the rest of the page; so elements without others inside go first, level by level."""
+    shown = F.regexp_replace(page, _HIDDEN, _CUT)
+    levels = F.sequence(F.lit(1), F.regexp_count(shown, F.lit(_OPENED)))
+    step = lambda x, _: F.when(x.rlike(_INNERMOST), F.regexp_replace(x, _INNERMOST, _CUT)).otherwise(x)
+    closed = F.when(shown.rlike(_OPENED), F.aggregate(levels, shown, step)).otherwise(shown)
+    return F.regexp_replace(closed, _UNCLOSED, _CUT)
+
+
+def _known(reference: Column) -> Column:
+    """References that the JVM resolves as HTML 5 does: names of HTML 4, and numbers of plain characters."""
+    digits = F.regexp_extract(reference, r"^#([0-9]{1,7});$", 1)
+    number = F.when(digits != "", digits.cast("long")).otherwise(F.conv(F.regexp_extract(reference, r"^#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10).cast("long"))
+    return reference.isin(_HTML4) | F.coalesce(number.between(32, 126) | number.between(160, 55_295), F.lit(False))
+
+
+def _html5(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def resolved(text: Column, html5: bool = False) -> Column:
+    """Character references resolved. Names of HTML 4 with a semicolon and numbers by the JVM; with html5, texts that hold
+    others (further names, no semicolon, numbers of control characters) by Python's rules, only these in Python."""
+    plain = F.when(text.contains("&"), F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), text)).otherwise(text)
+    if not html5:
+        return plain
+    others = F.exists(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)), lambda r: ~_known(r))
+    return F.when(others, F.pandas_udf(_html5, "string")(F.when(others, text))).otherwise(plain)
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s++|(?<!\s)\s++$", "")
+
+
+def _runs(shown: Column, between: str, html5: bool) -> Column:
+    """Runs of text between tags, references resolved, without outer white space and empty ones."""
+    parts = F.split(resolved(F.regexp_replace(shown, _TAG, _CUT), html5), _CUT)
+    return F.array_join(F.filter(F.transform(parts, _stripped), lambda r: r != ""), between)
+
+
+def extracted(pages: DataFrame, column: str = "html", names: tuple[str, str] = ("title", "body"), html5: bool = False) -> DataFrame:
+    """pages with title and body of a column of HTML: runs of text outside the skipped elements, a title's joined by spaces,
+    the body's by line ends, character references resolved (see resolved), those that appear by it once more. Null and empty
+    pages have empty ones. A < that begins no tag is text."""
+    (shown,) = fresh(pages, "shown")
+    page = F.regexp_replace(F.coalesce(column, F.lit("")), _CUT, " ")
+    rows = pages.withColumn(shown, _without_skipped(page))
+    title = _runs(F.array_join(F.regexp_extract_all(F.col(shown), F.lit(_TITLE), F.lit(1)), _CUT), " ", html5)
+    body = _runs(F.regexp_replace(F.col(shown), _TITLE, _CUT), "\n", html5)
+    return rows.withColumns({n: _stripped(resolved(x, html5)) for n, x in zip(names, (title, body), strict=True)}).drop(shown)
 
 
 def substantial(title: Column, body: Column, least: int = LEAST_BODY) -> Column:

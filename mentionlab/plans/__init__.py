@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from mentionlab.plans import landing, ops, study, text, view
+from mentionlab.plans import deeper, landing, ops, study, text, view
 
-_ALL = (study, text, ops, view, landing)
+_ALL = (study, text, ops, view, landing, deeper)
 
 #: Digits of computed doubles in registered queries: two engines add floating-point numbers in different orders.
 DIGITS = 9

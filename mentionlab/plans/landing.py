@@ -11,6 +11,7 @@ from mentionlab.operators import corrections as co
 from mentionlab.plans import view
 from mentionlab.session import shared_dir, table
 from mentionlab.sources import landed, sinks
+from mentionlab.sources.harvest import fixed_windows
 
 START, END = "2025-09-05", "2025-09-20"
 SITES = {
@@ -56,13 +57,13 @@ def _sitemaps(spark, sf):
 
 
 def _harvested(spark, sf):
-    files = landed.texts(spark, _zone(_sitemaps(spark, sf)))
+    zone = _zone(_sitemaps(spark, sf))
     outlets = spark.createDataFrame([(s.domain, k, i) for i, (k, s) in enumerate(SITES.items())], "domain string, brand string, place int")
     rows = ledger = None
     for kind, site in SITES.items():
         start, end = WINDOWS[kind]
-        index = files.where(F.col("key") == F.sha1(F.lit(site.template))).select("text") if kind == "index" else None
-        got = landed.landed(landed.plan(spark, site, start, end, index), files)
+        index = landed.texts(spark, zone, spark.range(1).select(F.sha1(F.lit(site.template)).alias("key"))).select("text") if kind == "index" else None
+        got = landed.landed_in(spark, zone, landed.plan(spark, site, start, end, index))
         r, done = landed.harvest_site(site, got, start, end, EVENT_TERMS, outlets)
         rows, ledger = (r, done) if rows is None else (rows.unionByName(r), ledger.unionByName(done))
     return rows, ledger
@@ -105,7 +106,7 @@ def news_harvest(spark, sf):
     each.agg(F.concat(F.lit(f"[{header},"), F.array_join(F.array_sort(F.collect_list("x")), ","), F.lit("]")).alias("value")).write.text(path)
     plan = landed.snapshot_plan(landed.snapshots(spark, path, "20250902", "20250908"), "news", "https://archive.example/")
     outlets = spark.createDataFrame([("n.example", "N", 0)], "domain string, brand string, place int")
-    return landed.harvest_news(landed.landed(plan, landed.texts(spark, _zone(files))), EVENT_TERMS, outlets).drop("canonical_url")
+    return landed.harvest_news(landed.landed_in(spark, _zone(files), plan), EVENT_TERMS, outlets).drop("canonical_url")
 
 
 NEWS_SQL = f"""WITH s AS (SELECT page_id, {SLUG.replace('VARCHAR(19)', 'VARCHAR')} AS slug FROM pages)
@@ -125,19 +126,36 @@ def search_answers(spark, sf):
     return read(spark, path).select(F.regexp_extract("file", "m=([^/]+)/", 1).alias("m"), F.col("n_returned").cast("long").alias("n_returned"), "capped", "ok")
 
 
+#: Days of the windows that events are searched by, and the levels of halves that the ledger may have.
+SPAN, LEVELS = 12, 2
+
+
 def search_windows(spark, sf):
-    """The two passes of a search harvest; the ledger has some windows, of which the larger ones were cut off."""
-    plan = landed.search_plan(spark, ["q one"], ["w one", "w two"], "2025-01-01", "2025-03-05")
-    n = F.datediff("end", "start")
-    done = plan.where(F.dayofmonth("start") % 2 == 1).select("query_hash", "start", "end", F.when(n > 3, 250).otherwise(249).alias("n_returned"), (F.col("query") != "w two").alias("ok"))
-    return landed.open_searches(plan, done).select("query", "pass", F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"))
-
-
-SEARCH_SQL = """WITH w AS (SELECT 'q one' AS query, 'daily' AS pass, (DATE '2025-01-01' + k::INT)::DATE AS a, (DATE '2025-01-01' + k::INT)::DATE AS b FROM range(0, 64) AS r(k)
-  UNION ALL SELECT q, 'wide', (DATE '2025-01-01' + (30 * k)::INT)::DATE, least((DATE '2025-01-01' + (30 * k + 29)::INT)::DATE, DATE '2025-03-05') FROM range(0, 3) AS r(k), (VALUES ('w one'), ('w two')) AS v(q)),
-d AS (SELECT *, day(a) % 2 = 1 AND query <> 'w two' AS done, b - a > 3 AS capped FROM w),
-h AS (SELECT query, pass, a, b FROM d WHERE NOT done UNION ALL SELECT query, pass, a, (a + ((b - a) // 2)::INT)::DATE FROM d WHERE done AND capped UNION ALL SELECT query, pass, (a + ((b - a) // 2)::INT + 1)::DATE, b FROM d WHERE done AND capped)
-SELECT query, pass, strftime(a, '%Y-%m-%d') AS start, strftime(b, '%Y-%m-%d') AS "end" FROM h"""
+    """A search harvest of events, a query for each type. The ledger has the windows of a plan and of its halves that begin
+    on two days of three; what they returned is counted in the table, times 15, up to the cap."""
+    e = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"))
+    days = e.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("c"))
+    span = e.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    windows = fixed_windows(span, F.col("a"), F.col("b"), SPAN).where("start <= end").select("start", "end")
+    plan = windows.join(F.broadcast(e.select("event_type").distinct().orderBy("event_type").limit(100)), how="cross")
+    plan = plan.select(F.col("event_type").alias("query"), F.substring(F.sha1("event_type"), 1, landed.QUERY_CHARS).alias("query_hash"), F.lit("daily").alias("pass"), "start", "end")
+    half = F.expr("date_add(start, cast(floor(datediff(end, start) / 2) as int))")
+    level, every = plan, plan
+    for _ in range(LEVELS):
+        parts = F.explode(F.array(F.struct(F.col("start").alias("a"), half.alias("b")), F.struct(F.date_add(half, 1).alias("a"), F.col("end").alias("b"))))
+        level = level.where("start < end").select("query", "query_hash", "pass", parts.alias("x")).select("query", "query_hash", "pass", F.col("x.a").alias("start"), F.col("x.b").alias("end"))
+        every = every.unionByName(level)
+    of_day = every.where(F.dayofmonth("start") % 3 > 0).withColumn("day", F.explode(F.sequence("start", "end")))
+    counted = of_day.join(days, (F.col("query") == F.col("event_type")) & (of_day.day == days.day), "left").groupBy("query_hash", "start", "end").agg(F.least(F.lit(250), 15 * F.coalesce(F.sum("c"), F.lit(0))).alias("n_returned"))
+    found = landed.open_searches(plan, counted.withColumn("ok", F.lit(True)))
+    return found.select("query", "pass", F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"))
+
+
+SEARCH_SQL = f"""WITH RECURSIVE e AS (SELECT event_type, ts::DATE AS day FROM events), s AS (SELECT min(day) AS lo, max(day) AS hi FROM e),
+p AS (SELECT event_type AS query, (lo + ({SPAN} * k)::INT)::DATE AS a, least((lo + ({SPAN} * k + {SPAN - 1})::INT)::DATE, hi) AS b FROM s, range(0, 4000) AS r(k), (SELECT DISTINCT event_type FROM e) WHERE lo + ({SPAN} * k)::INT <= hi),
+t AS (SELECT query, a, b, 0 AS level FROM p UNION ALL SELECT query, CASE x WHEN 0 THEN a ELSE (a + ((b - a) // 2)::INT + 1)::DATE END, CASE x WHEN 0 THEN (a + ((b - a) // 2)::INT)::DATE ELSE b END, level + 1
+  FROM (SELECT t.*, least(250, 15 * (SELECT count(*) FROM e WHERE event_type = query AND day BETWEEN a AND b)) AS n FROM t WHERE day(a) % 3 > 0 AND level <= {LEVELS}) AS q, (VALUES (0), (1)) AS v(x) WHERE n >= 250 AND a < b)
+SELECT query, 'daily' AS pass, strftime(a, '%Y-%m-%d') AS start, strftime(b, '%Y-%m-%d') AS "end" FROM t WHERE NOT (day(a) % 3 > 0 AND level <= {LEVELS})"""
 
 
 def csv_study_frame(spark, sf):

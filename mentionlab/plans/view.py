@@ -182,6 +182,52 @@ def subgroup_odds(spark, sf):
     return _robust(suite.subgroups(frame(spark, sf), ("register", "tier", "age_band", "year")))
 
 
+CATEGORIES, FLAGS = ("age_band", "register", "remoteness"), ("child", "multi")
+NUMERIC, CATEGORICAL = ("child", "multi", "year_c"), ("deaths_cat", "age_band", "remoteness", "register")
+
+
+def _prepared(spark, sf):
+    return cv.prepare(frame(spark, sf), GROUPS, CATEGORIES, FLAGS)
+
+
+def _adjusted(df):
+    return df.select("frame", "n", *[F.round(c, 6).alias(c) for c in ("log_or", "se", "odds_ratio", "low", "high", "p")])
+
+
+def adjusted_contrasts(spark, sf):
+    """The exposed entity against two groups, adjusted, with the matched pairs of its incidents with several vehicles: the
+    article names the one, the other."""
+    from mentionlab.operators.inference import discordance
+
+    rows = _prepared(spark, sf)
+    pairs = rows.where("exposed = 1 AND multi = 1")
+    fits = suite.adjusted_contrasts(rows, {"against other_bev": ("exposed", "other_bev"), "against premium": ("exposed", "premium")}, NUMERIC, CATEGORICAL, matched=discordance(pairs, "outcome", "body"))
+    return _adjusted(fits).join(fits.select("frame", F.round("p_holm", 6).alias("p_holm")), "frame")
+
+
+def adjusted_controls(spark, sf):
+    return _adjusted(suite.adjusted_controls(_prepared(spark, sf), "body", F.col("entity") == "BUILDING", NUMERIC, CATEGORICAL))
+
+
+def adjusted_sensitivities(spark, sf):
+    rows = _prepared(spark, sf).select("incident_id", "article_id", "outlet_group", "outlet", "syndication", "exposed", "outcome", "strict", "body", "tier", "is_wire", *NUMERIC, *CATEGORICAL)
+    parts = {"all": F.lit(True), "tier 1": F.col("tier") == 1, "no wire": F.col("is_wire") == 0}
+    return _adjusted(suite.adjusted_sensitivities(rows, parts, NUMERIC, CATEGORICAL, {"strict": "strict"}, pop.one_per_group(rows, order=FIRST)))
+
+
+def exchangeable_subgroups(spark, sf):
+    return _adjusted(suite.exchangeable_subgroups(frame(spark, sf), ("register", "tier", "age_band", "year")))
+
+
+def adjusted_bootstrap(spark, sf):
+    """The percentile interval of the adjusted model over resampled incidents."""
+    from mentionlab.operators.frames import bootstrap_adjusted
+
+    data, names = suite.design(_prepared(spark, sf), NUMERIC, CATEGORICAL)
+    r = bootstrap_adjusted(data, "exposed", names)
+    return spark.createDataFrame([(r["replicates"], r["failed"], r["low"], r["high"])], "replicates long, failed long, low double, high double")
+
+
 def _codings(spark, sf):
     lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     gold = lab.select("doc_id", "lang", F.col("quality").alias("good"), (F.col("n_chars") % 7).alias("size"), F.lit(None).cast("string").alias("never"))
@@ -390,6 +436,11 @@ QUERIES = {
         "WITH s AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), d AS (SELECT unnest(range(0, b - a + 1))::INT AS k, a FROM s) SELECT k, strftime(a + k, '%Y-%m-%d') AS start, strftime(a + k, '%Y-%m-%d') AS \"end\" FROM d",
     ),
     "model_suite": (model_rows, None),
+    "adjusted_contrasts": (adjusted_contrasts, None),
+    "adjusted_controls": (adjusted_controls, None),
+    "adjusted_sensitivities": (adjusted_sensitivities, None),
+    "exchangeable_subgroups": (exchangeable_subgroups, None),
+    "adjusted_bootstrap": (adjusted_bootstrap, None),
     "threshold_tests": (threshold_tests, None),
     "bootstrap_by_strata": (bootstrap, None),
     "narrative_permutation": (narrative_test, None),

@@ -1,13 +1,15 @@
 """Harvest forms over a landing zone: files that a fetcher has put there, each named by the SHA-1 of its address.
 
 Network work is not the engine's: a plan says which addresses a harvest wants, the zone has those that could be fetched,
-and what is joined from it gives harvest rows and a ledger of what is done. An address without a file is `absent`, which is
-done too: the fetcher has tried it.
+and what is joined from it gives harvest rows and a ledger of what is done. Only files that a plan wants are opened. An
+address without a file is `absent`, which is done too: the fetcher has tried it. One whose file is damaged, or whose tries
+the fetcher's log calls exhausted, is `failed` and stays open.
 """
 
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from mentionlab.functions import text as t
 from mentionlab.operators import population
 from mentionlab.operators.corrections import insert_ignore
+from mentionlab.session import written
 from mentionlab.sources import harvest
 
 #: How many characters of a query's digest name it, and days of the windows of the two search passes.
@@ -56,20 +59,50 @@ def key_of(address: Column) -> Column:
     return F.sha1(address)
 
 
-def _text(content: bytes) -> str:
-    """Whether it was compressed is told by its first bytes, not by its name."""
-    return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("utf-8", errors="replace")
+#: Paths that one read of a zone names at most; more are read in several parts.
+MAX_PATHS = 20_000
 
 
-def texts(spark: SparkSession, zone: str) -> DataFrame:
-    """(key, file, text) of the files of a zone, gzip or plain; key is the SHA-1 in the path, if there is one."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(zone).select("path", "content")
+def _text(content: bytes) -> tuple[str | None, str | None]:
+    """(text, error). Whether it was compressed is told by its first bytes, not by its name."""
+    try:
+        return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("utf-8", errors="replace"), None
+    except (OSError, EOFError, zlib.error) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+
+
+def texts(spark: SparkSession, zone: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, file, text, error) of the files of a zone, gzip or plain; key is the SHA-1 in the path, if there is one. A damaged
+    file has an error and no text. With wanted(key) only files of these keys are opened: the zone is listed first, which
+    reads no contents, and paths are read MAX_PATHS at a time."""
+    key = F.regexp_extract("path", "([0-9a-f]{40})", 1).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["file", "text"])
-
-    return raw.mapInArrow(run, "file string, text string").select(F.regexp_extract("file", "([0-9a-f]{40})", 1).alias("key"), "file", "text")
+            for k in range(b.num_rows):  # one file at a time: contents may be large
+                text, error = _text(b.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()]), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["file", "text", "error"])
+
+    def opened(raw: DataFrame) -> DataFrame:
+        return raw.select("path", "content").mapInArrow(run, "file string, text string, error string")
+
+    if wanted is None:
+        out = opened(_files(spark, zone))
+    else:
+        named = _files(spark, zone).select("path", key).join(wanted.select("key").distinct(), "key", "left_semi")
+        out, part = None, []
+        for r in (*named.select("path").toLocalIterator(), None):
+            if r is not None:
+                part.append(r.path)
+            if part and (r is None or len(part) == MAX_PATHS):
+                one = opened(_files(spark, part))
+                out, part = one if out is None else out.union(one), []
+        out = out if out is not None else spark.createDataFrame([], "file string, text string, error string")
+    return out.select(F.regexp_extract("file", "([0-9a-f]{40})", 1).alias("key"), "file", "text", "error")
 
 
 def frozen(spark: SparkSession, zone: str) -> DataFrame:
@@ -103,10 +136,28 @@ def plan(spark: SparkSession, site: Site, start: str, end: str, index: DataFrame
     raise ValueError(f"unknown kind of sitemap: {site.kind}")
 
 
-def landed(plan: DataFrame, files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The plan's windows that the ledger(tag, window, status) has not as done, with the text of their file (null: absent)."""
+def open_plan(plan: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The plan's windows that the ledger(tag, window, status) has not as done, with the key of their file."""
     left = plan if ledger is None else plan.join(ledger.where(F.col("status").isin("ok", "absent")).select("tag", "window"), ["tag", "window"], "left_anti")
-    return left.withColumn("key", key_of(F.col("address"))).join(files.select("key", "text"), "key", "left").drop("key")
+    return left.withColumn("key", key_of(F.col("address")))
+
+
+def landed(plan: DataFrame, files: DataFrame, ledger: DataFrame | None = None, tries: DataFrame | None = None) -> DataFrame:
+    """The plan's open windows with the text of their file and a status: ok, absent (no file), or failed: the file is damaged,
+    or there is none and the fetcher's log tries(address, outcome) says that its tries are exhausted."""
+    got = open_plan(plan, ledger).join(files.select("key", "text", *(["error"] if "error" in files.columns else []), F.lit(True).alias("there")), "key", "left").drop("key")
+    given_up = F.lit(False)
+    if tries is not None:
+        got = got.join(tries.where(F.col("outcome") == "exhausted").select("address", F.lit(True).alias("given_up")).distinct(), "address", "left")
+        given_up = F.coalesce("given_up", F.lit(False))
+    error = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    status = F.when(F.col("there").isNull(), F.when(given_up, "failed").otherwise("absent")).when(error, "failed").otherwise("ok")
+    return got.withColumn("status", status).drop("there", "error", "given_up")
+
+
+def landed_in(spark: SparkSession, zone: str, plan: DataFrame, ledger: DataFrame | None = None, tries: DataFrame | None = None) -> DataFrame:
+    """landed() from a zone of which only the files of open windows are opened."""
+    return landed(plan, texts(spark, zone, open_plan(plan, ledger).select("key")), ledger, tries)
 
 
 def harvest_site(site: Site, got: DataFrame, start: str, end: str, terms: tuple[str, ...], outlets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +180,7 @@ def harvest_site(site: Site, got: DataFrame, start: str, end: str, terms: tuple[
     rows = harvest.match_outlets(rows.where((F.col("title") != "") & t.keyword(F.col("title"), terms)), "host", outlets)
     first = rows.select(t.url_hash(F.col("canonical_url")).alias("url_hash"), "canonical_url", F.col("brand").alias("domain"), F.concat(F.lit(SLUG_MARK), F.col("title")).alias("title_at_crawl"), "seendate", F.col("tag").alias("query"))
     n = F.coalesce(F.size(t.sitemap_items(F.col("text"))), F.lit(0))
-    done = got.select("tag", "window", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_returned"), F.lit(False).alias("capped"), F.when(F.col("text").isNull(), "absent").otherwise("ok").alias("status"))
+    done = got.select("tag", "window", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_returned"), F.lit(False).alias("capped"), "status")
     return insert_ignore(first, None, "url_hash", ["seendate", "title_at_crawl"]), done
 
 
@@ -180,16 +231,21 @@ def search_plan(spark: SparkSession, daily: list[str], wide: list[str], start: s
 
 def open_searches(plan: DataFrame, ledger: DataFrame) -> DataFrame:
     """Windows of a plan that the ledger(query_hash, start, end, n_returned, ok) has not. A failed window is open again. One
-    that was cut off at the service's cap is open as two halves, unless it is a single day, which cannot be cut."""
-    done = ledger.where("ok").select("query_hash", "start", "end", F.col("n_returned").alias("n"))
-    j = plan.join(done, ["query_hash", "start", "end"], "left")
-    todo = j.where("n is null").drop("n")
-    again = j.where((F.col("n") >= harvest.CAP) & (F.col("start") < F.col("end")))
+    that was cut off at the service's cap is replaced by its two halves, and so are these, until none is cut off; a single
+    day cannot be cut. Levels are looked up one after another: as many as halvings lead from the longest window to a day."""
+    keys = ["query_hash", "start", "end"]
+    done = ledger.where("ok").groupBy(*keys).agg(F.max("n_returned").alias("n"))
     half = F.expr("date_add(start, cast(floor(datediff(end, start) / 2) as int))")
     halves = F.array(F.struct(F.col("start").alias("a"), half.alias("b")), F.struct(F.date_add(half, 1).alias("a"), F.col("end").alias("b")))
-    parts = again.withColumn("x", F.explode(halves)).select("query", "query_hash", "pass", F.col("x.a").alias("start"), F.col("x.b").alias("end"))
-    parts = parts.join(done, ["query_hash", "start", "end"], "left_anti")
-    return todo.select("query", "query_hash", "pass", "start", "end").unionByName(parts)
+    level, out = plan.select("query", "query_hash", "pass", "start", "end"), None
+    while True:
+        looked = written(level.join(done, keys, "left"), "searches")
+        todo = looked.where("n is null").drop("n")
+        out = todo if out is None else out.unionByName(todo)
+        cut = looked.where((F.col("n") >= harvest.CAP) & (F.col("start") < F.col("end")))
+        if cut.isEmpty():
+            return out.select("query", "query_hash", "pass", "start", "end")
+        level = cut.withColumn("x", F.explode(halves)).select("query", "query_hash", "pass", F.col("x.a").alias("start"), F.col("x.b").alias("end"))
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:

@@ -61,6 +61,44 @@ def test_capped_windows_are_cut(spark):
     assert spans(landed.open_searches(plan, ledger([(first.start, first.end, 0, False)])))[0] == ("2025-01-01", "2025-01-30")
 
 
+def test_windows_are_cut_until_none_is_capped(spark):
+    plan = landed.search_plan(spark, [], ["q"], "2025-01-01", "2025-01-30")
+    day = lambda k: f"2025-01-{k:02d}"
+    ledger = spark.createDataFrame([(a, b, n) for a, b, n in [(1, 30, 250), (1, 15, 250), (16, 30, 250), (1, 8, 250), (9, 15, 3), (16, 23, 900), (1, 4, 250), (5, 8, 250), (1, 2, 250), (3, 4, 1), (1, 1, 250), (2, 2, 9)]], "a int, b int, n int")
+    ledger = ledger.select(F.lit(plan.first().query_hash).alias("query_hash"), F.expr("date_add('2024-12-31', a)").alias("start"), F.expr("date_add('2024-12-31', b)").alias("end"), F.col("n").alias("n_returned"), F.lit(True).alias("ok"))
+    got = sorted((str(r.start), str(r.end)) for r in landed.open_searches(plan, ledger).collect())
+    assert got == [(day(5), day(6)), (day(7), day(8)), (day(16), day(19)), (day(20), day(23)), (day(24), day(30))]
+    assert landed.open_searches(plan, ledger.withColumn("ok", F.lit(False))).count() == 1
+
+
+def test_damaged_files_and_exhausted_tries_fail(spark, tmp_path):
+    put(tmp_path, "u0", gzip.compress(b"<url><loc>x</loc></url>" * 50)[:40])
+    put(tmp_path, "u1", b"\x1f\x8bno gzip")
+    put(tmp_path, "u2", b"<url><loc>https://a/x</loc></url>")
+    plan = landed.plan(spark, landed.Site("a", "paginated", "u{}", "dated", pages=5), "2025-01-01", "2025-01-02")
+    tries = spark.createDataFrame([("u3", "exhausted"), ("u4", "absent"), ("u2", "exhausted")], "address string, outcome string")
+    got = landed.landed_in(spark, str(tmp_path), plan, tries=tries)
+    assert {r.window: r.status for r in got.collect()} == {"0": "failed", "1": "failed", "2": "ok", "3": "failed", "4": "absent"}
+    outlets = spark.createDataFrame([("a", "A", 0)], "domain string, brand string, place int")
+    _, done = landed.harvest_site(landed.Site("a", "paginated", "u{}", "dated", pages=5), got, "2025-01-01", "2025-01-02", t.EVENT_TERMS, outlets)
+    assert {r.window: (r.n_returned, r.status) for r in done.collect()}["0"] == (0, "failed")
+    assert sorted(r.window for r in landed.open_plan(plan, done).collect()) == ["0", "1", "3"]
+
+
+def test_only_planned_files_are_opened(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        put(tmp_path, f"u{k}", b"x" * (k + 1))
+    monkeypatch.setattr(landed, "MAX_PATHS", 2)
+    opened = []
+    files = landed._files
+    monkeypatch.setattr(landed, "_files", lambda s, p: opened.append(p) or files(s, p))
+    plan = landed.plan(spark, landed.Site("a", "paginated", "u{}", "dated", pages=5), "2025-01-01", "2025-01-02")
+    got = landed.texts(spark, str(tmp_path), landed.open_plan(plan).select("key"))
+    assert sorted(len(r.text) for r in got.collect()) == [1, 2, 3, 4, 5]
+    assert len(got.inputFiles()) == 5 and [len(p) for p in opened[1:]] == [2, 2, 1]
+    assert landed.texts(spark, str(tmp_path), spark.createDataFrame([("0" * 40,)], "key string")).count() == 0
+
+
 def test_review_files(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps([{"incident_id": "1", "verdict": "accept", "make": "Kia"}, {"incident_id": "2", "decision": "reject", "reason": "no", "make": ""}]))
     got = {r.incident_id: (r.verdict, r.entity, r.why) for r in landed.decisions(spark, str(tmp_path / "d.json")).collect()}

@@ -123,6 +123,29 @@ def test_html(spark):
     assert [r.id for r in kept.collect()] == [4]
 
 
+def test_html_in_odd_shapes(spark):
+    cases = {
+        "<nav>a<aside>b</nav>c</aside>d": ("", "d"),  # any end tag closes the innermost
+        "</nav>x<nav>y<p>z": ("", "x"),  # one that stays open holds the rest
+        "<script>if (a<b) '<nav>'</script>after": ("", "after"),
+        "<!-- <nav> -->shown<!-- </p -->too": ("", "shown\ntoo"),
+        "<title>One <b>two</b></title><title>three</title>body<header><title>no</title></header>": ("One two three", "body"),
+        '<p data-x="a > b">3 < 5</p><NAV class=\'>\'>n</NAV>&nbsp;end&nbsp;': ("", "3 < 5\nend"),
+        "<navigation>kept</navigation><footer/>gone</footer>kept too": ("", "kept\nkept too"),
+        "&amp;lt; &#233; &#x41;": ("", "< é A"),
+        "  <p>  \n </p> ": ("", ""),
+        "<p>a</p>" + "<nav><aside><footer>x</footer></aside></nav>" * 40 + "<p>b</p>": ("", "a\nb"),
+        "<div>" * 3000 + "deep" + "</div>" * 3000: ("", "deep"),
+        "<nav>" + "word " * 200_000 + "</nav>" + "text " * 200_000: ("", ("text " * 200_000).strip()),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, html string")
+    got = {r.id: (r.title, r.body) for r in pages.extracted(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert "Python" not in pages.extracted(df)._jdf.queryExecution().toString()
+    more = spark.createDataFrame([(1, "&copy 2020 &hellip; &fjlig; &#150; &unknown; AT&T"), (2, "&eacute;")], "id int, html string")
+    assert {r.id: r.body for r in pages.extracted(more, html5=True).collect()} == {1: "© 2020 … fj – &unknown; AT&T", 2: "é"}
+
+
 def test_narrative(spark):
     for x, want in (("Car ploughs into shop", True), ("LOST CONTROL of ute", True), ("ute rolled", True), ("trolled online", False), ("drove into the pub", True), (None, False), ("mounts kerb", True)):
         assert one(spark, t.narrative, x) == want
