@@ -26,6 +26,11 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(token, df) of docs that have a row for each document: one shuffle, of a row for each token and task."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     """(doc, token, df, w): tf = c / length, idf = ln((n + 1) / (df + 1)), L2-normalised; a norm of 0 counts as 1."""
     whole = Window.partitionBy("doc")
@@ -47,16 +52,22 @@ def rare_limit(n_docs: int) -> int:
     return max(2, int(n_docs * RARE_FRACTION))
 
 
-def _candidates(keys: DataFrame, band: DataFrame, days: int | None) -> DataFrame:
-    """Pairs a < b that share a (token, band); with days, bands are days and a document is looked up in those around."""
+def _candidates(keys: DataFrame, band: DataFrame, days: int | None, theta: float | None = None) -> DataFrame:
+    """Pairs a < b that share a (token, band); with days, bands are days and a document is looked up in those around. With
+    theta, keys have a tail, and pairs whose tails' lengths at the token cannot reach theta are left out where they meet:
+    at the first token that two vectors share, their product is that of their tails. The join is fed by exchanges alone, so
+    Spark splits a hot (token, band)."""
     k = keys.join(band, "doc")
     if days is None:
         x, y = k, k
     else:
-        x = k.select("doc", "token", F.col("band").alias("own"), F.explode(F.sequence(F.col("band") - days, F.col("band") + days)).alias("band"))
+        x = k.withColumn("band", F.explode(F.sequence(F.col("band") - days, F.col("band") + days)))
         y = k
     a, b = x.alias("a"), y.alias("b")
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.doc") < F.col("b.doc"))
+    if theta is not None:
+        on = on & (F.col("a.tail") * F.col("b.tail") >= max(0.0, theta - 1e-9) ** 2)
+    return a.join(b, on).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
 
 
 def similar_pairs(weights: DataFrame, band: DataFrame, theta: float = THETA, days: int | None = DAYS) -> DataFrame:
@@ -65,8 +76,8 @@ def similar_pairs(weights: DataFrame, band: DataFrame, theta: float = THETA, day
     band(doc, band): integer days or group keys; documents without a band are in no pair.
     """
     order = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = weights.withColumn("tail", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("tail") >= (theta - 1e-9) ** 2).select("doc", "token")
-    pairs = _candidates(prefix, band, days).distinct()
+    prefix = weights.withColumn("tail", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("tail") >= (theta - 1e-9) ** 2).select("doc", "token", "tail")
+    pairs = _candidates(prefix, band, days, theta).distinct()
     w = weights.select("doc", "token", "w")
     left = pairs.join(w.withColumnsRenamed({"doc": "a", "w": "wa"}), "a")
     both = left.join(w.withColumnsRenamed({"doc": "b", "w": "wb"}), ["b", "token"])

@@ -259,7 +259,7 @@ QUERIES = {
         f"WITH w AS (SELECT doc_id, {_TOKEN_ARRAY} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS tokens, len(list_distinct(w))::BIGINT AS distinct_tokens FROM w",
     ),
     "document_frequency": (
-        lambda s, d: sim.document_frequency(sim.token_counts(table(s, d, "documents").select("doc_id", "text"), "doc_id", t.tokenise(F.col("text"), STOP))),
+        lambda s, d: sim.frequencies(table(s, d, "documents"), t.tokenise(F.col("text"), STOP)),
         f"SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKEN_ARRAY}) AS token FROM documents) GROUP BY 1",
     ),
     "tfidf_weights": (tfidf_weights, f"WITH {TOKENS} SELECT doc, token, round(w, 6) AS w FROM w"),
