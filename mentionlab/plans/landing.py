@@ -10,7 +10,7 @@ from mentionlab.functions.text import EVENT_TERMS
 from mentionlab.operators import corrections as co
 from mentionlab.plans import view
 from mentionlab.session import shared_dir, table
-from mentionlab.sources import landed, sinks
+from mentionlab.sources import landed, sinks, warc
 from mentionlab.sources.harvest import fixed_windows
 
 START, END = "2025-09-05", "2025-09-20"
@@ -192,7 +192,17 @@ def adjudication_queue(spark, sf):
 QUEUE_SQL = f"""WITH {view.MADE}, q AS (SELECT incident_id, count(DISTINCT outlet_group) AS n_outlets, md5(string_agg(article_id || ':' || outlet_group || ':' || outcome, ',' ORDER BY article_id, outlet_group, outlet_group, outcome)) AS articles FROM art GROUP BY 1)
 SELECT incident_id, n_outlets, deaths::VARCHAR AS deaths, tier::VARCHAR AS tier, articles FROM q JOIN inci USING (incident_id) WHERE day BETWEEN DATE '1995-03-01' AND DATE '1998-02-28'"""
 
+def warc_pages(spark, sf):
+    """Pages as a news crawl: a WARC file for each task, read back in ranges of 64 kB."""
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html")
+    head = [F.lit("WARC/1.0\r\nWARC-Type: "), F.when(F.col("page_id") % 10 == 0, "request").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")]
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    table(spark, sf, "pages").where("url IS NOT NULL AND html IS NOT NULL").select(F.concat(*head, body)).write.option("lineSep", "\r\n\r\n").text(path)
+    return warc.pages(warc.read(spark, path, 1 << 16)).select("url", F.sha2("html", 256).alias("html_sha256"))
+
+
 QUERIES = {
+    "warc_pages": (warc_pages, "SELECT url, sha256(html) AS html_sha256 FROM pages WHERE url IS NOT NULL AND html IS NOT NULL AND page_id % 10 <> 0"),
     "sitemap_harvest": (sitemap_harvest, HARVEST_SQL),
     "sitemap_ledger": (sitemap_ledger, LEDGER_SQL),
     "news_harvest": (news_harvest, NEWS_SQL),
