@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionlab.functions.text import WORD
+from mentionlab.operators.covariates import group_of
 
 WINDOW = 40
 _FOLD = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-"})
@@ -126,8 +127,4 @@ def assert_neutral(vocabularies: tuple[str, ...], lexicon: Lexicon) -> None:
 
 def with_group(df: DataFrame, entity: str, lexicon: Lexicon, default: str, name: str = "entity_group") -> DataFrame:
     """df with the group of its entity; entities that the lexicon has not, and null, have the default."""
-    groups = [(e.name, e.group) for e in lexicon.entities if e.group]
-    out = F.lit(default)
-    for n, g in groups:
-        out = F.when(F.col(entity) == n, g).otherwise(out)
-    return df.withColumn(name, out)
+    return df.withColumn(name, group_of(F.col(entity), {e.name: e.group for e in lexicon.entities if e.group}, default))

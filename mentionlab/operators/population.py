@@ -76,6 +76,15 @@ def articles_of(articles: DataFrame, incidents: DataFrame) -> DataFrame:
     return articles.join(incidents.select("incident_id").distinct(), "incident_id", "left_semi")
 
 
+def linked_urls(clusters: DataFrame, harvest: DataFrame, urls: str = "urls", url: str = "canonical_url") -> DataFrame:
+    """The harvest rows of each cluster's addresses, which stand in one column with spaces between: cluster columns but that
+    one, and the harvest's. An address that the harvest has not, or that is empty, is left out; one that is named twice counts
+    once."""
+    (own,) = fresh(clusters, "url")
+    each = clusters.withColumn(own, F.explode(F.array_distinct(F.filter(F.split(F.trim(urls), r"\s+"), lambda x: x != "")))).drop(urls)
+    return each.join(harvest, F.col(own) == harvest[url]).drop(own)
+
+
 def with_bodies(articles: DataFrame, bodies: DataFrame, how: str = "left") -> DataFrame:
     """articles with the body of bodies(article_id, body): null without one, or (how="inner") those with one only."""
     (own,) = fresh(articles, "id")

@@ -268,7 +268,7 @@ def url_links(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = o.groupBy(F.col("o_custkey").alias("cluster")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("http://u.example/"), F.col("o_orderkey").cast("string")))), " ").alias("urls"))
     harvest = o.where("o_orderkey % 2 = 0").select(F.concat(F.lit("http://u.example/"), F.col("o_orderkey").cast("string")).alias("canonical_url"), F.col("o_orderkey").alias("harvest_id"))
-    return c.select("cluster", F.explode(F.split("urls", " ")).alias("canonical_url")).join(harvest, "canonical_url").groupBy("cluster").agg(F.count(F.lit(1)).alias("linked"), F.sum("harvest_id").alias("ids"))
+    return pop.linked_urls(c, harvest).groupBy("cluster").agg(F.count(F.lit(1)).alias("linked"), F.sum("harvest_id").alias("ids"))
 
 
 def dense_pairs(spark, sf):
