@@ -81,6 +81,8 @@ def gee_frames(rows: DataFrame, x: list[str], frames: dict[str, list[str]] | Non
     """
     p = 1 + len(x)
     keep = rows.where(F.col(y).isNotNull())
+    if frames is not None:  # what a frame does not use splits none of its rows and excludes none
+        keep = keep.withColumns({c: F.when(F.col(by).cast("string").isin([f for f, used in frames.items() if c in used]), F.col(c).cast("double")).otherwise(0.0) for c in x})
     for c in x:
         keep = keep.where(F.col(c).isNotNull())
     data = keep.groupBy(F.col(by).cast("string").alias("frame"), F.col(cluster).alias("c"), *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(x)])

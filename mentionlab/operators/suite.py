@@ -141,15 +141,11 @@ def exchangeable_subgroups(rows: DataFrame, columns: tuple[str, ...]) -> DataFra
 
 
 def model_suite(spark: SparkSession, rows: DataFrame, exposure: str, numeric: tuple[str, ...], categorical: tuple[str, ...], mediators: tuple[str, ...]) -> DataFrame:
-    """The adjusted model, with mediators added, with independence, and without covariates: one row each."""
-    plans = {
-        "adjusted": (numeric, categorical, True),
-        "mediators added": ((*numeric, *mediators), categorical, True),
-        "independence": (numeric, categorical, False),
-        "unadjusted": ((), (), True),
-    }
-    found = [(name, *adjusted(rows, "outcome", exposure, *plan).values()) for name, plan in plans.items()]
-    return spark.createDataFrame(found, "model string, odds_ratio double, low double, high double, p double, alpha double")
+    """The adjusted model, with mediators added, with independence, and without covariates: one row each, of one fit."""
+    data, names = design(framed(rows, {n: F.lit(True) for n in ("adjusted", "mediators added", "independence", "unadjusted")}), numeric, categorical)
+    uses = {"adjusted": names, "mediators added": [*names, *mediators], "independence": names, "unadjusted": []}
+    fits = frames.effects(data, exposure, uses, independent={"independence"})
+    return fits.select(F.col("frame").alias("model"), "odds_ratio", "low", "high", "p", "alpha")
 
 
 def sweep_with_tests(spark: SparkSession, incidents: DataFrame, thresholds: tuple[int, ...], times: int = permutation.TIMES) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "mentionlab", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, Arrow).
 
-    On a cluster the session comes from the launcher; nothing in the library overrides its settings.
+    On a cluster the session comes from the launcher; nothing in the library overrides its settings, but for the size of
+    batches while a table is written (small_batches).
     """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -78,11 +79,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 _scratch: list[str] = []
 
 
+#: Bytes of rows that go to a Python worker together while a table is written: executors and workers hold several copies.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs inside the block send rows to Python in batches of BATCH_BYTES, or of the session's own size if it is smaller."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    digits = (before or "").removesuffix("b")
+    if digits.isdigit() and 0 < int(digits) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, is computed once and outlives executors."""
     spark = df.sparkSession
     path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
