@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ def released(run):
 
     def wrapped(batches):
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

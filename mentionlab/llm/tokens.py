@@ -29,7 +29,7 @@ from mentionlab.llm.common import released, table, text_of, written
 
 END_ID = 0
 #: Ids from which a segment is closed (whole documents), and blocks that are coded side by side.
-SEGMENT_IDS, SIDE_BY_SIDE = 1 << 18, 1536
+SEGMENT_IDS, SIDE_BY_SIDE = 1 << 18, 1024
 #: Bytes of texts tokenised at once: a tokenizer's results take about twenty times the text.
 TOKENISE_BYTES = 250_000
 _MAGIC, _HEAD = b"MLTC", struct.Struct("<4sIIII")
