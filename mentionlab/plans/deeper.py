@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mentionlab.functions import stats
 from mentionlab.functions import text as t
-from mentionlab.operators import asof, gazetteer, glmm, models, permutation, suite
+from mentionlab.operators import asof, gazetteer, glmm, models, permutation, reliability, suite
 from mentionlab.operators import incidents as inc
 from mentionlab.operators import lexicon as lx
 from mentionlab.operators import population as pop
@@ -168,7 +168,35 @@ def adjusted_quasibinomial(spark, sf):
     return spark.createDataFrame([(odds, low, high, p, g["scale"])], "odds_ratio double, low double, high double, p double, dispersion double")
 
 
+def _positions(spark, sf):
+    """Two coders' places of orders' lines: by quantity and by price."""
+    li = table(spark, sf, "lineitem")
+    return li.select("l_returnflag", F.when(F.col("l_linenumber") % 7 > 0, F.floor(F.col("l_quantity") / 10)).cast("int").alias("a"), F.least(F.lit(4), F.floor(F.col("l_extendedprice") / 20000)).cast("int").alias("b"))
+
+
+def weighted_agreement(spark, sf):
+    """Kappa with squared and with plain distances, by flag."""
+    p = _positions(spark, sf)
+    both = [reliability.weighted_kappa(p, "a", "b", "l_returnflag", quadratic=q).select("l_returnflag", "n", F.round("weighted_kappa", 9).alias(n)) for q, n in ((True, "squared"), (False, "plain"))]
+    return both[0].join(both[1].drop("n"), "l_returnflag")
+
+
+WEIGHTED_SQL = """WITH p AS (SELECT l_returnflag, CASE WHEN l_linenumber % 7 > 0 THEN floor(l_quantity / 10)::INT END AS a, least(4, floor(l_extendedprice / 20000))::INT AS b FROM lineitem), c AS (SELECT l_returnflag, a, b, count(*) AS c FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+n AS (SELECT l_returnflag, sum(c)::BIGINT AS n, sum(c * (a - b) ** 2) AS s2, sum(c * abs(a - b)) AS s1 FROM c GROUP BY 1), x AS (SELECT l_returnflag, a AS v, sum(c) AS r FROM c GROUP BY 1, 2), y AS (SELECT l_returnflag, b AS w, sum(c) AS k FROM c GROUP BY 1, 2),
+e AS (SELECT l_returnflag, sum(r * k * (v - w) ** 2) AS e2, sum(r * k * abs(v - w)) AS e1 FROM x JOIN y USING (l_returnflag) GROUP BY 1)
+SELECT l_returnflag, n, round(1 - s2 * n / e2, 9) AS squared, round(1 - s1 * n / e1, 9) AS plain FROM n JOIN e USING (l_returnflag)"""
+
+
+def dual_sample(spark, sf):
+    """A fifth of the orders of each status, for a second coder."""
+    return reliability.sampled_share(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", reliability.DUAL_SHARE, by="o_orderstatus")
+
+
+DUAL_SQL = """WITH k AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('20260101|' || o_orderkey)) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderkey, o_orderstatus FROM k WHERE i <= ceil(n * 0.2)"""
+
 QUERIES = {
+    "weighted_agreement": (weighted_agreement, WEIGHTED_SQL),
+    "dual_sample": (dual_sample, DUAL_SQL),
     "headline_versions": (headline_versions, VERSIONS_SQL),
     "permutation_incidents": (permutation_incidents, None),
     "random_intercepts": (random_intercepts, None),
