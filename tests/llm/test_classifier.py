@@ -169,3 +169,46 @@ def test_features_against_plain_words():
         for w in words:
             (n,) = [x for x in cl.features(w) if x < 1 << cl.HASH_BITS]
             assert n in f and numbers.setdefault(w, n) == n
+
+
+def plain_fit(texts, y, weight, rates):
+    """The fit with one dense row for each text: words that depend on the label, Adam on the weighted log-loss."""
+    seen = [set(cl.features(t).tolist()) for t in texts]
+    logits = []
+    for k in range(2):
+        r, n, total = y[:, k].mean(), {}, {}
+        for f, label in zip(seen, y[:, k], strict=True):
+            for x in f:
+                n[x], total[x] = n.get(x, 0) + 1, total.get(x, 0) + label
+        chi = lambda x: (total[x] - n[x] * r) ** 2 / max(n[x] * r * (1 - r), 1e-9)  # noqa: B023, E731
+        used = sorted(x for x in n if n[x] >= cl.MIN_DOCS and (x >= 1 << cl.HASH_BITS or chi(x) >= cl.MIN_CHI))
+        z = np.array([[x in f for x in used] for f in seen], float)
+        share = weight / weight.sum()
+        w = np.zeros(len(used) + 1)
+        w[-1] = math.log(rates[k] / (1 - rates[k]))
+        m, v = np.zeros(len(w)), np.zeros(len(w))
+        for t in range(1, cl.STEPS + 1):
+            error = (1 / (1 + np.exp(-(z @ w[:-1] + w[-1]))) - y[:, k]) * share
+            g = np.append(z.T @ error + cl.RIDGE / 100 * w[:-1], error.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - 0.1 * (1 - t / (cl.STEPS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        logits.append(np.clip(z @ w[:-1] + w[-1], -cl.MAX_LOGIT, cl.MAX_LOGIT))
+    return np.array(logits).T
+
+
+def test_fit_against_a_plain_one(spark, sf_dir):
+    """All labelled documents of the table are in the sample; their logits are those of dense matrices."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = cl.known_labels(labels).where("quality is not null and toxic is not null")
+    rows = docs.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality", "toxic").orderBy("doc_id").collect()
+    sizes = {}
+    for r in known.collect():
+        sizes[r.quality, r.toxic] = sizes.get((r.quality, r.toxic), 0) + 1
+    of = [(r.quality, r.toxic) for r in rows]
+    n = sum(sizes.values())
+    rates = [(sum(c for g, c in sizes.items() if g[k]) + 1) / (n + 2) for k in range(2)]
+    texts = [(r.text or "").encode() for r in rows]
+    want = plain_fit(texts, np.array(of, float), np.array([sizes[g] / of.count(g) for g in of]), rates)
+    model = cl.fit(docs, labels)
+    assert np.abs(np.array([model.logits(t) for t in texts]) - want).max() < 1e-3
