@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Each
 result is written as Parquet and read again, so a stage's work is done once and outlives executors.
+
+Of every stage: texts are read whole, however long they are; an empty table gives an empty one; further columns of docs pass
+through all but the last stage as they are, whatever their names, since a stage's own columns avoid names that are taken.
 """
 
 from __future__ import annotations
