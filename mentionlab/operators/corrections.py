@@ -109,13 +109,20 @@ def split_incidents(incidents: DataFrame, splits: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def padded(number: Column) -> Column:
+    """A number as text of two digits at least."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(2), F.length(text)), "0")
+
+
 def next_ids(new: DataFrame, existing: DataFrame, date: str, order: str) -> DataFrame:
-    """new with incident_id YYYYMMDD-nn: numbers go on after the greatest of that date's existing ids."""
+    """new with incident_id YYYYMMDD-nn: numbers go on after the greatest of that date's existing ids. Two digits at least;
+    a number from 100 on is whole."""
     own, day, n = fresh(new, "own", "day", "last")
     last = existing.select(F.substring("incident_id", 1, 8).alias(day), F.regexp_extract("incident_id", r"(\d+)$", 1).cast("int").alias(n)).groupBy(day).agg(F.max(n).alias(n))
     number = F.row_number().over(Window.partitionBy(own).orderBy(order)) + F.coalesce(F.col(n), F.lit(0))
     joined = new.withColumn(own, F.date_format(date, "yyyyMMdd")).join(last, F.col(own) == F.col(day), "left")
-    return joined.withColumn("incident_id", F.concat(F.col(own), F.lit("-"), F.lpad(number.cast("string"), 2, "0"))).drop(own, day, n)
+    return joined.withColumn("incident_id", F.concat(F.col(own), F.lit("-"), padded(number))).drop(own, day, n)
 
 
 def route(members: DataFrame, linked: DataFrame) -> DataFrame:
