@@ -72,9 +72,11 @@ def design(rows: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple[st
     """rows with a 0/1 column for each level of each category but its first, and the names of all covariates. Null is a
     level of its own; a column of more than MAX_LEVELS levels is no category and raises ValueError."""
     names, made = list(numeric), {}
-    for c in dict.fromkeys(categorical):
-        value = F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-        levels = sorted(r[0] for r in rows.select(value).distinct().limit(MAX_LEVELS + 1).collect())
+    values = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in dict.fromkeys(categorical)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v.alias("level")) for c, v in values.items()])).alias("x")
+    found = rows.select(pairs).select("x.*").distinct().limit(MAX_LEVELS * len(values) + 1).collect() if values else []  # more than these: one has too many
+    for c, value in values.items():
+        levels = sorted(r.level for r in found if r.c == c)
         if len(levels) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
         for k, level in enumerate(levels[1:]):

@@ -13,7 +13,7 @@ from mentionlab.operators import population as pop
 from mentionlab.operators import similarity as sim
 from mentionlab.operators import suite
 from mentionlab.plans.study import COMPARED, TOTALS, two_sided_sql
-from mentionlab.session import table
+from mentionlab.session import table, written
 from mentionlab.sources.harvest import fixed_windows
 
 EXPOSED = "AUTOMOBILE"
@@ -66,9 +66,16 @@ KNOWN = """kn AS (SELECT * FROM v WHERE entity <> ''), cov AS (SELECT incident_i
 f AS (SELECT * FROM kn SEMI JOIN cov USING (incident_id))"""
 
 
+#: What the models and descriptions of the frame read.
+FRAME = (
+    "incident_id", "article_id", "outlet", "outlet_group", "register", "is_wire", "syndication", "outcome", "strict", "body",
+    "entity", "tier", "deaths", "child", "multi", "age_band", "year", "exposed",
+)
+
+
 def frame(spark, sf):
-    """The models' frame: known entity, two outlets."""
-    return pop.covered(view(spark, sf), 2)
+    """The models' frame: known entity, two outlets. It is read several times, so it is joined once and written."""
+    return written(pop.covered(view(spark, sf).select(*FRAME), 2), "frame")
 
 
 def analysis_view(spark, sf):
