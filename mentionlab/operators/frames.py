@@ -1,7 +1,8 @@
 """Adjusted models of many frames at once: exchangeable or independent GEE, and the bootstrap of the adjusted model.
 
 A frame is a subset of the rows with a name, a set of covariates and a working correlation. All frames are fitted by the
-same jobs. Rows with equal cluster and covariates are counted first. A round sums each cluster's residuals and weighted
+same jobs. Rows with equal cluster and covariates are counted first, and of clusters that are alike one is kept with their
+number (kinds.py). A round sums each cluster's residuals and weighted
 covariates (2 p + 3 numbers, summed where they lie, so a cluster of any size is spread), turns clusters into sums of p x p
 numbers in each task, and adds these on the driver: p x p numbers for each frame and task, whatever the number of rows.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlab.functions.stats import Z95
+from mentionlab.operators import kinds
 from mentionlab.operators.models import MAX_LOGIT
 from mentionlab.session import written
 
@@ -79,18 +81,30 @@ def gee_frames(rows: DataFrame, x: list[str], frames: dict[str, list[str]] | Non
     that is constant in a frame, or follows from others, has no estimate and changes no other one. A frame whose outcome
     does not vary has no estimates.
     """
-    p = 1 + len(x)
-    keep = rows.where(F.col(y).isNotNull())
+    return _fitted(_counted(rows.where(F.col(y).isNotNull()), x, frames, by, cluster, y), x, frames, independent, rounds, tolerance)
+
+
+def _counted(rows: DataFrame, x: list[str], frames: dict[str, list[str]] | None, by: str, cluster: str, y: str) -> DataFrame:
+    """frame, c, x1, x2, ..., n, k of one cluster of each kind, with w, how many are of it."""
     if frames is not None:  # what a frame does not use splits none of its rows and excludes none
-        keep = keep.withColumns({c: F.when(F.col(by).cast("string").isin([f for f, used in frames.items() if c in used]), F.col(c).cast("double")).otherwise(0.0) for c in x})
-    for c in x:
-        keep = keep.where(F.col(c).isNotNull())
-    data = keep.groupBy(F.col(by).cast("string").alias("frame"), F.col(cluster).alias("c"), *[F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(x)])
-    data = written(data.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("k")), "gee-frames")
-    facts = {r.frame: r for r in data.groupBy("frame").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_distinct("c").alias("clusters")).limit(MAX_FRAMES + 1).collect()}
+        rows = rows.withColumns({c: F.when(F.col(by).cast("string").isin([f for f, used in frames.items() if c in used]), F.col(c).cast("double")).otherwise(0.0) for c in x})
+    xs = [f"x{i + 1}" for i in range(len(x))]
+    data = rows.groupBy(F.col(by).cast("string").alias("frame"), F.col(cluster).alias("c"), *[F.col(c).cast("double").alias(n) for c, n in zip(x, xs, strict=True)])
+    data = written(data.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("k")), "gee-rows")
+    return written(kinds.one_of_each(data, ["frame"], xs).drop(*kinds.KIND), "gee-frames")
+
+
+def _fitted(data: DataFrame, x: list[str], frames: dict[str, list[str]] | None, independent: frozenset[str] | set[str] = frozenset(), rounds: int = 100, tolerance: float = 1e-9) -> dict[str, dict]:
+    """gee_frames of what _counted made."""
+    p = 1 + len(x)
+    for i in range(1, p):
+        data = data.where(F.col(f"x{i}").isNotNull())
+    one = data.groupBy("frame", "c").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("w").alias("w"))
+    found = one.groupBy("frame").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("k") * F.col("w")).alias("k"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("w"))), F.lit(0.0)).cast("long").alias("clusters"), F.max("n").alias("largest"))
+    facts = {r.frame: r for r in found.limit(MAX_FRAMES + 1).collect()}
     if len(facts) > MAX_FRAMES:
         raise ValueError(f"more than {MAX_FRAMES} frames")
-    largest = {r.frame: r.n for r in data.groupBy("frame", "c").agg(F.sum("n").alias("n")).groupBy("frame").agg(F.max("n").alias("n")).collect()}
+    largest = {f: r.largest for f, r in facts.items()}
     uses = {f: np.array([True, *[frames is None or c in frames.get(f, ()) for c in x]]) for f in facts}
     state = _State([f for f, r in facts.items() if 0 < r.k < r.n], p)
     for f in state.open:
@@ -149,21 +163,21 @@ def _round(data: DataFrame, xs: list[str], state: _State, uses: dict[str, np.nda
     for i in range(1, p):
         eta = eta + F.col(f"b{i}") * F.col(f"x{i}")
     mu = 1 / (1 + F.exp(-F.least(F.lit(MAX_LOGIT), F.greatest(F.lit(-MAX_LOGIT), eta))))
-    own = own.withColumn("mu", mu).withColumn("s", F.sqrt(F.col("mu") * (1 - F.col("mu")))).select("frame", "c", "n", "k", "mu", "s", *xs)
+    own = own.withColumn("mu", mu).withColumn("s", F.sqrt(F.col("mu") * (1 - F.col("mu")))).select("frame", "c", "n", "k", "w", "mu", "s", *xs)
     res = F.col("k") - F.col("n") * F.col("mu")
     square = (F.col("k") * (1 - F.col("mu")) ** 2 + (F.col("n") - F.col("k")) * F.col("mu") ** 2) / F.col("s") ** 2
     per = own.groupBy("frame", "c").agg(
-        F.sum("n").alias("n"), F.sum(res / F.col("s")).alias("sr"), F.sum(square).alias("srr"), F.sum(F.col("n") * F.col("s")).alias("s0"), F.sum(res).alias("u0"),
+        F.first("w").alias("w"), F.sum("n").alias("n"), F.sum(res / F.col("s")).alias("sr"), F.sum(square).alias("srr"), F.sum(F.col("n") * F.col("s")).alias("s0"), F.sum(res).alias("u0"),
         *[F.sum(F.col("n") * F.col("s") * F.col(c)).alias(f"s{i + 1}") for i, c in enumerate(xs)], *[F.sum(res * F.col(c)).alias(f"u{i + 1}") for i, c in enumerate(xs)],
     )
 
     def clusters(batches):
         def add(f, b):
-            n, sr, srr = (b.column(c).to_numpy() for c in ("n", "sr", "srr"))
+            w, n, sr, srr = (b.column(c).to_numpy() for c in ("w", "n", "sr", "srr"))
             s, u = (_columns(b, [f"{c}{i}" for i in range(p)]) for c in "su")
             k = alpha[f] / (1 + (n - 1) * alpha[f])
             score = (u - (k * sr)[:, None] * s) / (1 - alpha[f])
-            return {"bread": (s * k[:, None]).T @ s, "score": score.sum(0), "meat": score.T @ score, "pairs": np.array([((sr**2 - srr) / 2).sum(), (n * (n - 1) / 2).sum(), srr.sum(), n.sum()])}
+            return {"bread": (s * (w * k)[:, None]).T @ s, "score": w @ score, "meat": (score * w[:, None]).T @ score, "pairs": np.array([w @ (sr**2 - srr) / 2, w @ (n * (n - 1)) / 2, w @ srr, w @ n])}
 
         return _by_frame(batches, add)
 
@@ -171,7 +185,7 @@ def _round(data: DataFrame, xs: list[str], state: _State, uses: dict[str, np.nda
         def add(f, b):
             z = np.column_stack([np.ones(b.num_rows), _columns(b, xs)])
             mu = _expit(z @ beta[f])
-            return {"rows": (z * (b.column("n").to_numpy() * mu * (1 - mu))[:, None]).T @ z}
+            return {"rows": (z * (b.column("n").to_numpy() * b.column("w").to_numpy() * mu * (1 - mu))[:, None]).T @ z}
 
         return _by_frame(batches, add)
 
@@ -190,11 +204,15 @@ def effects(rows: DataFrame, exposure: str, covariates: list[str] | dict[str, li
     frames = {f: [exposure, *c] for f, c in covariates.items()} if isinstance(covariates, dict) else None
     x = [exposure, *(dict.fromkeys(c for cs in covariates.values() for c in cs) if isinstance(covariates, dict) else covariates)]
     rows = rows.where(F.col(y).isNotNull() & F.col(exposure).isNotNull())
-    own = rows.groupBy(F.col(by).cast("string").alias("frame"), F.col(cluster).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(exposure).cast("int")).alias("hot"), F.min(F.col(exposure).cast("int")).alias("cold"))
-    own = own.groupBy("frame").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("hot") == 1).alias("exposed"), F.max("hot").alias("hot"), F.min("cold").alias("cold"))
+    data = _counted(rows, x, frames, by, cluster, y)
+    arm = F.col("x1").cast("int")
+    own = data.groupBy("frame", "c").agg(F.sum("n").alias("n"), F.first("w").alias("w"), F.max(arm).alias("hot"), F.min(arm).alias("cold"))
+    own = own.groupBy("frame").agg(F.sum(F.col("n") * F.col("w")).cast("long").alias("n"), F.sum("w").cast("long").alias("clusters"), F.coalesce(F.sum(F.when(F.col("hot") == 1, F.col("w"))), F.lit(0.0)).cast("long").alias("exposed"), F.max("hot").alias("hot"), F.min("cold").alias("cold"))
     told = {r.frame: r for r in own.limit(MAX_FRAMES + 1).collect()}
+    if len(told) > MAX_FRAMES:
+        raise ValueError(f"more than {MAX_FRAMES} frames")
     fits = [f for f, r in told.items() if r.n >= least_rows and r.exposed >= least_exposed and r.hot != r.cold]
-    found = gee_frames(rows.where(F.col(by).cast("string").isin(fits)), x, frames, by, cluster, y, independent) if fits else {}
+    found = _fitted(data.where(F.col("frame").isin(fits)), x, frames, independent) if fits else {}
     out = []
     for f, r in sorted(told.items()):
         g = found.get(f)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mentionlab.operators import glmm, kinds
+from mentionlab.operators import frames, glmm, kinds
 
 ROWS = [(1, 0.0, 2.0, 1.0), (1, 1.0, 1.0, 1.0), (2, 1.0, 2.0, 1.0), (2, 0.0, 1.0, 1.0), (3, None, 2.0, 0.0)]
 
@@ -41,3 +41,13 @@ def test_rounds_of_the_random_intercept_hold_kinds(spark, clusters, monkeypatch)
     assert nine["beta"]["exposed"] == pytest.approx(one["beta"]["exposed"], abs=1e-5) and nine["sigma"] == pytest.approx(one["sigma"], abs=1e-4)
     assert nine["loglik"] == pytest.approx(9 * one["loglik"], rel=1e-7) and nine["clusters"] == 540
     assert nine["se"]["exposed"] == pytest.approx(one["se"]["exposed"] / 3, rel=1e-4)
+
+
+def test_rounds_of_frames_hold_kinds(spark, clusters, monkeypatch):
+    seen = []
+    real = frames.written
+    monkeypatch.setattr(frames, "written", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    one, nine = (frames.effects(rows.withColumn("frame", F.lit("f")), "exposed").first() for rows in clusters)
+    assert max(df.count() for name, df in seen if name == "gee-frames") < 60
+    assert (nine.n, nine.clusters, nine.exposed_clusters) == (9 * one.n, 540, 180)
+    assert nine.log_or == pytest.approx(one.log_or, abs=0.02) and nine.se == pytest.approx(one.se / 3, rel=0.02)
