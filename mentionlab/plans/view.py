@@ -13,7 +13,7 @@ from mentionlab.operators import population as pop
 from mentionlab.operators import similarity as sim
 from mentionlab.operators import suite
 from mentionlab.plans.study import COMPARED, TOTALS, two_sided_sql
-from mentionlab.session import table, written
+from mentionlab.session import parts, table, written
 from mentionlab.sources.harvest import fixed_windows
 
 EXPOSED = "AUTOMOBILE"
@@ -74,8 +74,11 @@ FRAME = (
 
 
 def frame(spark, sf):
-    """The models' frame: known entity, two outlets. It is read several times, so it is joined once and written."""
-    return written(pop.covered(view(spark, sf).select(*FRAME), 2), "frame")
+    """The models' frame: known entity, two outlets. It is read several times, so it is joined once and written, in tasks of
+    a bounded number of articles."""
+    a = articles(spark, sf).repartition(parts(table(spark, sf, "lineitem")), "incident_id")
+    v = pop.analysis_view(a, incidents(spark, sf), EXPOSED)
+    return written(pop.covered(v.select(*FRAME), 2), "frame")
 
 
 def analysis_view(spark, sf):

@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where a shuffle is laid out by the number of rows.
+TASK_ROWS = 500_000
+
+
+def parts(df: DataFrame) -> int:
+    """Tasks for a shuffle of df's rows: the session's number, and more for more rows, so that no task grows with the input.
+    It costs a count of df (of a table: its files' footers)."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
 _own: str | None = None
 _shipped: set[str] = set()
 
