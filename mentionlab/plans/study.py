@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mentionlab.functions import stats
 from mentionlab.operators import incidents as inc
 from mentionlab.operators import inference
-from mentionlab.session import table
+from mentionlab.session import parts, table
 
 EXPOSED = "AUTOMOBILE"
 
@@ -168,8 +168,9 @@ def appendix(spark, sf):
 
 def outlet_report(spark, sf):
     """Articles, distinct incidents and the fifteen largest outlets: a top-k report."""
-    a = articles(spark, sf)
-    return a.groupBy("outlet").agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("incident_id").alias("incidents")).orderBy(F.desc("articles"), "outlet").limit(15)
+    a = articles(spark, sf).select("outlet", "incident_id").repartition(parts(table(spark, sf, "lineitem")), "outlet", "incident_id")
+    each = a.groupBy("outlet", "incident_id").agg(F.count(F.lit(1)).alias("articles"))
+    return each.groupBy("outlet").agg(F.sum("articles").alias("articles"), F.count("incident_id").alias("incidents")).orderBy(F.desc("articles"), "outlet").limit(15)
 
 
 def _values(rows):

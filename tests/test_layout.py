@@ -1,5 +1,8 @@
 """Shuffles and files whose tasks are bounded by rows."""
 
+import pytest
+
+import __spark_entry__ as registry
 from mentionlab import session
 from mentionlab.plans import view
 from mentionlab.session import table
@@ -11,6 +14,14 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert session.parts(spark.range(50)) == least and session.parts(spark.range(10_001)) == 101
 
 
+@pytest.mark.parametrize(("name", "source"), [("outlet_report", "lineitem")])
+def test_queries_are_laid_out_by_rows(spark, sf_dir, monkeypatch, name, source):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    n = -(-table(spark, sf_dir, source).count() // 100)
+    df = registry.queries()[name](spark, sf_dir)
+    assert f", {n}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_models_frame_is_written_once_in_tasks_of_few_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     seen = []
