@@ -269,6 +269,7 @@ def merged(spark, sf):
 
 def splits(spark, sf):
     i = incidents(spark, sf).select("incident_id", F.col("day").cast("string").alias("day"), "eligible", "entity", F.lit(None).cast("string").alias("second"), "multi", "coded_by")
+    i = i.repartition(parts(table(spark, sf, "orders")), "incident_id")  # one layout for all of its joins
     s = i.where("incident_id % 7 = 0").select(F.col("incident_id").alias("source"), F.when(F.col("incident_id") % 2 == 0, -F.col("incident_id") - 1).otherwise(F.col("incident_id")).alias("target"), F.lit("2026-01-01").alias("day"), F.lit("new").alias("entity"), F.when(F.col("incident_id") % 4 == 0, "other").alias("second"), (F.col("incident_id") % 3 == 0).alias("eligible"))
     return co.split_incidents(i, s)
 

@@ -14,7 +14,7 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert session.parts(spark.range(50)) == least and session.parts(spark.range(10_001)) == 101
 
 
-@pytest.mark.parametrize(("name", "source"), [("outlet_report", "lineitem")])
+@pytest.mark.parametrize(("name", "source"), [("outlet_report", "lineitem"), ("split_incidents", "orders")])
 def test_queries_are_laid_out_by_rows(spark, sf_dir, monkeypatch, name, source):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     n = -(-table(spark, sf_dir, source).count() // 100)
