@@ -169,12 +169,18 @@ def csv_study_frame(spark, sf):
 CSV_SQL = f"WITH {view.MADE}, {view.KNOWN} SELECT entity, exposed, count(*) AS articles, sum(article_id)::BIGINT AS ids, sum(outcome)::BIGINT AS named, sum(deaths)::BIGINT AS deaths, strftime(max(day), '%Y-%m-%d') AS last FROM f GROUP BY 1, 2"
 
 
+#: Decisions in a file of the review tool: a JSON array is read in one task.
+REVIEWED = 20_000
+
+
 def review_files(spark, sf):
-    """Decisions as a review tool writes them, read from JSON and applied."""
+    """Decisions as a review tool writes them, arrays of a bounded number in files, read from JSON and applied."""
     o = table(spark, sf, "orders").where("o_orderstatus <> 'O'")
     d = o.select(F.col("o_orderkey").cast("string").alias("incident_id"), F.when(F.col("o_orderstatus") == "F", "accept").otherwise("reject").alias("decision"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).otherwise("").alias("make"), F.lit("why").alias("reason"))
     path = f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
-    d.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    files = max(1, -(-d.count() // REVIEWED))
+    arrays = d.groupBy(F.pmod(F.xxhash64("incident_id"), F.lit(files)).alias("file")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # an array a file
     i = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("incident_id"), F.lit(0).alias("eligible"), F.lit("old").alias("entity"), F.lit(None).cast("string").alias("reason"))
     return co.adjudicate(i, landed.decisions(spark, path))
 

@@ -1,11 +1,14 @@
 """Shuffles and files whose tasks are bounded by rows."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as registry
 from mentionlab import session
-from mentionlab.plans import view
+from mentionlab.plans import landing, view
 from mentionlab.session import table
+from mentionlab.sources import landed
 
 
 def test_tasks_grow_with_rows(spark, monkeypatch):
@@ -32,3 +35,14 @@ def test_the_models_frame_is_written_once_in_tasks_of_few_rows(spark, sf_dir, mo
     assert len(seen) == 1 and f", {n}), REPARTITION_BY_NUM" in seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(rows.columns) == sorted(view.FRAME) and rows.count() == seen[0].count()
+
+
+def test_review_files_are_many(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(landing, "REVIEWED", 50)
+    paths = []
+    real = landed.decisions
+    monkeypatch.setattr(landed, "decisions", lambda s, path: paths.append(path) or real(s, path))
+    landing.review_files(spark, sf_dir).count()
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'")
+    files = [f for f in os.listdir(paths[0]) if f.startswith("part-") and os.path.getsize(os.path.join(paths[0], f))]
+    assert len(files) >= 0.9 * o.count() // 50 and real(spark, paths[0]).count() == o.count()
