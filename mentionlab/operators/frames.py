@@ -238,27 +238,77 @@ def bootstrap_weights(ids: DataFrame, cluster: str, times: int, seed: int) -> Da
     """cluster, w: how often each cluster is in each of `times` resamples of all clusters with replacement, as bytes (255 at
     most; a count beyond has a probability below 1e-300). Resampling is a multinomial draw over buckets of about BUCKET
     clusters, then one within each, from seeds of the bucket: the same on any layout."""
-    n = ids.count()
-    parts = max(1, -(-n // BUCKET))
-    placed = ids.select(F.col(cluster).alias("c"), F.pmod(F.xxhash64(F.col(cluster)), F.lit(parts)).cast("int").alias("bucket"))
-    drawn = _draws({r.bucket: r["count"] for r in placed.groupBy("bucket").count().collect()}, times, seed)
+    placed, drawn = _placed(ids.select(F.col(cluster).alias("c")), times, seed)
 
     def weigh(key, part):
-        b = int(key[0])
         part = part.sort_values("c", ignore_index=True)
-        rng = np.random.default_rng([seed, b])
-        w = np.stack([rng.multinomial(m, np.full(len(part), 1 / len(part))) for m in drawn[b]]).astype(np.uint8)
+        w = _bucket_weights(seed, int(key[0]), drawn, len(part)).astype(np.uint8)
         part["w"] = [w[:, i].tobytes() for i in range(len(part))]
         return part[["c", "w"]]
 
     return placed.groupBy("bucket").applyInPandas(weigh, f"c {placed.schema['c'].dataType.simpleString()}, w binary")
 
 
+def _placed(ids: DataFrame, times: int, seed: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """ids(c, ...) with their bucket, and what each bucket gives to each replicate."""
+    buckets = max(1, -(-ids.count() // BUCKET))
+    placed = ids.withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int"))
+    return placed, _draws({r.bucket: r["count"] for r in placed.groupBy("bucket").count().collect()}, times, seed)
+
+
+def _bucket_weights(seed: int, bucket: int, drawn: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """times x n: how often each of a bucket's clusters, in their order, is in each replicate."""
+    rng = np.random.default_rng([seed, bucket])
+    return np.stack([rng.multinomial(m, np.full(n, 1 / n)).astype(np.uint32) for m in drawn[bucket]])
+
+
+#: Rows of weights that are added in one task.
+ADDED = 10_000
+
+
+def _packed(w: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs."""
+    return w.astype(next((t for t in ("u1", "<u2", "<u4") if w.max(initial=0) <= np.iinfo(t).max), "<u8")).tobytes()
+
+
+def _unpacked(w: bytes, times: int) -> np.ndarray:
+    return np.frombuffer(w, f"<u{memoryview(w).nbytes // times}")
+
+
+def _kind_weights(ids: DataFrame, times: int, seed: int) -> DataFrame:
+    """The weights of bootstrap_weights, added over the clusters of each kind: ids(c, kind) -> kind, w (packed). A bucket adds
+    its own kinds before anything is written."""
+    key = list(kinds.KIND)
+    shown = ", ".join(f"{n} {ids.schema[n].dataType.simpleString()}" for n in key)
+    placed, drawn = _placed(ids, times, seed)
+
+    def added(part, w):
+        of = part.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(of[order]) != 0)))
+        out = part.iloc[order[first]][key].reset_index(drop=True)
+        out["w"] = [_packed(v) for v in np.add.reduceat(w[order], first, axis=0)]
+        return out
+
+    def within(bucket, part):
+        part = part.sort_values("c", ignore_index=True)
+        return added(part, _bucket_weights(seed, int(bucket[0]), drawn, len(part)).T.astype(np.int64))
+
+    def across(part):
+        return added(part, np.stack([_unpacked(w, times) for w in part["w"]]).astype(np.int64))
+
+    found = written(placed.groupBy("bucket").applyInPandas(within, f"{shown}, w binary"), "bootstrap-weights")
+    some = max(1, -(-found.count() // ADDED))
+    tasks = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), some // 8)
+    laid = found.withColumn("part", F.pmod(F.col("kind_a"), F.lit(some))).repartition(tasks, "part")
+    return laid.groupBy("part").applyInPandas(lambda key, part: across(part), f"{shown}, w binary")
+
+
 def bootstrap_adjusted(rows: DataFrame, exposure: str, x: list[str], cluster: str = "incident_id", y: str = "outcome", times: int = 1000, seed: int = 20260101, rounds: int = 40) -> dict:
     """Percentile interval of the adjusted odds ratio over clusters drawn with replacement, refitted with an independence
     working correlation: low, high, replicates, failed, estimates (sorted log odds ratios).
 
-    All replicates are refitted at once: rows with equal cluster and covariates carry their cluster's weights, a round is
+    All replicates are refitted at once: clusters that are alike carry the sum of their weights (kinds.py), a round is
     two matrix products for each batch of rows, and a block of BLOCK replicates is solved in one task of its own. A
     replicate fails if an arm or an outcome of an arm is missing in it, or its exposure has no estimate; if half of them
     fail there is no interval. Rows with a null outcome or covariate are left out.
@@ -271,8 +321,10 @@ def bootstrap_adjusted(rows: DataFrame, exposure: str, x: list[str], cluster: st
     data = written(data, "bootstrap-rows")
     if data.isEmpty():
         return {"low": None, "high": None, "replicates": times, "failed": times, "estimates": []}
-    weights = written(bootstrap_weights(data.select("c").distinct(), "c", times, seed), "bootstrap-weights")
-    own = written(data.join(weights, "c").drop("c"), "bootstrap-weighted")
+    ids = kinds.of_clusters(data, [], [f"x{i + 1}" for i in range(len(names))])
+    ids = written(ids.withColumn("kind_d", F.when(F.col("c").isNotNull(), F.col("kind_d")).otherwise(-1)), "bootstrap-clusters")  # drawn, without rows
+    rows = data.join(ids.groupBy(*kinds.KIND).agg(F.min("c").alias("c")), "c")
+    own = written(rows.join(_kind_weights(ids, times, seed), list(kinds.KIND)).drop("c", *kinds.KIND), "bootstrap-weighted")
     xs, p = [f"x{i + 1}" for i in range(len(names))], len(names) + 1
     upper = np.triu_indices(p)
     mean = data.agg((F.sum("k") / F.sum("n")).alias("m")).first().m
@@ -294,7 +346,7 @@ def bootstrap_adjusted(rows: DataFrame, exposure: str, x: list[str], cluster: st
                     continue
                 z = np.column_stack([np.ones(batch.num_rows), _columns(batch, xs)])
                 n, k = (batch.column(c).to_numpy() for c in "nk")
-                w = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("w")])
+                w = np.stack([_unpacked(v.as_buffer(), times) for v in batch.column("w")])
                 zz = z[:, upper[0]] * z[:, upper[1]]
                 for a, b in some:
                     own_w = w[:, a:b].astype(float)
@@ -339,7 +391,7 @@ def _cells(own: DataFrame, times: int) -> np.ndarray:
         for batch in batches:
             if batch.num_rows:
                 n, k, x = (batch.column(c).to_numpy() for c in ("n", "k", "x1"))
-                w = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("w")]).astype(float)
+                w = np.stack([_unpacked(v.as_buffer(), times) for v in batch.column("w")]).astype(float)
                 total += w.T @ np.column_stack([k * (x > 0), (n - k) * (x > 0), k * (x <= 0), (n - k) * (x <= 0)])
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["cells"])
 

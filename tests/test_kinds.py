@@ -1,5 +1,6 @@
 """Clusters that are alike are counted once, and models of them are those of all clusters."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,15 @@ def test_rounds_of_frames_hold_kinds(spark, clusters, monkeypatch):
     assert max(df.count() for name, df in seen if name == "gee-frames") < 60
     assert (nine.n, nine.clusters, nine.exposed_clusters) == (9 * one.n, 540, 180)
     assert nine.log_or == pytest.approx(one.log_or, abs=0.02) and nine.se == pytest.approx(one.se / 3, rel=0.02)
+
+
+def test_bootstrap_holds_kinds_and_large_counts(spark, clusters, monkeypatch):
+    seen = {}
+    real = frames.written
+    monkeypatch.setattr(frames, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    got = frames.bootstrap_adjusted(clusters[1], "exposed", [], times=20)
+    assert got["failed"] == 0 and seen["bootstrap-weighted"].count() < 60
+    sums = [sum(col) for col in zip(*[frames._unpacked(r.w, 20).tolist() for r in seen["bootstrap-weighted"].collect()], strict=True)]
+    assert sums == [540] * 20
+    for most in (255, 256, 70_000, 1 << 33):
+        assert frames._unpacked(frames._packed(np.array([0, most])), 2).tolist() == [0, most]
