@@ -1,21 +1,30 @@
 """Operator 6: token ids in an adaptive context-mixing range-coded format.
 
 Documents are range-partitioned by doc_id and sorted; each task tokenises its documents, appends the end id to each and
-gathers whole documents in segments. A segment holds a table of its documents and its ids in independently reset blocks,
-each with the CRC-32 of its ids. Segments are rows of a Parquet table in ascending doc_id order: Spark's committer
-writes them whole or not at all, on any store, and any task can decode any segment by itself.
-
-Segment payload: b"MLTC", version, number of documents, blocks, bytes of the document table (little-endian 32-bit), the
-document table (zlib: doc ids as 64-bit, lengths as 32-bit, a byte that says whether the id is present), for each block
-its ids, bytes and CRC-32 (32-bit each), then the coded blocks.
+gathers whole documents in segments. A segment holds a table of its documents, one of its phrases (the ids of each piece
+of text that occurs in it, frequent ones first), and the numbers of the phrases in their order, in independently reset
+blocks, each with the CRC-32 of the ids that it stands for. Segments are rows of a Parquet table in ascending doc_id
+order: Spark's committer writes them whole or not at all, on any store, and any task can decode any segment by itself.
+
+A text is divided where white space follows another character. There the tokenizer's own rule always divides, whatever
+stands before or after, so a piece's ids are the same in any text, and a piece is tokenised once. With a tokenizer that
+might not divide there, a text is one piece.
+
+Segment payload: b"MLTC", version, number of documents, blocks, bytes of the document table, phrases, bytes of the phrase
+table (little-endian 32-bit), the document table (zlib: doc ids as 64-bit, lengths in ids as 32-bit, a byte that says
+whether the id is present), the phrase table (zlib: lengths as 32-bit, low 16 bits of all ids, high 8 bits of them), for
+each block its phrases, bytes and CRC-32 (32-bit each), then the coded blocks.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +38,16 @@ from mentionlab.llm.common import released, table, text_of, written
 
 END_ID = 0
 #: Ids from which a segment is closed (whole documents), and blocks that are coded side by side.
-SEGMENT_IDS, SIDE_BY_SIDE = 1 << 18, 1536
-#: Bytes of texts tokenised at once: a tokenizer's results take about twenty times the text.
+SEGMENT_IDS, SIDE_BY_SIDE = 1 << 19, 1536
+#: Bytes of pieces tokenised at once: a tokenizer's results take about twenty times the text.
 TOKENISE_BYTES = 250_000
-_MAGIC, _HEAD = b"MLTC", struct.Struct("<4sIIII")
+#: Pieces that a Python worker remembers, and their bytes; beyond either it keeps those that more batches had, half at most.
+KNOWN_PIECES, KNOWN_BYTES = 600_000, 16_000_000
+_MAGIC, _HEAD = b"MLTC", struct.Struct("<4sIIIIII")
+#: Between a character that is no white space by any rule and white space.
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\x0b\x0c\r])")
+#: Pieces between spaces after which a text may not be divided: empty ones, and those that end with white space by any rule.
+_OPEN = r"^$|[\s\x0b\x1c-\x1f\x{85}\pZ]$"
 
 
 def tokenizer_path() -> str:
@@ -45,65 +60,236 @@ def crc(ids: np.ndarray, start: int = 0) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes(), start)
 
 
-class Segment:
-    def __init__(self, part_start: int):
-        self.part_start, self.ids, self.docs = part_start, [], []
-        self.n = 0
+def divisible(tok) -> bool:
+    """Whether tok divides any text wherever white space follows another character: the byte-level rule, nothing before it,
+    and no added token that looks beyond itself or holds white space."""
+    rule = json.loads(tok.to_str())
+    plain = not any(rule[k] for k in ("normalizer", "post_processor", "truncation", "padding"))
+    level = rule["pre_tokenizer"] or {}
+    level = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level["add_prefix_space"]
+    added = (t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in rule["added_tokens"])
+    return plain and level and not any(added)
+
+
+def spell(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of the phrases `which`, one after another; all phrases lie in ids, of these sizes."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(n)
+    return ids[np.repeat(starts[which] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Pieces:
+    """Pieces of texts by number, with their ids. Number 0 is the end id."""
+
+    def __init__(self, tok, end_id: int):
+        self.tok, self.end_id, self.divides = tok, end_id, divisible(tok)
+        self.known: dict[str, int] = {}
+        self.held, self.n, self.uses = 0, 1, np.zeros(KNOWN_PIECES + 1, np.int32)
+        named = tok.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(named.values(), default=0) + 1, np.int64)
+        self.bytes[list(named.values())] = [len(s) for s in named]  # a character of a byte-level token is a byte
+        for number, t in tok.get_added_tokens_decoder().items():
+            self.bytes[number] = len(t.content.encode())
+        self._ids, self._sizes = [np.array([end_id], np.uint32)], [np.ones(1, np.int64)]
+
+    def full(self) -> bool:
+        return self.n > KNOWN_PIECES or self.held > KNOWN_BYTES
+
+    def renewed(self) -> Pieces:
+        """A new beginning with the pieces that more than one batch had, of those the ones that most had; they are at most
+        half of what may be remembered."""
+        out = Pieces(self.tok, self.end_id)
+        size = np.fromiter(map(len, map(str.encode, self.known)), np.int64, len(self.known))
+        uses = self.uses[1 : self.n]
+        by_use = np.lexsort((np.arange(len(uses)), -uses))
+        fits = (np.arange(1, len(uses) + 1) <= KNOWN_PIECES // 2) & (np.cumsum(size[by_use]) <= KNOWN_BYTES // 2) & (uses[by_use] > 1)
+        keep = np.zeros(len(uses), bool)
+        keep[by_use[fits]] = True
+        ids, sizes = self.ids()
+        which = 1 + np.flatnonzero(keep)
+        out._ids.append(spell(ids, sizes, which))
+        out._sizes.append(sizes[which])
+        out.known = dict(zip(compress(self.known, keep.tolist()), range(1, len(which) + 1)))
+        out.n, out.held = len(which) + 1, int(size[keep].sum())
+        return out
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces and the pieces' sizes."""
+        if len(self._ids) > 1:
+            self._ids, self._sizes = [np.concatenate(self._ids)], [np.concatenate(self._sizes)]
+        return self._ids[0], self._sizes[0]
+
+    def numbers(self, pieces: list[str], joined: bool) -> np.ndarray:
+        """The pieces' numbers. joined: each begins with white space and ends without, so that they divide if put together."""
+        known = self.known
+        new = list(dict.fromkeys(s for s, n in zip(pieces, map(known.get, pieces)) if n is None))
+        if new:
+            sizes = np.fromiter(map(len, map(str.encode, new)), np.int64, len(new))
+            edges = [*np.unique(np.cumsum(sizes) // TOKENISE_BYTES, return_index=True)[1].tolist(), len(new)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if not (joined and self._together(new[i:j], sizes[i:j])):
+                    for e in self.tok.encode_batch_fast(new[i:j], add_special_tokens=False):
+                        self._ids.append(np.array(e.ids, np.uint32))
+                        self._sizes.append(np.array([len(e)]))
+            known.update(zip(new, range(self.n, self.n + len(new))))
+            self.n += len(new)
+            self.held += int(sizes.sum())
+            if self.n > len(self.uses):
+                self.uses = np.concatenate((self.uses, np.zeros(self.n, np.int32)))
+        found = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        self.uses[found] += 1
+        return found
+
+    def _together(self, pieces: list[str], sizes: np.ndarray) -> bool:
+        """Tokenises pieces as one text; the bytes that its ids stand for tell where a piece ends. False where they don't."""
+        (e,) = self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        reached, ends = np.cumsum(self.bytes[ids]), np.cumsum(sizes)
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or (reached[last] != ends).any():
+            return False
+        self._ids.append(ids)
+        self._sizes.append(np.diff(last, prepend=-1))
+        return True
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The numbers of each text's pieces, and of the end id."""
+        if not self.divides:
+            for s in texts.to_pylist():
+                yield np.append(self.numbers([s], False), 0)
+            return
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes, strings = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        opened = np.concatenate(([0], np.cumsum(pc.match_substring_regex(strings, _OPEN).to_numpy(zero_copy_only=False)[codes])))
+        odd = opened[at[1:]] > opened[at[:-1]]
+        later = np.repeat(~odd, np.diff(at))
+        later[at[:-1]] = False  # a text's first piece follows no space
+        used = np.flatnonzero(np.bincount(codes[later], minlength=len(strings)))
+        number = np.zeros(len(strings), np.int64)
+        number[used] = self.numbers(pc.binary_join_element_wise(pa.scalar("", strings.type), strings.take(pa.array(used)), pa.scalar(" ", strings.type)).to_pylist(), True)
+        of_first = strings.take(pa.array(codes[at[:-1]])).to_pylist()
+        number = number[codes]
+        number[at[:-1][~odd]] = self.numbers([s for s, o in zip(of_first, odd.tolist()) if not o], False)
+        for k, o in enumerate(odd.tolist()):
+            if o:
+                some = [s for s in _BOUNDARY.split(texts[k].as_py()) if s]
+                yield np.concatenate((self.numbers(some[:1], False), self.numbers(some[1:-1], True), self.numbers(some[1:][-1:], False), [0]))
+            else:
+                yield np.append(number[at[k] : at[k + 1]], 0)
+
+
+#: The pieces that this Python worker remembers from task to task, of one tokenizer and end id.
+_held: dict[tuple[str, int], Pieces] = {}
+
+
+def pieces_of(path: str, end_id: int) -> Pieces:
+    """What the worker remembers, with a new beginning where that is full."""
+    there = _held.get((path, end_id))
+    if there is None:
+        from tokenizers import Tokenizer
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
-        self.ids.append(ids)
-        self.n += len(ids)
+        _held.clear()
+        there = _held[path, end_id] = Pieces(Tokenizer.from_file(path), end_id)
+    elif there.full():
+        there = _held[path, end_id] = there.renewed()
+    return there
 
-    def blocks(self) -> list[np.ndarray]:
-        """The blocks; the segment gives its documents' own arrays up."""
-        whole = np.concatenate(self.ids)
-        self.ids = []
-        return [whole[i : i + rangecoder.BLOCK] for i in range(0, len(whole), rangecoder.BLOCK)]
 
-    def payload(self, blocks: list[np.ndarray], coded: list[bytes]) -> bytes:
-        keys = np.array([d or 0 for d, _ in self.docs], "<i8").tobytes()
-        docs = zlib.compress(keys + np.array([n for _, n in self.docs], "<u4").tobytes() + bytes(d is not None for d, _ in self.docs), 6)
-        heads = np.array([(len(b), len(c), crc(b)) for b, c in zip(blocks, coded)], "<u4").tobytes()
-        return b"".join([_HEAD.pack(_MAGIC, 1, len(self.docs), len(blocks), len(docs)), docs, heads, *coded])
+class Segment:
+    """Documents that are written together, as numbers of the same pieces."""
+
+    def __init__(self, part_start: int, pieces: Pieces):
+        self.part_start, self.pieces, self.codes, self.docs = part_start, pieces, [], []
+        self.n = self.n_codes = 0
+
+    def add(self, doc_id: int | None, codes: np.ndarray, n: int) -> None:
+        self.docs.append((doc_id, n))
+        self.codes.append(codes)
+        self.n += n
+        self.n_codes += len(codes)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the phrases, their sizes, and the segment as numbers of them: frequent ones first, then those that come
+        first. Phrases are pieces, or single ids where there are more pieces than the coder has numbers."""
+        ids, sizes = self.pieces.ids()
+        codes = np.concatenate(self.codes)
+        self.codes, self.pieces = [], None
+        count = np.bincount(codes)
+        if np.count_nonzero(count) > 1 << rangecoder.ID_BITS:
+            codes = spell(ids, sizes, codes).astype(np.int64)
+            count = np.bincount(codes)
+            ids, sizes = np.arange(len(count), dtype=np.uint32), np.ones(len(count), np.int64)
+        first = np.zeros(len(count), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        own = np.flatnonzero(count)
+        own = own[np.lexsort((first[own], -count[own]))]
+        rank = np.zeros(len(count), np.int32)
+        rank[own] = np.arange(len(own))
+        return spell(ids, sizes, own), sizes[own], rank[codes]
+
+
+def _edges(n: int) -> list[int]:
+    return [*range(0, n, rangecoder.BLOCK), n]
+
+
+def _crcs(ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, edges: list[int]) -> list[int]:
+    """The CRC-32 of the ids of each block."""
+    at = np.concatenate(([0], np.cumsum(sizes[ranks])))[edges].tolist()
+    raw = memoryview(np.ascontiguousarray(spell(ids, sizes, ranks), "<u4").tobytes())
+    return [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])]
 
 
 def encode_segments(segments: list[Segment]) -> list[bytes]:
-    """Payloads; the blocks of all segments are coded side by side."""
-    blocks = [s.blocks() for s in segments]
-    coded = iter(rangecoder.encode([b for own in blocks for b in own]))
-    return [s.payload(own, [next(coded) for _ in own]) for s, own in zip(segments, blocks)]
-
-
-def parse(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, list[bytes]]:
-    """Doc ids, document lengths, (ids, bytes, CRC) of blocks, coded blocks."""
-    magic, version, n_docs, n_blocks, size = _HEAD.unpack_from(payload)
-    if magic != _MAGIC or version != 1:
+    """Payloads; the blocks of all segments are coded side by side. The segments give their codes up."""
+    found = [s.phrases() for s in segments]
+    edges = [_edges(len(ranks)) for _, _, ranks in found]
+    coded = iter(rangecoder.encode([r[i:j] for (_, _, r), e in zip(found, edges) for i, j in zip(e[:-1], e[1:])]))
+    out = []
+    for s, (ids, sizes, ranks), e in zip(segments, found, edges):
+        own = [next(coded) for _ in e[1:]]
+        keys = np.array([d or 0 for d, _ in s.docs], "<i8").tobytes()
+        docs = zlib.compress(keys + np.array([n for _, n in s.docs], "<u4").tobytes() + bytes(d is not None for d, _ in s.docs), 6)
+        phrases = zlib.compress(sizes.astype("<u4").tobytes() + (ids & 0xFFFF).astype("<u2").tobytes() + (ids >> 16).astype("u1").tobytes(), 1)
+        heads = np.array(list(zip(np.diff(e).tolist(), map(len, own), _crcs(ids, sizes, ranks, e))), "<u4").tobytes()
+        out.append(b"".join([_HEAD.pack(_MAGIC, 2, len(s.docs), len(own), len(docs), len(sizes), len(phrases)), docs, phrases, heads, *own]))
+    return out
+
+
+def parse(payload: bytes) -> tuple[list[int | None], np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, list[bytes]]:
+    """Doc ids, document lengths, (ids, sizes) of phrases, (phrases, bytes, CRC) of blocks, coded blocks."""
+    magic, version, n_docs, n_blocks, size, n_phrases, more = _HEAD.unpack_from(payload)
+    if magic != _MAGIC or version != 2:
         raise ValueError("not a token segment")
     at = _HEAD.size
-    docs = zlib.decompress(payload[at : at + size])
+    try:
+        docs, phrases = zlib.decompress(payload[at : at + size]), zlib.decompress(payload[at + size : at + size + more])
+    except zlib.error as e:
+        raise ValueError("a table of a token segment is damaged") from e
     keys, lengths, there = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u4", n_docs, 8 * n_docs), docs[12 * n_docs :]
-    at += size
+    sizes = np.frombuffer(phrases, "<u4", n_phrases).astype(np.int64)
+    n = int(sizes.sum())
+    ids = np.frombuffer(phrases, "<u2", n, 4 * n_phrases) | np.frombuffer(phrases, "u1", n, 4 * n_phrases + 2 * n).astype(np.uint32) << 16
+    at += size + more
     heads = np.frombuffer(payload, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     at += heads.nbytes
     coded = []
     for _, size, _ in heads.tolist():
         coded.append(payload[at : at + size])
         at += size
-    return [k if t else None for k, t in zip(keys.tolist(), there)], lengths.astype(np.int64), heads.astype(np.int64), coded
+    return [k if t else None for k, t in zip(keys.tolist(), there)], lengths.astype(np.int64), (ids, sizes), heads.astype(np.int64), coded
 
 
 def decode_segments(payloads: list[bytes]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc ids, document lengths, all ids) of each segment; a block whose CRC differs raises ValueError."""
     parsed = [parse(p) for p in payloads]
-    blocks = iter(rangecoder.decode([c for p in parsed for c in p[3]], [int(n) for p in parsed for n in p[2][:, 0]]))
-    for keys, lengths, heads, _ in parsed:
-        own = []
-        for want in heads[:, 2].tolist():
-            own.append(next(blocks))
-            if crc(own[-1]) != want:
-                raise ValueError("a block's checksum differs")
-        yield keys, lengths, np.concatenate(own) if own else np.zeros(0, np.int32)
+    blocks = iter(rangecoder.decode([c for p in parsed for c in p[4]], [int(n) for p in parsed for n in p[3][:, 0]]))
+    for keys, lengths, (ids, sizes), heads, _ in parsed:
+        ranks = np.concatenate([next(blocks) for _ in heads] or [np.zeros(0, np.int32)])
+        if len(ranks) and int(ranks.max()) >= len(sizes) or _crcs(ids, sizes, ranks, _edges(len(ranks))) != heads[:, 2].tolist():
+            raise ValueError("a block's checksum differs")
+        yield keys, lengths, spell(ids, sizes, ranks)
 
 
 def _sides(items, count):
@@ -133,33 +319,29 @@ def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(where)
         part = TaskContext.get().partitionId()
 
-        def tokenised() -> Iterator[tuple[int | None, np.ndarray]]:
-            for b in batches:
-                keys = b.column(0).to_pylist()
-                texts = b.column(1)
-                sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // TOKENISE_BYTES
-                for at in np.unique(sizes, return_index=True)[1].tolist():
-                    to = int(np.searchsorted(sizes, sizes[at], "right"))
-                    for k, e in zip(keys[at:to], tok.encode_batch_fast(texts.slice(at, to - at).to_pylist(), add_special_tokens=False)):
-                        yield k, np.array([*e.ids, end_id], np.uint32)
-
         def segments() -> Iterator[Segment]:
-            seg = Segment(0)
-            for k, ids in tokenised():
-                seg.add(k, ids)
-                if seg.n >= SEGMENT_IDS:
+            seg = None
+            start = 0
+            for b in batches:
+                pieces = pieces_of(where, end_id)
+                if seg and seg.pieces is not pieces:  # a segment is of the same pieces
                     yield seg
-                    seg = Segment(seg.part_start + seg.n)
-            if seg.docs:
+                    seg = None
+                for k, codes in zip(b.column(0).to_pylist(), pieces.of(b.column(1))):
+                    seg = seg or Segment(start, pieces)
+                    n = int(pieces.ids()[1][codes].sum())
+                    seg.add(k, codes, n)
+                    start += n
+                    if seg.n >= SEGMENT_IDS:
+                        yield seg
+                        seg = None
+            if seg:
                 yield seg
 
         number = 0
-        for some in _sides(segments(), lambda s: -(-s.n // rangecoder.BLOCK)):
+        for some in _sides(segments(), lambda s: -(-s.n_codes // rangecoder.BLOCK)):
             for s, p in zip(some, encode_segments(some)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([s.docs[0][0]], pa.int64()), pa.array([s.part_start], pa.int64()), pa.array([s.n], pa.int64()), pa.array([p], pa.binary())],
