@@ -89,15 +89,13 @@ class _Model:
         self.p = _SQUASH.take((self.g2 + self.g1 + self.s0[:a] >> 4) + 2047, mode="clip") * self.has
 
     def update(self, a: int, x: np.ndarray, isA: np.ndarray) -> None:
-        step = ((isA.astype(np.int32) << _GATE) - self.p) * self.has * np.int32(20) >> 8
+        step = ((isA.astype(np.int32) << _GATE) - self.p) * np.int32(20) >> 8  # none where there was no candidate
         self.s2[self.j2] = self.g2 + step
         self.s1[self.j1] = self.g1 + step
-        s0 = self.s0[:a]
-        np.minimum(np.maximum(s0 + step, -1 << 16), 1 << 16, out=s0)
+        self.s0[:a] += step
         fresh = x << 3 | 1
         for tab, i, t, c, n in ((self.tab1, self.i1, self.t1, self.a1, self.n1), (self.tab2, self.i2, self.t2, self.a2, self.n2)):
-            half = n >> 1
-            tab[i] = np.where(c == x, t + (n < 7), np.where(half > 0, t - n + half, fresh))
+            tab[i] = np.where(c == x, t + (n < 7), np.where(n > 1, t - (n + 1 >> 1), fresh))  # right: one more, wrong: half
         np.multiply(self.x1[:a], 7919, out=self.h2[:a])
         self.x1[:a] = x
 
@@ -223,7 +221,7 @@ def decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         at = (code[:a] // unit).astype(np.int64)
         hit, rest = model.p << _SHARE, (1 << _GATE) - model.p
         isA = at < hit
-        place = np.minimum(np.maximum((at - hit) / rest, 0), (1 << _SHARE) - 1).astype(np.int64)
+        place = ((at - hit) / rest).astype(np.int64)  # says nothing where the candidate is right
         c = model.place.take(model.by_share[:a] + place, mode="clip")
         share = model.share.take(model.by64[:a] + c, mode="clip")
         start = np.where(isA, 0, hit + rest * (share >> _SHARE)).astype(_U)

@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,11 @@ TOKENISE_BYTES = 250_000
 KNOWN_PIECES, KNOWN_BYTES = 600_000, 16_000_000
 _MAGIC, _HEAD = b"MLTC", struct.Struct("<4sIIIIII")
 #: Between a character that is no white space by any rule and white space.
+_WHITE = " \t\n\x0b\x0c\r"
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\x0b\x0c\r])")
+#: The same, and between a letter and punctuation, which the rule divides as well.
+_MARKS = ".,;:!?"
+_PART = re.compile(rf"(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])(?=[{_MARKS}])|{_BOUNDARY.pattern}")
 #: Pieces between spaces after which a text may not be divided: empty ones, and those that end with white space by any rule.
 _OPEN = r"^$|[\s\x0b\x1c-\x1f\x{85}\pZ]$"
 
@@ -122,24 +126,50 @@ class Pieces:
     def numbers(self, pieces: list[str], joined: bool) -> np.ndarray:
         """The pieces' numbers. joined: each begins with white space and ends without, so that they divide if put together."""
         known = self.known
-        new = list(dict.fromkeys(s for s, n in zip(pieces, map(known.get, pieces)) if n is None))
-        if new:
-            sizes = np.fromiter(map(len, map(str.encode, new)), np.int64, len(new))
-            edges = [*np.unique(np.cumsum(sizes) // TOKENISE_BYTES, return_index=True)[1].tolist(), len(new)]
-            for i, j in zip(edges[:-1], edges[1:]):
-                if not (joined and self._together(new[i:j], sizes[i:j])):
-                    for e in self.tok.encode_batch_fast(new[i:j], add_special_tokens=False):
-                        self._ids.append(np.array(e.ids, np.uint32))
-                        self._sizes.append(np.array([len(e)]))
-            known.update(zip(new, range(self.n, self.n + len(new))))
-            self.n += len(new)
-            self.held += int(sizes.sum())
+        found = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missed = np.flatnonzero(found < 0).tolist()
+        if missed:
+            new = list(dict.fromkeys([pieces[k] for k in missed]))
+            if joined:
+                self._learn_parts([s for s in new if s[-1] in _MARKS or "\n" in s])
+                new = [s for s in new if s not in known]
+            self._learn(new, joined)
+            found[missed] = [known[pieces[k]] for k in missed]
             if self.n > len(self.uses):
                 self.uses = np.concatenate((self.uses, np.zeros(self.n, np.int32)))
-        found = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         self.uses[found] += 1
         return found
 
+    def _name(self, new: list[str], n_bytes: int) -> None:
+        self.known.update(zip(new, range(self.n, self.n + len(new))))
+        self.n += len(new)
+        self.held += n_bytes
+
+    def _learn(self, new: list[str], joined: bool) -> None:
+        sizes = np.fromiter(map(len, map(str.encode, new)), np.int64, len(new))
+        edges = [*np.unique(np.cumsum(sizes) // TOKENISE_BYTES, return_index=True)[1].tolist(), len(new)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            if not (joined and self._together(new[i:j], sizes[i:j])):
+                for e in self.tok.encode_batch_fast(new[i:j], add_special_tokens=False):
+                    self._ids.append(np.array(e.ids, np.uint32))
+                    self._sizes.append(np.array([len(e)]))
+        self._name(new, int(sizes.sum()))
+
+    def _learn_parts(self, whole: list[str]) -> None:
+        """Learns pieces by their parts, as a word comes with all kinds of punctuation."""
+        split = [_PART.split(s) for s in whole]
+        some = list(dict.fromkeys(p for parts in split for p in parts if p not in self.known))
+        self._learn([s for s in some if s[0] in _WHITE], True)
+        self._learn([s for s in some if s[0] not in _WHITE], False)
+        several = [k for k, s in enumerate(whole) if s not in self.known]
+        if several:
+            count = np.array([len(split[k]) for k in several])
+            which = np.array([self.known[p] for k in several for p in split[k]])
+            ids, sizes = self.ids()
+            self._ids.append(spell(ids, sizes, which))
+            self._sizes.append(np.add.reduceat(sizes[which], np.cumsum(count) - count))
+            self._name([whole[k] for k in several], sum(len(whole[k].encode()) for k in several))
+
     def _together(self, pieces: list[str], sizes: np.ndarray) -> bool:
         """Tokenises pieces as one text; the bytes that its ids stand for tell where a piece ends. False where they don't."""
         (e,) = self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
@@ -168,7 +198,7 @@ class Pieces:
         later[at[:-1]] = False  # a text's first piece follows no space
         used = np.flatnonzero(np.bincount(codes[later], minlength=len(strings)))
         number = np.zeros(len(strings), np.int64)
-        number[used] = self.numbers(pc.binary_join_element_wise(pa.scalar("", strings.type), strings.take(pa.array(used)), pa.scalar(" ", strings.type)).to_pylist(), True)
+        number[used] = self.numbers(pc.binary_join_element_wise(pa.scalar("", strings.type), strings.take(pa.array(used)), pa.scalar(" ", strings.type)).to_numpy(zero_copy_only=False).tolist(), True)
         of_first = strings.take(pa.array(codes[at[:-1]])).to_pylist()
         number = number[codes]
         number[at[:-1][~odd]] = self.numbers([s for s, o in zip(of_first, odd.tolist()) if not o], False)
